@@ -50,12 +50,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def shingle_sets(text: pa.Array, width: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles. A-Z become lower case; words are runs
     without ASCII white space; a text of fewer words than `width` has its whole sequence as one shingle."""
-    words = pc.ascii_split_whitespace(pc.ascii_lower(text))
-    flat = words.flatten()
-    coded = flat.dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names), np.uint64, len(names))
-    empty = np.array([w == "" for w in names], bool) if names else np.zeros(0, bool)
+    words = pc.ascii_split_whitespace(text)
+    coded = words.flatten().dictionary_encode()
+    names = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.translate(LOWER)) for w in names), np.uint64, len(names))
+    empty = np.array([not w for w in names], bool)
     which = coded.indices.to_numpy(zero_copy_only=False)
     h = hashes[which] if len(which) else np.zeros(0, np.uint64)
     blank = empty[which] if len(which) else np.zeros(0, bool)

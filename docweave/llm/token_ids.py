@@ -17,6 +17,7 @@ stand next to each other, ordered by text; null doc_ids come first.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import arrow_map, filled_text, scratch_path, slices, small, stored
+from docweave.llm.common import arrow_map, filled_text, remove, scratch_path, slices, small, stored
 
 #: Ids in a block, ids between two checkpoints, most bits of a code.
 BLOCK, STEP, LIMIT = 1 << 18, 512, 20
@@ -34,32 +35,98 @@ BLOCK, STEP, LIMIT = 1 << 18, 512, 20
 # --- tokenising -----------------------------------------------------------------------------------
 
 
+class Cache:
+    """Two generations: when the young one is full it becomes the old one; what is used again moves back."""
+
+    def __init__(self, keep: int):
+        self.keep, self.young, self.old = keep, {}, {}
+
+    def find(self, keys: list[str]) -> tuple[list, list[int]]:
+        """The values (None where missing) and the places of the missing ones."""
+        young, old = self.young, self.old
+        out = list(map(young.get, keys))
+        missing = []
+        for k, v in enumerate(out):
+            if v is None:
+                v = old.get(keys[k])
+                if v is None:
+                    missing.append(k)
+                else:
+                    out[k] = young[keys[k]] = v
+        return out, missing
+
+    def turn(self) -> None:
+        if len(self.young) > self.keep:
+            self.old, self.young = self.young, {}
+
+
 class WordIds:
-    """Ids of white-space separated words, for vocabularies that drop white space. Each distinct word is
-    encoded by the library once (until the cache is full and starts anew)."""
+    """Ids of white-space separated words, for vocabularies that drop white space and mark word ends. The
+    library encodes each distinct word once (while the caches last); a word of letters and closing signs
+    is put together from the two, as the vocabulary's pattern never joins them."""
 
-    def __init__(self, path: str, keep: int = 700_000):
+    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%*$#&|]*)").fullmatch
+
+    def __init__(self, path: str, keep: int = 350_000):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        self.encode, self.keep, self.known = t.encode_batch_fast, keep, {}
+        self.encode, self.encode_batch = t.encode, t.encode_batch_fast
+        self.words, self.runs = Cache(keep), Cache(keep)
         self.kind = np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
+        self.ends = np.zeros(max(t.get_vocab().values()) + 1, bool)
+        self.ends[[i for w, i in t.get_vocab().items() if w.endswith("</w>")]] = True
+
+    def _letters(self, runs: list[str]) -> list[bytes]:
+        """Ids of lower-case letter runs, encoded together and cut at word ends."""
+        out, missing = self.runs.find(runs)
+        new = list(dict.fromkeys(runs[k] for k in missing))
+        found = {}
+        for a in range(0, len(new), 500):
+            part = new[a : a + 500]
+            ids = np.array(self.encode(" ".join(part), add_special_tokens=False).ids, self.kind)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("the vocabulary does not mark word ends")
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(part, (ends * self.kind.itemsize).tolist()):
+                found[w] = raw[at:end]
+                at = end
+        for k in missing:
+            out[k] = found[runs[k]]
+        self.runs.young.update(found)
+        self.runs.turn()
+        return out
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.encode_batch(words, add_special_tokens=False)]
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        out, plain = [b""] * len(words), []
+        matches = list(map(self.PLAIN, words))
+        plain = [k for k, m in enumerate(matches) if m]
+        other = [k for k, m in enumerate(matches) if not m]
+        heads = self._letters([matches[k][1].lower() for k in plain])
+        signs = {s: b for s in {matches[k][2] for k in plain} for b in self._whole([s])}
+        for k, head in zip(plain, heads):
+            out[k] = head + signs[matches[k][2]]
+        for a in range(0, len(other), 20_000):
+            part = other[a : a + 20_000]
+            for k, ids in zip(part, self._whole([words[k] for k in part])):
+                out[k] = ids
+        return out
 
     def ids(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each text has."""
         words = pc.ascii_split_whitespace(text)
         per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         coded = words.flatten().dictionary_encode()
-        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        known = self.known
-        if len(known) > self.keep:
-            known.clear()
-        if new := [w for w in distinct if w not in known]:
-            for a in range(0, len(new), 20_000):
-                part = new[a : a + 20_000]
-                for w, e in zip(part, self.encode(part, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, self.kind).tobytes()
-        pieces = [known[w] for w in distinct]
+        distinct, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
+        pieces, missing = self.words.find(distinct)
+        if missing:
+            for k, ids in zip(missing, self._new([distinct[k] for k in missing])):
+                pieces[k] = self.words.young[distinct[k]] = ids
+            self.words.turn()
         flat = b"".join(pieces)
         sizes = np.array([len(p) for p in pieces], np.int64) // self.kind.itemsize
         ids = np.frombuffer(flat, self.kind)
@@ -166,29 +233,30 @@ class Code:
 # --- writing and reading --------------------------------------------------------------------------
 
 
-def id_counts(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """id, n over all texts: one dense count in each task, then summed."""
+def id_counts(blocks: DataFrame) -> DataFrame:
+    """id, n over blocks of raw ids: one dense count in each task, then summed."""
 
     def run(batches):
-        words, total = word_ids(tokenizer), np.zeros(end_id + 1, np.int64)
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            for part in slices(batch):
-                ids, counts = words.ids(filled_text(part))
-                here = np.bincount(ids, minlength=len(total))
+            for raw in batch.column("ids"):
+                here = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"), minlength=len(total))
                 here[: len(total)] += total
                 total = here
-                total[end_id] += len(counts)
         seen = np.flatnonzero(total)
         if len(seen):
             yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    return docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return blocks.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-BLOCKS = "part int, block int, first_doc long, doc_ids array<long>, doc_sizes array<long>, n_ids long, checkpoints binary, stream binary"
+PLACE = "part int, block int, first_doc long, doc_ids array<long>, doc_sizes array<long>, n_ids long, "
+BLOCKS = PLACE + "checkpoints binary, stream binary"
 
 
-def _pack(tokenizer: str, end_id: int, code: Code):
+def _cut(tokenizer: str, end_id: int):
+    """Raw blocks of one ordered partition."""
+
     def run(batches):
         from pyspark import TaskContext
 
@@ -201,14 +269,13 @@ def _pack(tokenizer: str, end_id: int, code: Code):
             ids, held = held[:n], held[n:]
             ends = lead + np.cumsum(sizes, dtype=np.int64) if sizes else np.zeros(0, np.int64)
             k = int(np.searchsorted(ends - sizes, n)) if sizes else 0
-            stream, checkpoints = code.encode(ids)
-            values = [task, block, first, docs[:k], sizes[:k], n, checkpoints.tobytes(), stream]
+            values = [task, block, first, docs[:k], sizes[:k], n, ids.astype("<u4").tobytes()]
             lead = max(0, int(ends[k - 1]) - n) if k else lead - n
             first, block, docs, sizes = first + k, block + 1, docs[k:], sizes[k:]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()])], ["part", "block", "first_doc", "doc_ids", "doc_sizes", "n_ids", "checkpoints", "stream"])
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()])], ["part", "block", "first_doc", "doc_ids", "doc_sizes", "n_ids", "ids"])
 
         for batch in batches:
-            for part in slices(batch, 2 << 20):
+            for part in slices(batch):
                 ids, counts = with_end(*words.ids(filled_text(part)), end_id)
                 held = np.concatenate([held, ids])
                 docs, sizes = docs + part.column("doc_id").to_pylist(), sizes + counts.tolist()
@@ -221,21 +288,34 @@ def _pack(tokenizer: str, end_id: int, code: Code):
 
 
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int, path: str, limit: int = LIMIT) -> None:
-    """Two passes over the texts: counts for the code, then the streams, in ascending doc_id order. The
-    code has at most one row for each id of the vocabulary, which bounds what the driver holds."""
+    """Texts are tokenised once, in ascending doc_id order, into raw blocks in the scratch folder; their
+    counts give the code and each block is coded on its own. The code has at most one row for each id of
+    the vocabulary, which bounds what the driver holds."""
     spark = docs.sparkSession
-    counted = id_counts(docs, tokenizer, end_id).toPandas()
+    order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
+    ordered = docs.select("doc_id", "text").repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    raw_path = scratch_path(spark, "raw-ids")
+    raw = stored(ordered.mapInArrow(_cut(tokenizer, end_id), PLACE + "ids binary"), "raw-ids", raw_path)
+    counted = id_counts(raw).toPandas()
     ids, n = counted["id"].to_numpy(np.int64), counted["n"].to_numpy(np.int64)
-    order = np.argsort(ids)
-    ids, n = ids[order], n[order]
-    bits = code_lengths(n, limit) if len(ids) else np.zeros(0, np.int64)
-    code_rows = [(int(a), int(b), int(c)) for a, b, c in zip(ids, bits, n)]
-    spark.createDataFrame(code_rows, "id long, bits long, n long").coalesce(1).write.parquet(f"{path}/code")
+    by_id = np.argsort(ids)
+    ids, n = ids[by_id], n[by_id]
+    bits = code_lengths(n, limit)
+    rows = [(int(a), int(b), int(c)) for a, b, c in zip(ids, bits, n)]
+    spark.createDataFrame(rows, "id long, bits long, n long").coalesce(1).write.parquet(f"{path}/code")
     code = Code(ids, bits)
-    rows = docs.select("doc_id", "text")
-    order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
-    ordered = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
-    ordered.mapInArrow(_pack(tokenizer, end_id, code), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+
+    def make():
+        def f(batch):
+            coded = [code.encode(np.frombuffer(x.as_buffer(), "<u4")) for x in batch.column("ids")]
+            cols = [batch.column(c) for c in batch.schema.names if c != "ids"]
+            names = [c for c in batch.schema.names if c != "ids"]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([c.tobytes() for _, c in coded], pa.binary()), pa.array([s for s, _ in coded], pa.binary())], [*names, "checkpoints", "stream"])
+
+        return f
+
+    arrow_map(raw, make, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    remove(spark, raw_path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -1,0 +1,4 @@
+"""The registered queries."""
+
+from docweave.plans import graph_queries, retrieval_queries, text_queries  # noqa: F401
+from docweave.plans.registry import QUERIES, SQL  # noqa: F401

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,11 +63,11 @@ def read_bundles(spark: SparkSession, folder: str, pattern: str = "*.md") -> Dat
     raw = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("bundle"), "value")
 
     def run(batches):
-        for pdf in batches:
-            rows = [(b, p, k, t) for b, v in zip(pdf["bundle"], pdf["value"]) for k, (p, t) in enumerate(parse_bundle(b, v))]
-            yield pd.DataFrame(rows, columns=["bundle", "path", "nth", "text"])
+        for batch in batches:
+            rows = [{"bundle": b["bundle"], "path": p, "nth": k, "text": t} for b in batch.to_pylist() for k, (p, t) in enumerate(parse_bundle(b["bundle"], b["value"]))]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("bundle", pa.string()), ("path", pa.string()), ("nth", pa.int32()), ("text", pa.string())]))
 
-    return raw.mapInPandas(run, "bundle string, path string, nth int, text string")
+    return raw.mapInArrow(run, "bundle string, path string, nth int, text string")
 
 
 def bundle_text(files: DataFrame) -> DataFrame:
@@ -158,11 +158,11 @@ def paginated(spark: SparkSession, fetch, pages: int = 20, size: int = 100) -> D
     full last page means that the listing is longer than allowed, which is an error."""
 
     def run(batches):
-        for pdf in batches:
-            for page in pdf["id"]:
-                rows = fetch(int(page) + 1, size)
-                if int(page) == pages - 1 and len(rows) >= size:
+        for batch in batches:
+            for page in batch.column("id").to_pylist():
+                rows = fetch(page + 1, size)
+                if page == pages - 1 and len(rows) >= size:
                     raise ValueError(f"more than {pages} pages")
-                yield pd.DataFrame({"page": [int(page) + 1] * len(rows), "value": rows})
+                yield pa.RecordBatch.from_arrays([pa.array([page + 1] * len(rows), pa.int32()), pa.array(rows, pa.string())], ["page", "value"])
 
-    return spark.range(0, pages, 1, pages).mapInPandas(run, "page int, value string")
+    return spark.range(0, pages, 1, pages).mapInArrow(run, "page int, value string")

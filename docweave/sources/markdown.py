@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import datetime
-
-import pandas as pd
+import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,17 +23,24 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataF
     return raw.select(F.url_decode(F.replace(tail, F.lit("+"), F.lit("%2B"))).alias("rel_path"), F.col("value").alias("content"))
 
 
+def _loader():
+    """A safe loader that leaves dates as they are written."""
+
+    class Loader(yaml.SafeLoader):
+        yaml_implicit_resolvers = {k: [x for x in v if not x[0].endswith(":timestamp")] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}
+
+    return Loader
+
+
 def parse_one(block: str | None) -> dict:
     """Fields of one front-matter block. Keys are case-insensitive, the exact lower-case one wins (W8);
     scalars are lists of one; values of a wrong type are left out with a warning (F13, F14)."""
-    import yaml
-
     out: dict = {f: None for f in FIELDS} | {c: None for c in LISTS} | {"render": None, "error": None, "warnings": []}
     if block is None:
         return out
     try:
-        raw = yaml.safe_load(block)
-    except yaml.YAMLError as e:
+        raw = yaml.load(block, Loader=_loader())
+    except (yaml.YAMLError, ValueError) as e:
         return out | {"error": " ".join(str(e).split())}
     if raw is None:
         return out
@@ -47,7 +52,7 @@ def parse_one(block: str | None) -> dict:
             out["warnings"].append(f"key {key} repeats {key.lower()}")
         else:
             keyed[key.lower()] = raw[key]
-    plain = (str, int, float, bool, datetime.date)
+    plain = (str, int, float, bool)
     for f in FIELDS:
         v = keyed.get(f)
         if isinstance(v, plain):
@@ -73,13 +78,9 @@ def parse_one(block: str | None) -> dict:
     return out
 
 
-def _parse_all(blocks: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_one(b) for b in blocks], columns=[x.split()[0] for x in PARSED.split(", ")])
-
-
 def parse_frontmatter(block: Column) -> Column:
-    """The fields of front-matter blocks as a struct, in Arrow batches."""
-    return F.pandas_udf(_parse_all, PARSED)(block)
+    """The fields of front-matter blocks as a struct; blocks travel in Arrow batches."""
+    return F.udf(parse_one, PARSED, useArrow=True)(block)
 
 
 def documents(files: DataFrame) -> DataFrame:

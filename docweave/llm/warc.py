@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import arrow_map, filled_text, remove, scratch_path, slices, small, stored
+from docweave.llm.common import BROADCAST_ROWS, arrow_map, filled_text, remove, scratch_path, slices, small, stored
 
 MIN_REVISIT = 100
 #: Bytes of payload in one archive, at most about; gzip level.
@@ -209,8 +209,10 @@ def normalise_files(spark: SparkSession, source: str, path: str) -> None:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, each inflated alone
     at the place the index gives; the digest of a response is made anew from its block."""
-    index = spark.read.schema(INDEX).parquet(f"{path}/index").groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))
-    files = read_files(spark, f"{path}/archives").select("archive", "data")
+    entries = spark.read.schema(INDEX).parquet(f"{path}/index")
+    index = entries.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))
+    index = F.broadcast(index) if entries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else index
+    files = read_files(spark, f"{path}/archives").select(F.regexp_extract("path", "archive=(w[0-9a-f]+)/", 1).alias("archive"), "data")
 
     def make():
         def f(batch):

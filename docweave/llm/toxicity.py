@@ -5,9 +5,11 @@ the expected severity, the sum of these chances. Features are hashed words and w
 letters, each counted once for a distinct word of the text; weights are fitted with an L1 penalty, so most
 are zero and long texts gather no noise.
 
-If labels have grades above 1 these are used. Labels of 0 and 1 are graded first: a two-grade fit finds the
-telling words, and the toxic training texts are split into three grades by the share of their words that
-tell. Fitted on a bounded sample (a parameter); scoring is a narrow map over whole texts.
+If labels have grades above 1 all is fitted together. Labels of 0 and 1 are graded first: a two-grade fit
+gives the weights and the telling words, the toxic training texts are split into three grades by how many
+of these they have, and the further thresholds are placed where the grades are likeliest under the same
+weights. Fitted on a bounded sample (a parameter) whose rows weigh as much as the rows they stand for;
+scoring is a narrow map over whole texts.
 
 Defined results: null and empty texts have no features and the lowest severity the thresholds give;
 without toxic labels nothing is rejected.
@@ -67,7 +69,7 @@ class Ordinal:
         return sigmoid(scores[:, None] - self.thresholds)
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, weights: np.ndarray, epochs: int = 12, rate: float = 0.3, penalty: float = 2e-4, seed: int = 5) -> Ordinal:
+def fit(rows: list[np.ndarray], grades: np.ndarray, weights: np.ndarray, epochs: int = 12, rate: float = 0.3, penalty: float = 1e-3, seed: int = 5) -> Ordinal:
     """AdaGrad with soft thresholding. rows hold slots, repeated as often as distinct words have them."""
     top = max(1, int(grades.max(initial=1)))
     rng = np.random.default_rng(seed)
@@ -94,12 +96,28 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, weights: np.ndarray, epochs:
     return Ordinal(w, t)
 
 
-def graded(rows: list[np.ndarray], lengths: np.ndarray, labels: np.ndarray, first: Ordinal) -> np.ndarray:
-    """Grades 1 to 3 of toxic rows by the share of telling features, 0 for the others."""
+def supported(rows: list[np.ndarray], least: int = 6) -> list[np.ndarray]:
+    """Rows without features that fewer than `least` of them have."""
+    if not rows:
+        return rows
+    n = np.bincount(np.concatenate([np.unique(r) for r in rows]), minlength=1 << BITS)
+    return [r[n[r] >= min(least, 1 + len(rows) // 50)] for r in rows]
+
+
+def graded(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, first: Ordinal) -> Ordinal:
+    """The same weights with thresholds for grades 1 to 3, by the number of telling features."""
     telling = first.weights > 0.25 * first.weights.max(initial=0)
-    share = np.array([telling[r].sum() for r in rows]) / np.maximum(1, lengths)
-    cuts = np.quantile(share[labels > 0], [1 / 3, 2 / 3])
-    return np.where(labels > 0, 1 + (share[:, None] > cuts).sum(1), 0)
+    many = np.array([telling[r].sum() for r in rows])
+    z = np.array([first.weights[r].sum() for r in rows])
+    thresholds = [float(first.thresholds[0])]
+    for share in (1 / 3, 2 / 3):
+        want = (weights * ((labels > 0) & (many > np.quantile(many[labels > 0], share)))).sum()
+        low, high = thresholds[-1], float(z.max()) + 30
+        for _ in range(60):  # the likeliest place: as many rows expected above as there are
+            mid = (low + high) / 2
+            low, high = (mid, high) if (weights * sigmoid(z - mid)).sum() > want else (low, mid)
+        thresholds.append(low)
+    return Ordinal(first.weights, np.array(thresholds))
 
 
 def training_rows(chosen: DataFrame):
@@ -122,13 +140,19 @@ def training_rows(chosen: DataFrame):
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 4_000, reject_at: float = 0.5) -> DataFrame:
     """doc_id, severity (expected grade), grade (likeliest), toxic (P(grade > 0) >= reject_at) for every row.
     sample_rows bounds the labelled rows of either label for the fit."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
+    all_rows = {r["hit"]: r["n"] for r in known.groupBy((F.col("toxic") > 0).alias("hit")).agg(F.count("*").alias("n")).collect()}
     rows, marks = training_rows(texts_of(docs, labelled_sample(labels, "toxic", None, sample_rows, by_class=True)))
     if not (marks > 0).any():
         model = Ordinal(np.zeros(1 << BITS), np.array([30.0]))
     else:
-        model = fit(rows, marks, np.ones(len(rows)))
+        stands_for = np.array([all_rows[bool(m > 0)] / max(1, ((marks > 0) == (m > 0)).sum()) for m in (0, 1)] if (marks <= 0).any() else [1.0, 1.0])
+        weights = stands_for[(marks > 0).astype(int)]
+        weights = weights / weights.mean()
+        rows = supported(rows)
+        model = fit(rows, marks, weights)
         if marks.max() == 1:
-            model = fit(rows, graded(rows, np.array(list(map(len, rows))), marks, model), np.ones(len(rows)))
+            model = graded(rows, marks, weights, model)
     used = np.flatnonzero(model.weights)
     sent = docs.sparkSession.sparkContext.broadcast((used, model.weights[used], model.thresholds))
 

@@ -67,7 +67,7 @@ class WordIds:
 
     PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%*$#&|]*)").fullmatch
 
-    def __init__(self, path: str, keep: int = 350_000):
+    def __init__(self, path: str, keep: int = 250_000):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,11 +53,40 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+_held: dict = {}
+_wanted: set = set()
+
+
+def held(key: tuple, make: Callable):
+    """An object that a worker process keeps between tasks (a tokeniser with its tables). It goes as soon as
+    the worker has a task that does not ask for it, so operators do not pile up in a worker's memory."""
+    _wanted.add(key)
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
+def _tidy() -> None:
+    """Give back memory that earlier tasks of this worker have left."""
+    dropped = [k for k in _held if k not in _wanted]
+    for k in dropped:
+        del _held[k]
+    if dropped:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
-    """mapInArrow with one set-up call in each task."""
+    """mapInArrow with one set-up call in each task, which takes what it uses of held()."""
 
     def run(batches):
+        _wanted.clear()
         f = make()
+        _tidy()
         for b in batches:
             if b.num_rows:
                 yield from f(b)

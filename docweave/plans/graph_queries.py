@@ -147,11 +147,11 @@ def focus_neighbourhood(spark, d):
     return graph.neighbourhood(order_edges(spark, d), "p1")
 
 
-@query("SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_partkey % 3 = 0 AND l_orderkey % 2 = 0")
+@query("SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_type = 'ECONOMY') AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def visible_edges(spark, d):
     edge = order_edges(spark, d)
-    parts = table(spark, d, "part").filter("p_partkey % 3 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
-    orders = table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("id"))
+    parts = table(spark, d, "part").filter("p_type = 'ECONOMY'").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
+    orders = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.concat(F.lit("o"), "o_orderkey").alias("id"))
     return graph.visible_edges(edge, parts.union(orders))
 
 
@@ -182,9 +182,9 @@ def content_health(spark, d):
     return docs.agg(F.count("*").alias("pages"), F.sum("words").alias("words"), F.avg("words").alias("average_words"), F.count_if(F.col("quality").isNull()).alias("unlabelled"), F.count_if(F.col("toxic") == 1).alias("toxic"))
 
 
-@query("SELECT 'Order ' || o_orderkey AS title, '/o/' || o_orderkey || '/' AS url, strftime(o_orderdate, '%Y-%m-%d') AS date, strftime(o_orderdate, '%a, %d %b %Y 00:00:00 +0000') AS pub_date FROM orders WHERE o_orderkey % 2 = 0")
+@query("SELECT 'Order ' || o_orderkey AS title, '/o/' || o_orderkey || '/' AS url, strftime(o_orderdate, '%Y-%m-%d') AS date, strftime(o_orderdate, '%a, %d %b %Y 00:00:00 +0000') AS pub_date FROM orders WHERE o_orderstatus <> 'P'")
 def feed_items(spark, d):
-    day = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("soon")
+    day = F.when(F.col("o_orderstatus") != "P", F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("soon")
     return site.feed(table(spark, d, "orders").select(F.concat(F.lit("Order "), "o_orderkey").alias("title"), F.concat(F.lit("/o/"), "o_orderkey", F.lit("/")).alias("url"), day.alias("date")))
 
 

@@ -61,14 +61,14 @@ def bm25_batch(spark, d):
 
 def sectioned(spark, d):
     """Documents as pages with a blank or non-blank prelude and three headings."""
-    start = F.when(F.col("doc_id") % 2 == 0, F.lit("\n \n")).otherwise(F.concat(F.substring(F.col("text"), 1, 50), F.lit("\n")))
-    body = F.concat(start, F.lit("## "), "source", F.lit(" One ##\n"), F.substring(F.col("text"), 1, 100), F.lit("\n### Two "), "lang", F.lit("\n"), F.lit("\n#### Three\nlast words\n"))
-    body = F.when(F.col("doc_id") % 10 == 3, F.substring(F.col("text"), 1, 77)).otherwise(body)
+    start = F.when(F.col("doc_id") % 2 == 0, F.lit("\n \n")).otherwise(F.concat(F.col("text"), F.lit("\n")))
+    body = F.concat(start, F.lit("## "), "source", F.lit(" One ##\n"), F.col("text"), F.lit("\n### Two "), "lang", F.lit("\n"), F.lit("\n#### Three\nlast words\n"))
+    body = F.when(F.col("doc_id") % 10 == 3, F.col("text")).otherwise(body)
     flat = F.regexp_replace(body, "[\r\x0b\x0c]", " ")
     return table(spark, d, "documents").select(F.format_string("content/%s/%d.md", "source", "doc_id").alias("source_path"), F.concat(F.lit("T"), "doc_id").alias("title"), flat.alias("body"))
 
 
-_SECTIONS = rf"""base AS (SELECT doc_id, source, lang, substr(text, 1, 77) AS t77, substr(text, 1, 50) AS t50, substr(text, 1, 100) AS t100, source || '/' || doc_id AS page_id FROM documents),
+_SECTIONS = rf"""base AS (SELECT doc_id, source, lang, text AS t77, text AS t50, text AS t100, source || '/' || doc_id AS page_id FROM documents),
 c AS (
  SELECT page_id, 0 AS position, '' AS heading, t77 AS section, t77 AS inner_text, '' AS trail FROM base WHERE doc_id % 10 = 3
  UNION ALL SELECT page_id, 0, '', t50 || chr(10), t50, '' FROM base WHERE doc_id % 10 <> 3 AND doc_id % 2 = 1
@@ -88,13 +88,13 @@ def heading_trail(spark, d):
 
 
 @query("""SELECT d.doc_id, CASE WHEN l.quality = 1 THEN '/q/' || d.doc_id || '/' ELSE '/' || d.source || '/' || d.doc_id || '/' END AS url,
- CASE WHEN d.doc_id % 3 <> 0 THEN 'T' || d.doc_id WHEN l.quality IS NOT NULL THEN 'meta' || l.toxic WHEN d.doc_id % 2 = 0 THEN 'found' || d.doc_id ELSE '' END AS title
+ CASE WHEN d.doc_id % 3 <> 0 THEN 'T' || d.doc_id WHEN l.quality IS NOT NULL THEN 'meta' || l.toxic WHEN d.lang = 'en' THEN 'found' || d.doc_id ELSE '' END AS title
 FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def enrich_chunks(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     chunk = docs.select(F.col("doc_id").alias("page_id"), F.format_string("/%s/%d/", "source", "doc_id").alias("url"), F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("T"), "doc_id")).otherwise("").alias("title"))
     meta = labels.select(F.col("doc_id").alias("page_id"), F.when(F.col("quality") == 1, F.format_string("/q/%d/", "doc_id")).otherwise("").alias("meta_url"), F.concat(F.lit("meta"), "toxic").alias("meta_title"))
-    even = docs.filter("doc_id % 2 = 0").select(F.format_string(" /%s/%d", F.upper("source"), "doc_id").alias("url"), F.explode(F.array(F.struct(F.lit(1).alias("nth"), F.lit("old").alias("search_title")), F.struct(F.lit(2).alias("nth"), F.concat(F.lit("found"), "doc_id").alias("search_title")))).alias("e")).select("url", "e.*")
+    even = docs.filter("lang = 'en'").select(F.format_string(" /%s/%d", F.upper("source"), "doc_id").alias("url"), F.explode(F.array(F.struct(F.lit(1).alias("nth"), F.lit("old").alias("search_title")), F.struct(F.lit(2).alias("nth"), F.concat(F.lit("found"), "doc_id").alias("search_title")))).alias("e")).select("url", "e.*")
     return retrieval.enrich(chunk, meta, even).select(F.col("page_id").alias("doc_id"), "url", "title")
 
 
@@ -152,11 +152,11 @@ def content_hash(spark, d):
     return manifest.manifest(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")))
 
 
-@query("SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 10 = 0 THEN 'added' WHEN doc_id % 10 = 1 THEN 'removed' ELSE 'modified' END AS change FROM documents WHERE doc_id % 10 < 3")
+@query("SELECT doc_id::VARCHAR AS path, CASE WHEN source = 'src1' THEN 'added' WHEN source = 'src2' THEN 'removed' ELSE 'modified' END AS change FROM documents WHERE source IN ('src1', 'src2', 'src3')")
 def manifest_diff(spark, d):
-    docs, k = table(spark, d, "documents"), F.col("doc_id") % 10
+    docs, k = table(spark, d, "documents"), F.col("source")
     of = lambda df, body: manifest.manifest(df.select(F.col("doc_id").cast("string").alias("path"), body.alias("content")))
-    return manifest.difference(of(docs.filter(k != 0), F.col("text")), of(docs.filter(k != 1), F.when(k == 2, F.concat(F.col("text"), F.lit("!"))).otherwise(F.col("text"))))
+    return manifest.difference(of(docs.filter(k != "src1"), F.col("text")), of(docs.filter(k != "src2"), F.when(k == "src3", F.concat(F.col("text"), F.lit("!"))).otherwise(F.col("text"))))
 
 
 @query()

@@ -76,15 +76,15 @@ def slug_sql(expr: str) -> str:
     return _SLUG48.format(_SLUG.format(expr))
 
 
-@query(f"SELECT doc_id, {slug_sql('substr(text, 1, 90)')} AS slug FROM documents")
+@query(f"SELECT doc_id, {slug_sql('text')} AS slug FROM documents")
 def heading_slug(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.slugify(F.substring(F.col("text"), 1, 90)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", text.slugify(F.col("text")).alias("slug"))
 
 
-@query(f"SELECT doc_id, source || '/' || lang || '/' || doc_id || '#' || CASE WHEN doc_id % 4 = 0 THEN 'h0' ELSE 'h' || (doc_id % 7 + 1) || '-' || {slug_sql('substr(text, 1, 40)')} END AS chunk_id FROM documents")
+@query(f"SELECT doc_id, source || '/' || lang || '/' || doc_id || '#' || CASE WHEN doc_id % 4 = 0 THEN 'h0' ELSE 'h' || (doc_id % 7 + 1) || '-' || {slug_sql('text')} END AS chunk_id FROM documents")
 def chunk_id(spark, d):
     page = paths.corpus_page_id(F.concat(F.lit("content/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), F.col("doc_id"), F.lit(".md")))
-    heading = F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.substring(F.col("text"), 1, 40))
+    heading = F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("text"))
     return table(spark, d, "documents").select("doc_id", paths.chunk_id(page, F.col("doc_id") % 7, heading).alias("chunk_id"))
 
 
@@ -182,7 +182,7 @@ def strict_dates(spark, d):
 def markdown_body():
     """A Markdown page from a document: headings, a fence with a false heading, a repeated heading."""
     fence = F.lit("```\n# not a heading\n```\n")
-    return F.concat(F.lit("# "), "source", F.lit(" [*"), "lang", F.lit("*](x.md) #\n\n"), F.substring("text", 1, 200), F.lit("\n\n## Part _one_\n"), fence, F.substring("text", 201, 300), F.lit("\n\n### <b>Two</b> "), "doc_id", F.lit("\n\n#### Part one\n\nend\n"))
+    return F.concat(F.lit("# "), "source", F.lit(" [*"), "lang", F.lit("*](x.md) #\n\n"), F.col("text"), F.lit("\n\n## Part _one_\n"), fence, F.col("text"), F.lit("\n\n### <b>Two</b> "), "doc_id", F.lit("\n\n#### Part one\n\nend\n"))
 
 
 @query("SELECT doc_id, source || ' ' || lang || '|Part one|Two ' || doc_id AS headings FROM documents")

@@ -140,9 +140,9 @@ def training_rows(chosen: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]
     got = arrow_map(chosen, make, "doc_id long, label int, slots binary").toArrow().sort_by("doc_id")
     rows = []
     for b in got["slots"].to_pylist():
-        idx = np.frombuffer(b, "<i4").astype(np.int64)
+        idx = np.frombuffer(b, "<i4")
         n = len(idx) - N_STATS
-        rows.append((idx, np.concatenate([np.full(n, 0.5 / np.sqrt(max(1, n))), np.ones(N_STATS)])))
+        rows.append((idx, np.concatenate([np.full(n, 0.5 / np.sqrt(max(1, n)), np.float32), np.ones(N_STATS, np.float32)])))
     return rows, got["label"].to_numpy().astype(np.float64)
 
 

@@ -31,7 +31,7 @@ from docweave.llm.common import arrow_map, filled_text, slices, small, stored
 REGISTERS = 128
 BASE, RATE, TOP = 1.02, 20.0, 4000
 #: Members of a block that are compared with each other at once; shingles of a block that are held.
-BLOCK_ROWS, BLOCK_SHINGLES = 1500, 3_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 1000, 1_500_000
 
 _seeds = np.random.default_rng(20240517)
 _FLIP = _seeds.integers(0, 1 << 64, REGISTERS, dtype=np.uint64)

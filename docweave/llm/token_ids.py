@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import arrow_map, filled_text, remove, scratch_path, slices, small, stored
+from docweave.llm.common import arrow_map, filled_text, held, remove, scratch_path, slices, small, stored
 
 #: Ids in a block, ids between two checkpoints, most bits of a code.
 BLOCK, STEP, LIMIT = 1 << 18, 512, 20
@@ -67,7 +67,7 @@ class WordIds:
 
     PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%*$#&|]*)").fullmatch
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 200_000):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
@@ -140,13 +140,9 @@ class WordIds:
         return ids[at], counts
 
 
-_words: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    if path not in _words:
-        _words[path] = WordIds(path)
-    return _words[path]
+    """One for each worker process, so caches outlive a task."""
+    return held(("words", path), lambda: WordIds(path))
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -56,7 +56,7 @@ class Ordinal:
     def scores(self, text: pa.Array) -> np.ndarray:
         names, row, word, _ = distinct_words(text)
         known, w = self.known, self.weights
-        if len(known) > 300_000:
+        if len(known) > 150_000:
             known.clear()
         for name in names:
             if name not in known:
@@ -134,7 +134,7 @@ def training_rows(chosen: DataFrame):
         return f
 
     got = arrow_map(chosen, make, "doc_id long, label int, slots binary").toArrow().sort_by("doc_id")
-    return [np.frombuffer(b, "<i4").astype(np.int64) for b in got["slots"].to_pylist()], got["label"].to_numpy().astype(np.int64)
+    return [np.frombuffer(b, "<i4") for b in got["slots"].to_pylist()], got["label"].to_numpy().astype(np.int64)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 4_000, reject_at: float = 0.5) -> DataFrame:

@@ -123,10 +123,17 @@ class CuckooIndex:
 
 
 def _merge(first: bool):
-    """Rows (key, keep_id, group_size) to one row for each live key of the task, through an index."""
+    """Rows (key, keep_id, group_size) to one row for each live key of the task, through an index; a first
+    pass over rows of documents holds about SHARD_KEYS keys at a time."""
+
+    def rows(index):
+        live = list(index.items())
+        for a in range(0, len(live), 10_000):
+            part = live[a : a + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.binary()), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64())], ["key", "keep_id", "group_size"])
 
     def run(batches):
-        index = CuckooIndex()
+        index, n_live = CuckooIndex(), 0
         for b in batches:
             ids = b.column("doc_id" if first else "keep_id").to_pylist()
             sizes = [1] * len(ids) if first else b.column("group_size").to_pylist()
@@ -134,13 +141,14 @@ def _merge(first: bool):
                 old = index.get(key)
                 if old is None:
                     index.put(key, (doc, n))
+                    n_live += 1
                 else:
                     best = old[0] if doc is None or old[0] is not None and old[0] >= doc else doc
                     index.put(key, (best, old[1] + n))
-        live = list(index.items())
-        for a in range(0, len(live), 10_000):
-            part = live[a : a + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.binary()), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64())], ["key", "keep_id", "group_size"])
+            if first and n_live >= SHARD_KEYS:  # a first pass only sums up, so it may start anew
+                yield from rows(index)
+                index, n_live = CuckooIndex(), 0
+        yield from rows(index)
 
     return run
 

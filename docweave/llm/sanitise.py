@@ -6,12 +6,14 @@ the documents with the term,
 
     PMI(t; k) = log2(p(k|t) / p(k)) >= GENERALISE * IC(k),   IC(k) = -log2 p(k),
 
-and the term was seen with at least SUPPORT different entities (so copies of one text prove nothing).
+and the term was seen with at least SUPPORT different entities, in documents whose entities of the kind make
+at least SUPPORT different sets. All entities of a document count. The sets are there so that one text with
+many entities, its copies, or pages that share a contact address and hold nothing else prove nothing.
 Disclosing terms of a document that holds such an entity are generalised; from REMOVE * IC(k) on they are
 removed. All expressions are Spark's own; patterns are possessive, so the time is linear in the text.
 
 Defined results: null counts as empty; a document without entities has no further spans; further spans
-that touch an entity are dropped.
+that touch an entity are dropped; rows that repeat both id and text count once in all shares.
 """
 
 from __future__ import annotations
@@ -107,20 +109,30 @@ def terms(text: Column) -> Column:
 
 
 def disclosing_terms(texts: DataFrame, found: DataFrame, generalise: float, remove_at: float, support: int) -> DataFrame:
-    """doc, text_key and the disclosing terms of documents with entities."""
-    kinds = F.array_distinct(F.transform("base", lambda s: s["kind"]))
-    holders = found.filter(F.size("base") > 0)
-    first_value = F.explode(F.transform(kinds, lambda k: F.struct(k.alias("kind"), F.xxhash64(F.array_min(F.transform(F.filter("base", lambda s: s["kind"] == k), lambda s: s["value"]))).alias("entity"))))
-    holders = stored(holders.select("doc", "text_key", first_value.alias("e")).select("doc", "text_key", "e.kind", "e.entity").distinct(), "holders")
-    n = found.count()
+    """doc, text_key and the disclosing terms of documents with entities. All counts are over different rows
+    of doc and text_key."""
+    repeats = stored(found.groupBy("doc", "text_key").agg(F.count("*").alias("copies")).filter("copies > 1"), "repeats")
+    n = found.count() - (repeats.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)
+    kinds = F.explode(F.array_distinct(F.transform("base", lambda s: s["kind"])))
+    holders = found.filter(F.size("base") > 0).select("doc", "text_key", "base", kinds.alias("kind"))
+    values = F.array_sort(F.array_distinct(F.transform(F.filter("base", lambda s: s["kind"] == F.col("kind")), lambda s: F.xxhash64(s["value"]))))
+    # of one row, `support` entities suffice to tell if a term has that many: if any row has as many they are
+    # there, and if none has, nothing is left out; the set is told by all of them
+    holders = holders.select("doc", "text_key", "kind", values.alias("values")).select("doc", "text_key", "kind", F.xxhash64("values").alias("entity_set"), F.slice("values", 1, max(1, support)).alias("entities"))
+    holders = stored(holders.dropDuplicates(["doc", "text_key", "kind"]), "holders")
     n_kind = {r["kind"]: r["n"] for r in holders.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # four rows
     held = texts.join(small(holders.select("doc", "text_key").distinct()), ["doc", "text_key"])
     seen = stored(held.select("doc", "text_key", F.explode(terms(F.col("text"))).alias("term")).distinct(), "held-terms")
     pairs = seen.join(small(holders), ["doc", "text_key"])
-    together = pairs.groupBy("term", "kind", "entity").agg(F.count("*").alias("n")).groupBy("term", "kind").agg(F.count("*").alias("entities"), F.sum("n").alias("n_both"))
-    together = stored(together.filter(F.col("entities") >= support), "term-kinds")
+    sets = pairs.groupBy("term", "kind", "entity_set").agg(F.count("*").alias("n"), F.first("entities").alias("entities"))
+    each = sets.select("term", "kind", "n", F.posexplode("entities").alias("at", "entity"))  # a set is counted at its first
+    each = each.groupBy("term", "kind", "entity").agg(F.sum(F.when(F.col("at") == 0, F.col("n")).otherwise(0)).alias("n"), F.sum((F.col("at") == 0).cast("long")).alias("sets"))
+    together = each.groupBy("term", "kind").agg(F.count("*").alias("entities"), F.sum("sets").alias("sets"), F.sum("n").alias("n_both"))
+    together = stored(together.filter((F.col("entities") >= support) & (F.col("sets") >= support)), "term-kinds")
     candidates = small(together.select("term").distinct())
-    n_term = texts.select(F.explode(terms(F.col("text"))).alias("term")).join(candidates, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    again = small(repeats.withColumnRenamed("copies", "again"))
+    rows = texts.join(again, ["doc", "text_key"], "left").select(F.when(F.col("again").isNotNull(), F.struct("doc", "text_key")).alias("repeat"), F.explode(terms(F.col("text"))).alias("term"))
+    n_term = rows.join(candidates, "term", "left_semi").groupBy("term", "repeat").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum(F.when(F.col("repeat").isNull(), F.col("n")).otherwise(1)).alias("n_term"))
     content = F.create_map(*[x for k in range(len(KINDS)) for x in (F.lit(k), F.lit(-math.log2(n_kind[k] / n) if n_kind.get(k) else 0.0))])
     ic = F.element_at(content, F.col("kind"))
     pmi = F.log2(F.col("n_both") / F.col("n_term")) + ic

@@ -215,6 +215,29 @@ def test_disclosing_terms(spark):
     assert "quorvex" not in text and "[EMAIL]" in text and "the day was fine" in text
 
 
+def test_all_entities_of_a_document_count(spark):
+    rows = [(k, f"contact quorvex mail info@a.org or u{k}@x.org the day was fine") for k in range(12)]
+    rows += [(100 + k, f"the day was fine today number {k} contact") for k in range(80)]
+    rows += [(300 + k, "listed zzlist with " + " ".join(f"p{j}@y.org" for j in range(9))) for k in range(3)]  # one set
+    rows += [(400 + k, f"footer zzfoot of info@a.org page {k}") for k in range(7)]  # one shared entity
+    rows += [(500 + k, "pages zzfew " + " ".join(f"q{j}@z.org" for j in range(4) if (k + 1) >> j & 1)) for k in range(15)]  # 15 sets of 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {i: r["spans"] for i, r in by_id(sanitise.digests(sanitise.personal_data(docs))).items()}
+    assert all("remove:8:15" in spans[k] for k in range(12))
+    assert not any("remove" in s or "generalise" in s for i, s in spans.items() if i >= 300)
+
+
+def test_rows_that_repeat_count_once(spark):
+    # zzterm stands in 8 rows with an entity of their own and in one row without, which is there 20 times
+    rows = [(k, f"zzterm of u{k}@x.org") for k in range(8)] + [(50, "zzterm alone")]
+    rows += [(100 + k, f"the day was fine today number {k}") for k in range(91)]
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    more = spark.createDataFrame(rows + [(50, "zzterm alone")] * 19, "doc_id long, text string")
+    a, b = (by_id(sanitise.digests(sanitise.personal_data(d))) for d in (once, more))
+    assert "generalise:0:6" in a[0]["spans"] or "remove:0:6" in a[0]["spans"]
+    assert all(a[i] == b[i] for i in a)
+
+
 def test_mix(odd, spark, sf):
     got = mixing.mixed(odd)
     assert got.count() == len(ROWS) and got.filter("taken > 2 * size OR (size = 0 AND taken > 0)").count() == 0

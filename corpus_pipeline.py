@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 the next stage's docs. All but the last return the columns of documents and act on their decisions:
 
   toxicity       documents judged toxic go
-  near_dedup     one document of each near-duplicate class stays (the one with the smallest id)
+  near_dedup     one document of each near-duplicate class stays (the one with the smallest id,
+                 and rows that share this id)
   decontaminate  documents contaminated by the benchmark go
   mix            documents are repeated or left out as the mix to target weights has them
   tokens         token ids are written in ascending doc_id order and read back
@@ -30,9 +31,10 @@ from docweave.llm.wu_manber import contamination
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs but for those whose doc_id is in dropped; few ids are broadcast, many joined by shuffle."""
-    gone = stored(dropped.select(F.col("doc_id").alias("__gone")).distinct(), "dropped")
-    return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """docs but for those whose doc_id and text are in dropped; few are broadcast, many joined by shuffle."""
+    gone = stored(dropped.select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__gone_key")).distinct(), "dropped")
+    same: Column = F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.col("__row_key") == F.col("__gone_key"))
+    return docs.withColumn("__row_key", F.xxhash64("text")).join(small(gone), same, "left_anti").drop("__row_key")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

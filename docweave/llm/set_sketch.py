@@ -14,7 +14,8 @@ A pair at the threshold misses all bands with a probability under 1e-6 (banding(
 for which this holds, down to four registers).
 
 Defined results: null and empty texts (and those without words) have empty sets and are linked with
-nothing; rows with a null doc_id stand for themselves; rows that repeat a doc_id are rows of their own.
+nothing; rows with a null doc_id stand for themselves; rows that repeat a doc_id are rows of their own
+(texts of one id are linked apart; those in one component with the smallest id are all kept).
 """
 
 from __future__ import annotations
@@ -172,14 +173,14 @@ def _edges(ids: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
 
 def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     regs = np.frombuffer(b"".join(t["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-    return t["rep"].to_numpy(), t["n"].to_numpy(), t["side"].to_numpy(), regs
+    return t["node"].to_numpy(), t["n"].to_numpy(), t["side"].to_numpy(), regs
 
 
 def _forest_of_bucket(percent: int):
     least = least_equal(percent / 100)
 
     def f(t: pa.Table) -> pa.Table:
-        t = t.sort_by("rep")
+        t = t.sort_by("node")
         ids, sizes, side, regs = _columns(t)
         forest = Forest(len(ids))
         return _edges(ids, [(a, b) for a, b in zip(*(x.tolist() for x in _likely_pairs(regs, sizes, side, least, percent))) if forest.join(a, b)])
@@ -191,9 +192,9 @@ def _verified_forest(percent: int):
     least = least_equal(percent / 100)
 
     def f(t: pa.Table) -> pa.Table:
-        t = t.sort_by("rep")
+        t = t.sort_by("node")
         ids, sizes, side, regs = _columns(t)
-        keys = list(zip(ids.tolist(), t["set_key"].to_pylist()))
+        keys = ids.tolist()
         if len(set(keys)) < len(keys):  # rows that repeat both id and text
             t = t.take(pa.array(sorted({k: i for i, k in enumerate(keys)}.values())))
             ids, sizes, side, regs = _columns(t)
@@ -219,7 +220,7 @@ def _in_blocks(members: DataFrame, group: str) -> DataFrame:
     member goes to as many block pairs as its group has blocks, so tasks stay bounded."""
     totals = members.groupBy(group).agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     totals = totals.filter("members > 1").withColumn("blocks", F.greatest(F.ceil(F.col("members") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = members.join(totals.select(group, "blocks"), group).withColumn("mine", mine).withColumn("other", other)
     return rows.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other")).withColumn("side", F.when(F.col("low") == F.col("high"), 0).otherwise((F.col("mine") == F.col("high")).cast("int"))).drop("mine", "other", "blocks")
@@ -246,9 +247,10 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row. Texts are linked if 100 * intersection >=
-    percent * union of their shingle sets."""
+    """doc_id, text_key, n_shingles, component_id, kept for every row; text_key tells rows with one id apart.
+    Texts are linked if 100 * intersection >= percent * union of their shingle sets."""
     texts = docs.select("doc_id", "text")
+    keyed_texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
     def make():
         def f(batch):
@@ -259,31 +261,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                 key, reg = [None] * len(sets), [None] * len(sets)
                 for row, k in enumerate(full):
                     key[k], reg[k] = xxhash.xxh3_128_digest(sets[k].tobytes()), regs[row].tobytes()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(reg, pa.binary())], ["doc_id", "n", "set_key", "registers"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(reg, pa.binary())], ["doc_id", "text_key", "n", "set_key", "registers"])
 
         return f
 
-    rows = stored(arrow_map(texts, make, "doc_id long, n long, set_key binary, registers binary"), "sketches")
+    rows = stored(arrow_map(keyed_texts, make, "doc_id long, text_key long, n long, set_key binary, registers binary"), "sketches")
     linked = rows.filter("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    classes = stored(linked.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes")
+    # a class is told by a number, as classes of one id differ; the number is fixed once it is stored
+    classes = stored(linked.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("registers").alias("registers")).withColumn("node", F.monotonically_increasing_id()), "classes")
 
     # buckets: keys only; sketches follow for those that need them
     n_bands, n_rows = banding(percent / 100)
     bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * (2 * n_rows) + 1, F.lit(2 * n_rows)))))
-    keyed = classes.select("rep", bands.alias("bucket"))
-    buckets = keyed.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("a"), F.max("rep").alias("b"), F.bit_xor(F.xxhash64("rep")).alias("which")).filter("members > 1")
+    keyed = classes.select("node", bands.alias("bucket"))
+    buckets = keyed.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(F.xxhash64("node")).alias("which")).filter("members > 1")
     # buckets of the same members are one
     buckets = stored(buckets.groupBy("members", "a", "b", "which").agg(F.min("bucket").alias("bucket")), "buckets")
     pairs = buckets.filter("members = 2").select("a", "b")
     larger = keyed.join(small(buckets.filter("members > 2").select("bucket")), "bucket")
-    larger = larger.join(classes.select("rep", "n", "registers"), "rep")
+    larger = larger.join(classes.select("node", "n", "registers"), "node")
     larger = _in_blocks(stored(larger, "bucket-members"), "bucket")
     forest = larger.groupBy("bucket", "low", "high").applyInArrow(_forest_of_bucket(percent), EDGE)
     groups = stored(components(pairs.unionByName(forest)), "groups")
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
 
     # verification on full sets, made anew from the texts of the classes that have a possible partner
-    members = stored(classes.join(groups.select(F.col("node").alias("rep"), F.col("root").alias("group_id")), "rep").select("rep", "set_key", "n", "registers", "group_id"), "members")
+    members = stored(classes.join(groups.select("node", F.col("root").alias("group_id")), "node").select("node", "rep", "set_key", "n", "registers", "group_id"), "members")
     wanted = small(members.select(F.col("rep").alias("doc_id")).distinct())
     found = texts.join(wanted, "doc_id")
 
@@ -298,11 +301,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets = arrow_map(found, make_sets, "rep long, set_key binary, hashes binary")
     blocks = _in_blocks(members, "group_id").join(sets, ["rep", "set_key"])
     links = stored(blocks.groupBy("group_id", "low", "high").applyInArrow(_verified_forest(percent), EDGE), "links")
-    final = components(links)
+    final = stored(components(links), "final")
+    final = final.unionByName(final.select(F.col("root").alias("node"), "root").distinct())
 
     # classes that have several rows or partners
-    shared = classes.join(final.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    placed = stored(final.join(classes.select("node", "rep"), "node"), "placed")
+    placed = placed.select("node", "root").join(placed.groupBy("root").agg(F.min("rep").alias("smallest")), "root").select("node", "smallest")
+    shared = classes.join(placed, "node", "left").withColumn("root", F.coalesce("smallest", "rep"))
     shared = stored(shared.filter("copies > 1 OR root <> rep").select("set_key", "root"), "class-components")
     out = rows.drop("registers").join(small(shared), "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

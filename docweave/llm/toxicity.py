@@ -138,7 +138,8 @@ def training_rows(chosen: DataFrame):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 4_000, reject_at: float = 0.5) -> DataFrame:
-    """doc_id, severity (expected grade), grade (likeliest), toxic (P(grade > 0) >= reject_at) for every row.
+    """doc_id, text_key, severity (expected grade), grade (likeliest), toxic (P(grade > 0) >= reject_at) for every
+    row; text_key tells rows with one id apart.
     sample_rows bounds the labelled rows of either label for the fit."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     all_rows = {r["hit"]: r["n"] for r in known.groupBy((F.col("toxic") > 0).alias("hit")).agg(F.count("*").alias("n")).collect()}
@@ -166,8 +167,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 4_000, rejec
             for part in slices(batch, 4 << 20):
                 over = model.chances(model.scores(filled_text(part)))
                 each = np.concatenate([np.ones((len(over), 1)), over], 1) - np.concatenate([over, np.zeros((len(over), 1))], 1)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(over.sum(1)), pa.array(each.argmax(1).astype(np.int32)), pa.array(over[:, 0] >= reject_at)], ["doc_id", "severity", "grade", "toxic"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(over.sum(1)), pa.array(each.argmax(1).astype(np.int32)), pa.array(over[:, 0] >= reject_at)], ["doc_id", "text_key", "severity", "grade", "toxic"])
 
         return f
 
-    return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, severity double, grade int, toxic boolean")
+    return arrow_map(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), make, "doc_id long, text_key long, severity double, grade int, toxic boolean")

@@ -110,19 +110,19 @@ def union_spans(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-HITS = "row long, doc_id long, n_words long, spans array<struct<a: long, b: long>>, items array<string>"
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+HITS = "row long, doc_id long, text_key long, n_words long, spans array<struct<a: long, b: long>>, items array<string>"
+RESULT = "doc_id long, text_key long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def _summary(doc, n: int, spans, items, share: int) -> tuple:
+def _summary(doc, key: int, n: int, spans, items, share: int) -> tuple:
     hit = sum(b - a for a, b in union_spans(spans))
-    return doc, n, hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hit > 0 and share * hit >= n
+    return doc, key, n, hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hit > 0 and share * hit >= n
 
 
 def _table(rows: list[tuple]) -> tuple[list, list[str]]:
-    cols = list(zip(*rows)) if rows else [[]] * 6
-    types = [pa.int64()] * 4 + [pa.string(), pa.bool_()]
-    return [pa.array(list(c), t) for c, t in zip(cols, types)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    cols = list(zip(*rows)) if rows else [[]] * 7
+    types = [pa.int64()] * 5 + [pa.string(), pa.bool_()]
+    return [pa.array(list(c), t) for c, t in zip(cols, types)], ["doc_id", "text_key", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
@@ -139,8 +139,9 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (share * n_hit >= n_words) for every row."""
-    texts = docs.select("doc_id", "text")
+    """doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated (share * n_hit >= n_words) for every
+    row; text_key tells rows with one id apart."""
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     blocks = item_blocks(benchmark, block_bytes)
     first, second = next(blocks, []), next(blocks, None)
 
@@ -149,7 +150,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
 
         def f(batch):
             for part in slices(batch):
-                rows = [_summary(d, *windows.hits(t), share) for d, t in zip(part.column("doc_id").to_pylist(), filled_text(part).to_pylist())]
+                rows = [_summary(d, k, *windows.hits(t), share) for d, k, t in zip(part.column("doc_id").to_pylist(), part.column("text_key").to_pylist(), filled_text(part).to_pylist())]
                 yield pa.RecordBatch.from_arrays(*_table(rows))
 
         return f
@@ -167,12 +168,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
             def f(batch):
                 for part in slices(batch):
                     rows = []
-                    for r, d, t in zip(part.column("row").to_pylist(), part.column("doc_id").to_pylist(), filled_text(part).to_pylist()):
+                    for r, d, k, t in zip(part.column("row").to_pylist(), part.column("doc_id").to_pylist(), part.column("text_key").to_pylist(), filled_text(part).to_pylist()):
                         n, spans, found = windows.hits(t)
-                        rows.append((r, d, n, [{"a": a, "b": b} for a, b in union_spans(spans)], sorted(found)))
+                        rows.append((r, d, k, n, [{"a": a, "b": b} for a, b in union_spans(spans)], sorted(found)))
                     cols = list(zip(*rows))
-                    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.string())]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["row", "doc_id", "n_words", "spans", "items"])
+                    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.string())]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["row", "doc_id", "text_key", "n_words", "spans", "items"])
 
             return f
 
@@ -184,11 +185,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     merged = hits[0]
     for h in hits[1:]:
         merged = merged.unionByName(h)
-    merged = merged.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    merged = merged.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
     def finish():
         def f(batch):
-            rows = [_summary(x["doc_id"], x["n_words"], [(s["a"], s["b"]) for s in x["spans"]], x["items"], share) for x in batch.to_pylist()]
+            rows = [_summary(x["doc_id"], x["text_key"], x["n_words"], [(s["a"], s["b"]) for s in x["spans"]], x["items"], share) for x in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays(*_table(rows))
 
         return f

@@ -282,6 +282,27 @@ def test_toxicity_on_unseen_rows(spark):
     assert sum(caught) / len(caught) > 0.85 and sum(clean) / len(clean) < 0.01
 
 
+def test_stages_tell_rows_of_one_id_apart(spark, sf, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    items = spark.createDataFrame([(1, " ".join(f"b{k}" for k in range(20)))], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    bad = items.first()["text"]
+    near = [" ".join(f"n{k}" for k in range(200)), " ".join(f"n{k}" for k in range(201))]
+    rows = [(None, bad), (None, "clean without an id"), (None, None), (5, bad), (5, "clean with an id"), (5, None), (6, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(r) for r in pipeline.decontaminate(spark, docs, str(tmp_path)).collect()]
+    assert sorted(left, key=str) == sorted([r for r in rows if r[1] != bad], key=str)
+    # documents without labels but for two
+    words = [(k, f"vile zzbad filth {k}") for k in range(20, 60)] + [(k, f"kind zzgood words {k}") for k in range(60, 100)]
+    spark.createDataFrame([(k, int(k < 60), int(k < 60)) for k, _ in words], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = words + [(None, "vile zzbad filth"), (None, "kind zzgood words"), (7, "vile zzbad filth"), (7, "kind zzgood words")]
+    left = pipeline.toxicity(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).filter("doc_id IS NULL OR doc_id = 7").collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, [(None, "kind zzgood words"), (7, "kind zzgood words")]))
+    rows = [(3, near[0]), (5, near[1]), (5, "a text of its own"), (8, "a text of its own"), (None, near[1])]
+    left = pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, [rows[0], rows[2], rows[4]]))
+
+
 def test_pipeline(spark, sf, documents, odd):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -5,8 +5,8 @@
    exponentially spaced, truncated minimum, so sketches of parts of a set merge by taking maxima.
 2. Texts with equal sets form a class; only one of each class goes on.
 3. Each band of ROWS registers gives a bucket; buckets of two are pairs, larger ones are compared inside by
-   the likelihood of the similarity given how many registers are equal, in blocks of bounded size. Each
-   block gives a spanning forest, never all of its pairs.
+   how many registers are equal (least_equal(), in place of an estimate of the similarity), in blocks of
+   bounded size. Each block gives a spanning forest, never all of its pairs.
 4. Connected classes (a superset of the true links) are verified on full sets, again in bounded blocks:
    pairs already connected need no test; all others that the sketch allows are tested exactly.
 
@@ -20,6 +20,8 @@ nothing; rows with a null doc_id stand for themselves; rows that repeat a doc_id
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -118,9 +120,14 @@ def banding(share: float) -> tuple[int, int]:
 
 
 def least_equal(share: float) -> int:
-    """Equal registers below which a pair at the threshold falls with a chance under 1e-6 (4.75 sigma)."""
-    p = equal_chance(share)
-    return int(np.floor(REGISTERS * p - 4.75 * np.sqrt(REGISTERS * p * (1 - p))))
+    """Equal registers below which a pair at the threshold falls with a chance under 1e-6 (exact binomial tail)."""
+    p, below, least = equal_chance(share), 0.0, 0
+    while least <= REGISTERS:
+        below += math.comb(REGISTERS, least) * p**least * (1 - p) ** (REGISTERS - least)
+        if below >= 1e-6:
+            break
+        least += 1
+    return min(least, REGISTERS)
 
 
 class Forest:

@@ -1,6 +1,7 @@
 """The registered queries and operators on small tables: edge cases, brute force, SQL."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -145,6 +146,14 @@ def test_near_duplicates_in_one_large_group_and_small_blocks(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute_components(rows, 3, 85))
 
 
+@pytest.mark.parametrize("share", [0.5, 0.8, 0.85, 0.95])
+def test_least_equal_registers_by_exact_tail(share):
+    p, n = set_sketch.equal_chance(share), set_sketch.REGISTERS
+    chance = [math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)]
+    least = set_sketch.least_equal(share)
+    assert sum(chance[:least]) < 1e-6 <= sum(chance[: least + 1])
+
+
 def test_near_duplicates_edges(odd):
     rows = set_sketch.near_duplicates(odd).collect()
     assert len(rows) == len(ROWS)

@@ -250,6 +250,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
 

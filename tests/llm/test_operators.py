@@ -154,6 +154,13 @@ def test_least_equal_registers_by_exact_tail(share):
     assert sum(chance[:least]) < 1e-6 <= sum(chance[: least + 1])
 
 
+def test_components_that_are_not_settled_raise(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        set_sketch.components(chain, max_rounds=1)
+    assert {r["root"] for r in set_sketch.components(chain).collect()} == {0}
+
+
 def test_near_duplicates_edges(odd):
     rows = set_sketch.near_duplicates(odd).collect()
     assert len(rows) == len(ROWS)

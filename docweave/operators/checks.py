@@ -120,7 +120,7 @@ def asset_references(references: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def validate(docs: DataFrame) -> DataFrame:
-    """All rules over documents, in the order of reports."""
+    """V1-V10 over documents, in the order of reports (U5, O3); the asset rules of C8 are not part of it."""
     found = reduce(DataFrame.unionByName, [frontmatter(docs), broken_links(docs), collisions(docs), orphans(docs)])
     return found.orderBy("file", "line", "level", "message")
 

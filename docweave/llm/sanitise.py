@@ -1,31 +1,32 @@
 """Personal data: patterned entities, and the terms that disclose them.
 
-Entities of four kinds are found by pattern. A term discloses a kind when knowing the term tells most of
-what knowing the entity would: with p(k) the share of documents that hold the kind and p(k|t) that among
-the documents with the term,
+Entities of four kinds are found by pattern; each different value is a protected entity. With N the number of
+different texts, n(e) those that hold the entity e, n(t) those with the term t and n(t, e) those with both,
 
-    PMI(t; k) = log2(p(k|t) / p(k)) >= GENERALISE * IC(k),   IC(k) = -log2 p(k),
+    PMI(t; e) = log2(n(t, e) * N / (n(t) * n(e))),   IC(e) = log2(N / n(e)).
 
-and the term was seen with at least SUPPORT different entities, in documents whose entities of the kind make
-at least SUPPORT different sets. All entities of a document count. The sets are there so that one text with
-many entities, its copies, or pages that share a contact address and hold nothing else prove nothing.
-Disclosing terms of a document that holds such an entity are generalised; from REMOVE * IC(k) on they are
-removed. All expressions are Spark's own; patterns are possessive, so the time is linear in the text.
+PMI equals IC if every text with the term holds the entity: the term then tells all there is to know. A term
+discloses an entity from GENERALISE * IC(e) on, if at least SUPPORT different texts hold both, so that no single
+text and its copies prove anything. In every text that holds the entity the disclosing terms are generalised;
+from REMOVE * IC(e) on they are removed. All statistics are over different texts of the whole corpus.
 
-Defined results: null counts as empty; a document without entities has no further spans; further spans
-that touch an entity are dropped; rows that repeat both id and text count once in all shares.
+Entities that stand in the same set of texts have the same statistics, so terms are paired with such sets, not
+with entities: a list of a thousand addresses that occurs in five texts is one set. Sets are told by count, sum
+and xor of hashes of their texts. All expressions are Spark's own; patterns are possessive, so the time is
+linear in the text.
+
+Defined results: null counts as empty; a document without entities has no further spans; further spans that
+touch an entity are dropped; rows that repeat a text count once in all shares and have the same spans.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.llm.common import small, stored
 
-GENERALISE, REMOVE, SUPPORT = 0.8, 0.95, 5
+GENERALISE, REMOVE, SUPPORT = 0.8, 0.95, 3
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("generalise", "remove")
 
@@ -104,59 +105,67 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
+TERM = r"\p{L}{3,}+"
+
+
 def terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{3,}+"), F.lit(0)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
 def disclosing_terms(texts: DataFrame, found: DataFrame, generalise: float, remove_at: float, support: int) -> DataFrame:
-    """doc, text_key and the disclosing terms of documents with entities. All counts are over different rows
-    of doc and text_key."""
-    repeats = stored(found.groupBy("doc", "text_key").agg(F.count("*").alias("copies")).filter("copies > 1"), "repeats")
-    n = found.count() - (repeats.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)
-    kinds = F.explode(F.array_distinct(F.transform("base", lambda s: s["kind"])))
-    holders = found.filter(F.size("base") > 0).select("doc", "text_key", "base", kinds.alias("kind"))
-    values = F.array_sort(F.array_distinct(F.transform(F.filter("base", lambda s: s["kind"] == F.col("kind")), lambda s: F.xxhash64(s["value"]))))
-    # of one row, `support` entities suffice to tell if a term has that many: if any row has as many they are
-    # there, and if none has, nothing is left out; the set is told by all of them
-    holders = holders.select("doc", "text_key", "kind", values.alias("values")).select("doc", "text_key", "kind", F.xxhash64("values").alias("entity_set"), F.slice("values", 1, max(1, support)).alias("entities"))
-    holders = stored(holders.dropDuplicates(["doc", "text_key", "kind"]), "holders")
-    n_kind = {r["kind"]: r["n"] for r in holders.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # four rows
-    held = texts.join(small(holders.select("doc", "text_key").distinct()), ["doc", "text_key"])
-    seen = stored(held.select("doc", "text_key", F.explode(terms(F.col("text"))).alias("term")).distinct(), "held-terms")
-    pairs = seen.join(small(holders), ["doc", "text_key"])
-    sets = pairs.groupBy("term", "kind", "entity_set").agg(F.count("*").alias("n"), F.first("entities").alias("entities"))
-    each = sets.select("term", "kind", "n", F.posexplode("entities").alias("at", "entity"))  # a set is counted at its first
-    each = each.groupBy("term", "kind", "entity").agg(F.sum(F.when(F.col("at") == 0, F.col("n")).otherwise(0)).alias("n"), F.sum((F.col("at") == 0).cast("long")).alias("sets"))
-    together = each.groupBy("term", "kind").agg(F.count("*").alias("entities"), F.sum("sets").alias("sets"), F.sum("n").alias("n_both"))
-    together = stored(together.filter((F.col("entities") >= support) & (F.col("sets") >= support)), "term-kinds")
+    """doc, text_key, term, out (removed or generalised) of one row of each text with entities. texts: doc,
+    text_key, text; found: doc, text_key, base."""
+    # entities in `support` texts or more, with the set of their texts
+    values = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], s["value"])))
+    each = found.groupBy("text_key").agg(F.count("*").alias("copies"), F.min("doc").alias("doc"), F.first("base").alias("base"))
+    each = stored(each.filter((F.col("copies") > 1) | (F.size("base") > 0)).select("text_key", "copies", "doc", values.alias("entities")), "holders")
+    n = found.count() - (each.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)
+    held = each.select("text_key", "doc", F.explode("entities").alias("entity"))
+    mark = F.xxhash64("text_key", F.lit("set"))
+    sets = held.groupBy("entity").agg(F.count("*").alias("n_set"), F.sum(mark.cast("decimal(38,0)")).alias("total"), F.bit_xor(mark).alias("parity"))
+    sets = sets.filter(F.col("n_set") >= support).select("entity", "n_set", F.xxhash64("n_set", "total", "parity").alias("entity_set"))
+    members = stored(held.join(small(stored(sets, "entity-sets")), "entity").select("text_key", "doc", "entity_set", "n_set").distinct(), "members")
+    # terms of one row of each text that holds such a set
+    rows = small(members.select("doc", "text_key").distinct())
+    seen = stored(texts.join(rows, ["doc", "text_key"]).select("text_key", F.explode(terms(F.col("text"))).alias("term")).distinct(), "held-terms")
+    pairs = seen.join(small(members.drop("doc")), "text_key")
+    together = pairs.groupBy("term", "entity_set").agg(F.count("*").alias("n_both"), F.first("n_set").alias("n_set"))
+    together = stored(together.filter(F.col("n_both") >= support), "term-sets")
+    # texts with each of these terms; a text that repeats is told by its key
     candidates = small(together.select("term").distinct())
-    again = small(repeats.withColumnRenamed("copies", "again"))
-    rows = texts.join(again, ["doc", "text_key"], "left").select(F.when(F.col("again").isNotNull(), F.struct("doc", "text_key")).alias("repeat"), F.explode(terms(F.col("text"))).alias("term"))
+    again = small(each.filter("copies > 1").select("text_key", F.lit(True).alias("again")))
+    rows = texts.join(again, "text_key", "left").select(F.when(F.col("again"), F.col("text_key")).alias("repeat"), F.explode(terms(F.col("text"))).alias("term"))
     n_term = rows.join(candidates, "term", "left_semi").groupBy("term", "repeat").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum(F.when(F.col("repeat").isNull(), F.col("n")).otherwise(1)).alias("n_term"))
-    content = F.create_map(*[x for k in range(len(KINDS)) for x in (F.lit(k), F.lit(-math.log2(n_kind[k] / n) if n_kind.get(k) else 0.0))])
-    ic = F.element_at(content, F.col("kind"))
-    pmi = F.log2(F.col("n_both") / F.col("n_term")) + ic
-    told = stored(together.join(n_term, "term").select("term", "kind", pmi.alias("pmi"), ic.alias("ic")).filter((F.col("pmi") >= generalise * F.col("ic")) & (F.col("ic") > 0)), "disclosing")
-    return pairs.join(small(told), ["term", "kind"]).groupBy("doc", "text_key", "term").agg(F.max(F.col("pmi") >= remove_at * F.col("ic")).alias("out")).groupBy("doc", "text_key").agg(F.sort_array(F.collect_set(F.when(F.col("out"), F.col("term")))).alias("removed"), F.sort_array(F.collect_set(F.when(~F.col("out"), F.col("term")))).alias("generalised"))
-
-
-def _any_of(words: Column) -> Column:
-    return F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L})"))
+    ic = F.log2(F.lit(float(n)) / F.col("n_set"))
+    pmi = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_term") * F.col("n_set")))
+    told = together.join(n_term, "term").select("term", "entity_set", pmi.alias("pmi"), ic.alias("ic")).filter((F.col("ic") > 0) & (F.col("pmi") >= generalise * F.col("ic")))
+    out = pairs.join(small(stored(told, "disclosing")), ["term", "entity_set"]).groupBy("text_key", "term").agg(F.max(F.col("pmi") >= remove_at * F.col("ic")).alias("out"))
+    return out.join(small(members.select("doc", "text_key").distinct()), "text_key")
+
+
+def term_spans(texts: DataFrame, told: DataFrame) -> DataFrame:
+    """text_key, added: the places of the terms told (doc, text_key, term, out) for each text. Places are sums of
+    lengths over the runs of one text, in a window, so time stays in proportion to the text."""
+    rows = texts.join(small(told.select("doc", "text_key").distinct()), ["doc", "text_key"])
+    runs, between = F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.split("text", TERM, -1)
+    runs = rows.select("text_key", F.posexplode(F.arrays_zip(runs.alias("run"), F.slice(between, 1, F.size(runs)).alias("gap"))).alias("pos", "x")).dropDuplicates(["text_key", "pos"])
+    until = Window.partitionBy("text_key").orderBy("pos")
+    ends = runs.select("text_key", F.lower("x.run").alias("term"), F.length("x.run").alias("n"), F.sum(F.length("x.gap") + F.length("x.run")).over(until).alias("end"), F.col("x.run").alias("value"))
+    kind = F.when(F.col("out"), len(KINDS) + 1).otherwise(len(KINDS))
+    span = F.struct((F.col("end") - F.col("n")).alias("start"), F.col("end").cast("long").alias("end"), kind.alias("kind"), "value")
+    return ends.join(told.select("text_key", "term", "out"), ["text_key", "term"]).groupBy("text_key").agg(F.array_sort(F.collect_list(span)).cast(SPAN).alias("added"))
 
 
 def personal_data(docs: DataFrame, generalise: float = GENERALISE, remove_at: float = REMOVE, support: int = SUPPORT) -> DataFrame:
-    """doc_id, base (entities) and added (terms) for every row, as arrays of spans in code points; doc and
-    text_key tell rows apart."""
+    """doc_id, text_key, base (entities) and added (terms) for every row, as arrays of spans in code points."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    texts = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    texts = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.md5(text).alias("text_key"), text.alias("text"))
     found = stored(texts.select("doc_id", "doc", "text_key", entities(F.col("text")).alias("base")), "entities")
     told = stored(disclosing_terms(texts, found, generalise, remove_at, support), "told")
-    none = F.array().cast(SPAN)
-    spans = [F.when(F.size(c) > 0, matches(F.col("text"), _any_of(F.col(c)), len(KINDS) + k)).otherwise(none) for k, c in enumerate(("generalised", "removed"))]
-    added = texts.join(small(told), ["doc", "text_key"]).select("doc", "text_key", F.concat(*spans).alias("added")).dropDuplicates(["doc", "text_key"])
-    out = found.join(small(stored(added, "added")), ["doc", "text_key"], "left")
-    apart = F.filter(F.coalesce("added", none), lambda a: ~F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
-    return out.select("doc_id", "doc", "text_key", "base", F.array_sort(apart, lambda a, b: (a["start"] - b["start"]).cast("int")).alias("added"))
+    added = term_spans(texts, told)
+    out = found.join(small(stored(added, "added")), "text_key", "left")
+    apart = F.filter(F.coalesce("added", F.array().cast(SPAN)), lambda a: ~F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
+    return out.select("doc_id", "text_key", "base", F.array_sort(apart, lambda a, b: (a["start"] - b["start"]).cast("int")).alias("added"))
 
 
 def sanitised(text: Column, base: Column, added: Column) -> Column:

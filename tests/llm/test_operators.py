@@ -209,49 +209,70 @@ def plain_spans(text):
     return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(out))
 
 
-def test_entities_equal_a_plain_search(spark, documents):
-    odd_texts = ["a@b.c.@d.e x@y.z", "1.2.3.4.5.6.7.8 300.1.1.1 00001.2.3.004", "éé😀 me@x.org and 4111111111111111-1", "a@b.c-d@e.f @@ a@@b.c", "9" * 20_000, "a." * 9_000 + "@x.y", "+1+1+1 +12 345 678 901", ""]
-    rows = [(int(i), t) for i, t in zip(documents.doc_id, documents.text)] + [(10**6 + k, t) for k, t in enumerate(odd_texts)]
-    got = by_id(sanitise.digests(sanitise.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))))
-    for i, t in rows:
-        want = plain_spans(t)
-        assert got[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and got[i]["spans"] == want
-
-
-def test_disclosing_terms(spark):
-    rows = [(k, f"contact quorvex today mail u{k}@x.org the day was fine") for k in range(12)]
-    rows += [(100 + k, f"the day was fine today number {k} contact") for k in range(80)]
-    rows += [(300 + k, "copied zzcopy text with same@x.org in it") for k in range(6)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+ODD_TEXTS = ["a@b.c.@d.e x@y.z", "1.2.3.4.5.6.7.8 300.1.1.1 00001.2.3.004", "éé😀 me@x.org and 4111111111111111-1", "a@b.c-d@e.f @@ a@@b.c", "9" * 20_000, "a." * 9_000 + "@x.y", "+1+1+1 +12 345 678 901", "", None]
+# a term of three texts with one address, a list of addresses, copies of one text, a term seen elsewhere too
+PLANTED = [f"Contact ZZQuorvex today, page {'abc'[k]}xx: mail one@zz.org, ÉTÉzz" for k in range(3)] + ["other ÉTÉzz page"]
+PLANTED += [f"list zzlist {'abcd'[k] * 4} of " + " ".join(f"p{j}@y.org" for j in range(200)) for k in range(4)]
+PLANTED += ["copied zzcopy text with same@x.org in it"] * 9
+PLANTED += ["zzlong one@zz.org " + " ".join(f"{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}zz" for k in range(9_000))]
+
+
+def plain_sanitised(texts):
+    """All spans of each text: entities by a plain search, terms by sets of different texts."""
+    base = {t: [(int(x.split(":")[1]), x, t[int(x.split(":")[1]) : int(x.split(":")[2])]) for x in plain_spans(t).split(",") if x] for t in set(texts)}
+    of_entity, of_term = defaultdict(set), defaultdict(set)
+    runs = {t: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{3,}", t)] for t in base}
+    for t in base:
+        for _, x, value in base[t]:
+            of_entity[x.split(":")[0], value].add(t)
+        for _, _, w in runs[t]:
+            of_term[w].add(t)
+    out, n = {}, len(base)
+    for t in base:
+        spans = {}
+        for entity in {(x.split(":")[0], v) for _, x, v in base[t]}:
+            have = of_entity[entity]
+            ic = math.log2(n / len(have))
+            if len(have) < 3 or ic <= 0:
+                continue
+            for a, b, w in runs[t]:
+                both = len(have & of_term[w])
+                told = math.log2(both * n / (len(of_term[w]) * len(have))) / ic if both >= 3 else 0
+                if told >= 0.8 - 1e-12 and not any(a < int(x.split(":")[2]) and s < b for s, x, _ in base[t]):
+                    kind = "remove" if told >= 0.95 - 1e-12 else "generalise"
+                    spans[a, b] = "remove" if "remove" in (kind, spans.get((a, b))) else kind
+        every = [(s, x) for s, x, _ in base[t]] + [(a, f"{k}:{a}:{b}") for (a, b), k in spans.items()]
+        order = {k: i for i, k in enumerate(sanitise.KINDS + sanitise.ADDED)}
+        out[t] = ",".join(x for _, x in sorted(every, key=lambda y: (y[0], order[y[1].split(":")[0]])))
+    return out
+
+
+def test_personal_data_equals_a_plain_search(spark, documents):
+    texts = [*documents.text, *ODD_TEXTS, *PLANTED]
+    rows = [(k, t, "?") for k, t in enumerate(texts)] + [(5, texts[5], "?"), (None, PLANTED[0], "?"), (None, None, "?")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc string").withColumn("base", F.lit(1)).withColumn("term", F.lit(2)).repartition(5)
     found = sanitise.personal_data(docs)
-    spans = by_id(sanitise.digests(found))
-    assert "remove:8:15" in spans[0]["spans"] and spans[100]["spans"] == ""
-    assert "generalise" not in spans[300]["spans"] and "remove" not in spans[300]["spans"]  # copies prove nothing
-    text = found.filter("doc_id = 0").join(docs, "doc_id").select(sanitise.sanitised(F.col("text"), F.col("base"), F.col("added")).alias("t")).first()["t"]
-    assert "quorvex" not in text and "[EMAIL]" in text and "the day was fine" in text
-
-
-def test_all_entities_of_a_document_count(spark):
-    rows = [(k, f"contact quorvex mail info@a.org or u{k}@x.org the day was fine") for k in range(12)]
-    rows += [(100 + k, f"the day was fine today number {k} contact") for k in range(80)]
-    rows += [(300 + k, "listed zzlist with " + " ".join(f"p{j}@y.org" for j in range(9))) for k in range(3)]  # one set
-    rows += [(400 + k, f"footer zzfoot of info@a.org page {k}") for k in range(7)]  # one shared entity
-    rows += [(500 + k, "pages zzfew " + " ".join(f"q{j}@z.org" for j in range(4) if (k + 1) >> j & 1)) for k in range(15)]  # 15 sets of 4
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    spans = {i: r["spans"] for i, r in by_id(sanitise.digests(sanitise.personal_data(docs))).items()}
-    assert all("remove:8:15" in spans[k] for k in range(12))
-    assert not any("remove" in s or "generalise" in s for i, s in spans.items() if i >= 300)
-
-
-def test_rows_that_repeat_count_once(spark):
-    # zzterm stands in 8 rows with an entity of their own and in one row without, which is there 20 times
-    rows = [(k, f"zzterm of u{k}@x.org") for k in range(8)] + [(50, "zzterm alone")]
-    rows += [(100 + k, f"the day was fine today number {k}") for k in range(91)]
-    once = spark.createDataFrame(rows, "doc_id long, text string")
-    more = spark.createDataFrame(rows + [(50, "zzterm alone")] * 19, "doc_id long, text string")
-    a, b = (by_id(sanitise.digests(sanitise.personal_data(d))) for d in (once, more))
-    assert "generalise:0:6" in a[0]["spans"] or "remove:0:6" in a[0]["spans"]
-    assert all(a[i] == b[i] for i in a)
+    got = sanitise.digests(found).collect()
+    want = plain_sanitised([t or "" for _, t, _ in rows])
+    assert Counter((r["doc_id"], r["spans"]) for r in got) == Counter((i, want[t or ""]) for i, t, _ in rows)
+    hashes = Counter((i, hashlib.sha256(plain_spans(t or "").encode()).hexdigest()) for i, t, _ in rows)
+    assert Counter((r["doc_id"], r["base_sha256"]) for r in got) == hashes
+    first = len(texts) - len(PLANTED)
+    spans = {r["doc_id"]: r["spans"] for r in got}
+    assert "remove:8:17" in spans[first] and "remove:5:11" in spans[first + 4]
+    assert all(spans[k] == "email:24:34" for k in range(first + 8, first + 17))  # copies prove nothing
+    text = found.filter(F.col("doc_id") == first).join(docs.select("doc_id", "text"), "doc_id").select(sanitise.sanitised(F.col("text"), F.col("base"), F.col("added")).alias("t")).first()["t"]
+    assert "Quorvex" not in text and "[EMAIL]" in text and "[TERM]" in text
+
+
+@pytest.mark.parametrize("size", ["0.01", "0.1"])
+def test_terms_that_disclose_at_two_sizes(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/sf{size}/documents.parquet").select("doc_id", "text")
+    planted = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(PLANTED)], "doc_id long, text string")
+    got = by_id(sanitise.digests(sanitise.personal_data(docs.unionByName(planted))).filter("spans LIKE '%remove%' OR spans LIKE '%generalise%'"))
+    assert all("remove:8:17" in got[-1 - k]["spans"] for k in range(3)) and all("remove:5:11" in got[-5 - k]["spans"] for k in range(4))
+    assert all(-9 - k not in got for k in range(9)) and -4 not in got
+    assert all(r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] for r in got.values())
 
 
 def test_mix(odd, spark, sf):
@@ -265,6 +286,18 @@ def test_mix(odd, spark, sf):
         assert abs(r["taken"] - r["target"]) <= r["largest"] and r["target"] <= 2 * r["own"] + 1e-6
 
 
+def test_mix_samples_in_proportion_to_size(spark):
+    rows = [(k, " ".join(["w"] * (1, 4, 16)[k % 3]), "a") for k in range(9_000)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1,), share=0.25).collect()
+    share = {n: np.mean([r["copies"] for r in got if r["size"] == n]) for n in (1, 4, 16)}
+    assert abs(share[4] / share[1] - 4) < 1 and abs(share[16] / share[4] - 4) < 0.6
+    assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 16
+    # whole copies first, then certain documents, then the sample
+    got = mixing.mixed(spark.createDataFrame([*rows, (10**6, "w " * 5_000, "a")], "doc_id long, text string, source string"), weights=(1,), share=1.25).collect()
+    assert min(r["copies"] for r in got) == 1 and {r["copies"] for r in got if r["size"] > 16} == {2}
+    assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 16
+
+
 def test_contamination(odd, spark):
     items = spark.createDataFrame([(1, "TWO three, four"), (2, "w1 w2 w3 w4"), (2, "w1 w2 w3 w4"), (None, "one"), (3, None), (4, "...")], "item_id long, text string")
     for size in (1 << 20, 10):
@@ -289,6 +322,24 @@ def test_classifiers_take_odd_rows(odd, spark):
     assert len(q) == len(t) == len(ROWS) and all(0 <= r["score"] <= 1 for r in q) and all(r["severity"] >= 0 for r in t)
 
 
+def test_scores_equal_a_plain_sum(spark, sf, documents, odd):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fitted(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert len(model.thresholds) > 1 and (np.diff(model.thresholds) > 0).all()
+
+    def plain(text):
+        z = sum(model.weights[s] for w in set((text or "").split()) for s in toxicity.slots_of(w))
+        over = [1 / (1 + math.exp(t - z)) for t in model.thresholds]
+        each = [a - b for a, b in zip([1, *over], [*over, 0])]
+        return round(sum(over), 6), each.index(max(each)), over[0] >= 0.5
+
+    rows = list(zip(documents.doc_id, documents.text)) + [r[:2] for r in ROWS]
+    got = [*toxicity.graded_texts(docs, model).collect(), *toxicity.graded_texts(odd, model).collect()]
+    assert Counter((r["doc_id"], round(r["severity"], 6), r["grade"], r["toxic"]) for r in got) == Counter((i, *plain(t)) for i, t in rows)
+    low = plain("")
+    assert low[1:] == (0, False) and {round(r["severity"], 6) for r in got if r["doc_id"] in (3, 4, 5)} >= {low[0]}
+
+
 def test_toxicity_on_unseen_rows(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     odd_ones = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0

@@ -13,7 +13,7 @@ import pytest
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from docweave.llm import cuckoo, set_sketch, token_counts, token_ids, warc, wu_manber  # noqa: E402
+from docweave.llm import cuckoo, set_sketch, token_counts, token_ids, toxicity, warc, wu_manber  # noqa: E402
 
 BITS = ["a", "the", " ", "  ", "\n", "\n\n", "'re", "'s", "'", "!", "23", "é", " ", " ", "日本", "<|endoftext|>", "<|endo", "\x1d", "😀", "don't", " '", "\t", "...", "word "]
 
@@ -152,3 +152,41 @@ def test_warc_normaliser():
 def test_union_of_spans_and_counts():
     assert wu_manber.union_spans([(5, 9), (0, 2), (2, 4), (6, 7)]) == [(0, 4), (5, 9)]
     assert Counter(wu_manber.words("A-b_é1 ")) == Counter([b"a", b"b", "é1 ".encode()])
+
+
+def test_ordinal_fit_comes_to_the_optimum():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 2, (400, 5))
+    z = x @ np.array([2.0, 1.0, 0.0, -1.5, 0.5])
+    grades = (z[:, None] + rng.logistic(0, 1, 400)[:, None] > np.array([0.5, 1.5, 3.0])).sum(1)
+    weights, penalty = np.where(grades > 0, 0.5, 1.5), 1e-3
+
+    def cost(w, t):
+        return (weights * toxicity.loss_slopes(x @ w, grades, t)[0]).mean() + penalty * np.abs(w).sum()
+
+    w, t = np.zeros(5), np.array([0.0, 1.0, 2.0])
+    for _ in range(20_000):  # plain proximal steps over all rows
+        _, by_z, by_t = toxicity.loss_slopes(x @ w, grades, t)
+        moved = w - 0.2 * x.T @ (by_z * weights) / 400
+        w, t = np.sign(moved) * np.maximum(0, np.abs(moved) - 0.2 * penalty), t - 0.2 * (by_t * weights[:, None]).mean(0)
+    model = toxicity.fit([np.flatnonzero(r) for r in x], grades, weights, epochs=150, penalty=penalty)
+    assert (np.diff(model.thresholds) > 0).all() and not model.weights[5:].any()
+    assert cost(w, t) <= cost(model.weights[:5], model.thresholds) < cost(w, t) * 1.005
+    # all thresholds share the weights: grades above the first move them
+    assert abs(model.weights[:5] - w).max() < 0.3 and abs(model.thresholds - t).max() < 0.3
+
+
+def test_slopes_of_the_ordinal_loss():
+    z, t, e = np.array([0.3, -1.0, 2.0, 0.1]), np.array([-0.5, 0.4, 1.7]), 1e-6
+    grades = np.array([0, 1, 2, 3])
+    loss, by_z, by_t = toxicity.loss_slopes(z, grades, t)
+    assert np.allclose((toxicity.loss_slopes(z + e, grades, t)[0] - loss) / e, by_z, atol=1e-4)
+    for k in range(3):
+        assert np.allclose((toxicity.loss_slopes(z, grades, t + e * (np.arange(3) == k))[0] - loss) / e, by_t[:, k], atol=1e-4)
+
+
+def test_grades_of_labels_by_telling_words():
+    slots = lambda text: np.array([s for w in text.split() for s in toxicity.slots_of(w, toxicity.WHOLE)], "<i4")
+    rows = [slots(t) for t in ["bad"] * 4 + ["bad vile awful"] * 4 + ["bad vile awful nasty gross rotten"] * 4 + ["fine words here"] * 12 + [""]]
+    toxic = np.array([True] * 12 + [False] * 13)
+    assert toxicity.graded(rows, toxic).tolist() == [1] * 4 + [2] * 4 + [3] * 4 + [0] * 13

@@ -41,7 +41,7 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docweave.llm.set_sketch import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("text_key")
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("text_key", "component_key")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,14 +4,20 @@
    Register i is floor(1 - log_b(min over the set of an exponential variate)), cut to a fixed range: an
    exponentially spaced, truncated minimum, so sketches of parts of a set merge by taking maxima.
 2. Texts with equal sets form a class; only one of each class goes on.
-3. Each band of ROWS registers gives a bucket; buckets of two are pairs, larger ones are compared inside by
-   how many registers are equal (least_equal(), in place of an estimate of the similarity), in blocks of
-   bounded size. Each block gives a spanning forest, never all of its pairs.
+3. Each band of registers gives a bucket; buckets of two are pairs. In larger ones the similarity is estimated
+   jointly: the numbers of registers that are larger, smaller and equal, with both set sizes, have a
+   likelihood in the similarity; pairs are candidates unless the threshold is far less likely than the
+   likeliest similarity. Each block of a bucket gives a spanning forest, never all of its pairs.
 4. Connected classes (a superset of the true links) are verified on full sets, again in bounded blocks:
-   pairs already connected need no test; all others that the sketch allows are tested exactly.
+   likeliest pairs first, pairs already connected need no test, all others that may be links are tested.
+
+Groups of more members than a block are first compared with a few of their members (star()). Members that are
+linked to the best of these are connected, so only the others still have to be compared, with all: a group
+of n near copies of one text costs n comparisons, not n^2/2. Each block of a group is a task of its own.
 
 A pair at the threshold misses all bands with a probability under 1e-6 (banding() takes the longest bands
-for which this holds, down to four registers).
+for which this holds), has too few equal registers with one under 1e-6 (least_equal()), and loses by
+likelihood with a far smaller one.
 
 Defined results: null and empty texts (and those without words) have empty sets and are linked with
 nothing; rows with a null doc_id stand for themselves; rows that repeat a doc_id are rows of their own
@@ -98,25 +104,63 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
+def step_chance(share: np.ndarray) -> np.ndarray:
+    """Chance that a register of one set is larger, if this share of the union lies in that set alone."""
+    return -np.log1p(-share * (BASE - 1) / BASE) / np.log(BASE)
+
+
 def equal_chance(similarity: float) -> float:
-    """Chance that a register of two sets of like size is equal: the union's minimum lies in both sets, or
-    the two differ but fall in one step (about ln(b)/2 of the time)."""
-    return similarity + (1 - similarity) * np.log(BASE) / 2 * (1 - similarity) / (1 + similarity)
+    """The least chance that a register of two sets is equal, over all pairs of set sizes (the convex
+    step_chance() adds up to most if one set holds the other)."""
+    return float(1 - step_chance(1 - similarity))
+
+
+def chances(similarity: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chances that a register is larger in the left set, larger in the right set, equal; for set sizes."""
+    u, v = left / (left + right), right / (left + right)
+    larger, smaller = (np.maximum(step_chance(np.maximum(x, 0)), 1e-12) for x in (u - v * similarity, v - u * similarity))
+    return larger, smaller, np.maximum(1 - larger - smaller, 1e-12)
+
+
+def log_likelihood(similarity, larger, smaller, left, right) -> np.ndarray:
+    a, b, c = chances(similarity, left, right)
+    return larger * np.log(a) + smaller * np.log(b) + (REGISTERS - larger - smaller) * np.log(c)
+
 
+def estimate(larger, smaller, left, right, start: float = 0.8, steps: int = 4) -> np.ndarray:
+    """The likeliest similarity of pairs, given how many registers are larger in the left set and in the right
+    set and the sizes of both: a few steps of Fisher scoring from `start`."""
+    larger, smaller, left, right = (np.asarray(x, np.float64) for x in (larger, smaller, left, right))
+    u, v, c = left / (left + right), right / (left + right), (BASE - 1) / BASE
+    most = np.minimum(left, right) / np.maximum(left, right)
+    j = np.minimum(start, most)
+    for _ in range(steps):
+        p, q, r = chances(j, left, right)
+        dp = -v * c / ((1 - np.maximum(u - v * j, 0) * c) * np.log(BASE))
+        dq = -u * c / ((1 - np.maximum(v - u * j, 0) * c) * np.log(BASE))
+        score = larger * dp / p + smaller * dq / q - (REGISTERS - larger - smaller) * (dp + dq) / r
+        information = REGISTERS * (dp * dp / p + dq * dq / q + (dp + dq) ** 2 / r)
+        j = np.clip(j + score / information, 0, most)
+    return j
 
-def likeliest(equal: int) -> float:
-    """The similarity that makes `equal` of REGISTERS equal registers most likely."""
-    grid = np.linspace(0, 1, 1001)
-    p = np.clip([equal_chance(s) for s in grid], 1e-9, 1 - 1e-9)
-    return float(grid[np.argmax(equal * np.log(p) + (REGISTERS - equal) * np.log1p(-p))])
+
+#: Twice the log-likelihood that a pair may lose at the threshold; a chance of about exp(-18).
+FAR = 36.0
+
+
+def may_be_linked(share: float, larger, smaller, left, right) -> tuple[np.ndarray, np.ndarray]:
+    """Whether pairs may have a similarity of `share` or more, and their estimates."""
+    j = estimate(larger, smaller, left, right)
+    lost = log_likelihood(j, larger, smaller, left, right) - log_likelihood(share, larger, smaller, left, right)
+    return (j >= share) | (2 * lost <= FAR), j
 
 
 def banding(share: float) -> tuple[int, int]:
     """Bands and registers in each, so that a pair at the threshold is missed with a chance under 1e-6."""
-    for rows in (8, 6, 5, 4):
+    for rows in range(8, 0, -1):
         if (1 - equal_chance(share) ** rows) ** (REGISTERS // rows) < 1e-6:
-            break
-    return REGISTERS // rows, rows
+            return REGISTERS // rows, rows
+    raise ValueError(f"a similarity of {share} is too low for {REGISTERS} registers")
 
 
 def least_equal(share: float) -> int:
@@ -149,8 +193,8 @@ class Forest:
 
 
 def _likely_pairs(regs: np.ndarray, sizes: np.ndarray, side: np.ndarray, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (of different sides, if there are two) that sketch and sizes allow, most alike first."""
-    left, right, alike = [], [], []
+    """Pairs (of different sides, if there are two) that sketches and sizes allow, most alike first."""
+    left, right, larger, equal = [], [], [], []
     two = side.min() != side.max()
     for i in range(len(regs) - 1):
         eq = (regs[i + 1 :] == regs[i]).sum(1)
@@ -162,11 +206,24 @@ def _likely_pairs(regs: np.ndarray, sizes: np.ndarray, side: np.ndarray, least:
         if len(j):
             left.append(np.full(len(j), i))
             right.append(j + i + 1)
-            alike.append(eq[j])
+            larger.append((regs[j + i + 1] < regs[i]).sum(1))
+            equal.append(eq[j])
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.argsort(-np.concatenate(alike), kind="stable")
-    return np.concatenate(left)[order], np.concatenate(right)[order]
+    left, right, larger, equal = (np.concatenate(x) for x in (left, right, larger, equal))
+    ok, alike = may_be_linked(percent / 100, larger, REGISTERS - larger - equal, sizes[left], sizes[right])
+    order = np.argsort(-alike, kind="stable")
+    order = order[ok[order]]
+    return left[order], right[order]
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    x, y = (x, y) if len(x) < len(y) else (y, x)
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 EDGE = "a long, b long"
@@ -183,38 +240,27 @@ def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return t["node"].to_numpy(), t["n"].to_numpy(), t["side"].to_numpy(), regs
 
 
-def _forest_of_bucket(percent: int):
-    least = least_equal(percent / 100)
+def _once(t: pa.Table) -> pa.Table:
+    """A row for each node and side: rows that repeat both id and text come several times."""
+    t = t.sort_by([("side", "ascending"), ("node", "ascending")])
+    node, side = t["node"].to_numpy(), t["side"].to_numpy()
+    return t.filter(pa.array(np.concatenate([[True], (np.diff(node) != 0) | (np.diff(side) != 0)])))
 
-    def f(t: pa.Table) -> pa.Table:
-        t = t.sort_by("node")
-        ids, sizes, side, regs = _columns(t)
-        forest = Forest(len(ids))
-        return _edges(ids, [(a, b) for a, b in zip(*(x.tolist() for x in _likely_pairs(regs, sizes, side, least, percent))) if forest.join(a, b)])
 
-    return f
+def _sets(t: pa.Table) -> list[np.ndarray] | None:
+    return [np.frombuffer(x, np.uint64) for x in t["hashes"].to_pylist()] if "hashes" in t.column_names else None
 
 
-def _verified_forest(percent: int):
+def _forest(percent: int):
+    """Edges that connect all links of a block; by sketches, or verified if there are full sets."""
     least = least_equal(percent / 100)
 
     def f(t: pa.Table) -> pa.Table:
-        t = t.sort_by("node")
+        t = _once(t)
         ids, sizes, side, regs = _columns(t)
-        keys = ids.tolist()
-        if len(set(keys)) < len(keys):  # rows that repeat both id and text
-            t = t.take(pa.array(sorted({k: i for i, k in enumerate(keys)}.values())))
-            ids, sizes, side, regs = _columns(t)
-        sets = [np.frombuffer(x, np.uint64) for x in t["hashes"].to_pylist()]
-        forest, found = Forest(len(ids)), []
+        sets, forest, found = _sets(t), Forest(len(ids)), []
         for a, b in zip(*(x.tolist() for x in _likely_pairs(regs, sizes, side, least, percent))):
-            if forest.find(a) == forest.find(b):
-                continue
-            x, y = (sets[a], sets[b]) if len(sets[a]) < len(sets[b]) else (sets[b], sets[a])
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            both = int((y[at] == x).sum())
-            if 100 * both >= percent * (len(x) + len(y) - both):
+            if forest.find(a) != forest.find(b) and (sets is None or _linked(sets[a], sets[b], percent)):
                 forest.join(a, b)
                 found.append((a, b))
         return _edges(ids, found)
@@ -222,15 +268,87 @@ def _verified_forest(percent: int):
     return f
 
 
-def _in_blocks(members: DataFrame, group: str) -> DataFrame:
-    """Rows for each pair of blocks of a group (block, side): a group of ordinary size is one block. A
-    member goes to as many block pairs as its group has blocks, so tasks stay bounded."""
-    totals = members.groupBy(group).agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    totals = totals.filter("members > 1").withColumn("blocks", F.greatest(F.ceil(F.col("members") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = members.join(totals.select(group, "blocks"), group).withColumn("mine", mine).withColumn("other", other)
-    return rows.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other")).withColumn("side", F.when(F.col("low") == F.col("high"), 0).otherwise((F.col("mine") == F.col("high")).cast("int"))).drop("mine", "other", "blocks")
+#: Members of a large group that all others are compared with.
+CENTRES = 4
+
+
+def _beams(percent: int):
+    """node, mask: the centres (sides 0, 1, ...) that the members (side -1) of a part are linked with."""
+
+    def f(t: pa.Table) -> pa.Table:
+        t = _once(t)
+        ids, sizes, side, regs = _columns(t)
+        sets = _sets(t)
+        at, mask = np.flatnonzero(side < 0), np.zeros(len(ids), np.int32)
+        for c in np.flatnonzero(side >= 0):
+            larger, smaller = (regs[at] < regs[c]).sum(1), (regs[at] > regs[c]).sum(1)
+            a, b = np.minimum(sizes[at], sizes[c]), np.maximum(sizes[at], sizes[c])
+            ok, _ = may_be_linked(percent / 100, larger, smaller, np.full(len(at), sizes[c]), sizes[at])
+            ok &= (100 * a >= percent * b) & (REGISTERS - larger - smaller >= least_equal(percent / 100))
+            hit = [k for k in at[ok].tolist() if sets is None or _linked(sets[c], sets[k], percent)]
+            mask[hit] |= 1 << int(side[c])
+        return pa.table([t["grp"].take(pa.array(at)), pa.array(ids[at]), pa.array(mask[at])], ["grp", "node", "mask"])
+
+    return f
+
+
+def star(members: DataFrame, sizes: DataFrame, group: str, percent: int, payload) -> DataFrame | None:
+    """grp, node, centre of the members of large groups that are linked with the best of CENTRES members;
+    None without large groups. payload adds what is compared to rows that have nodes."""
+    large = sizes.filter((F.col("members") > BLOCK_ROWS) | (F.col("shingles") > BLOCK_SHINGLES)).withColumn("parts", F.greatest(F.ceil(F.col("members") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
+    large = stored(large.select(group, "parts"), "large-groups")
+    if large.isEmpty():
+        return None
+    spread = F.xxhash64("node", F.lit("centre"))
+    rows = members.join(small(large), group)
+    centres = rows.groupBy(group, F.pmod(spread, F.lit(CENTRES)).cast("int").alias("side")).agg(F.min_by("node", spread).alias("node"), F.first("parts").alias("parts"))
+    centres = stored(centres, "centres")
+    sent = centres.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").join(members, [group, "node"])
+    own = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("side", F.lit(-1)).drop("parts")
+    every = payload(own.unionByName(sent)).withColumnRenamed(group, "grp")
+    beams = stored(every.repartition("grp", "part").groupBy("grp", "part").applyInArrow(_beams(percent), f"grp {members.schema[group].dataType.simpleString()}, node long, mask int"), "beams")
+    linked = [F.sum(F.col("mask").bitwiseAND(1 << c)).alias(f"c{c}") for c in range(CENTRES)]
+    share = [F.struct((F.col(f"c{c}") / (1 << c)).alias("n"), F.lit(c).alias("side")) for c in range(CENTRES)]
+    best = beams.groupBy("grp").agg(*linked).select("grp", F.greatest(*share)["side"].alias("side"))
+    best = best.join(centres.select(F.col(group).alias("grp"), "side", F.col("node").alias("centre")), ["grp", "side"])
+    near = beams.join(small(stored(best, "best-centres")), "grp").filter(F.expr("(mask & shiftleft(1, side)) <> 0 OR node = centre"))
+    return stored(near.select("grp", "node", "centre"), "stars")
+
+
+def _in_blocks(members: DataFrame, sizes: DataFrame, group: str, near: DataFrame | None) -> DataFrame:
+    """Rows for each pair of blocks of a group (low, high, side) that has to be compared. Members of a star
+    are compared with the others only, these with all. A group of ordinary size is one block."""
+    if near is None:
+        members = members.withColumn("near", F.lit(False))
+        totals = sizes.filter("members > 1").withColumn("n_near", F.lit(0)).withColumn("near_shingles", F.lit(0))
+    else:
+        # large groups have stars; `near` names their members
+        flags = near.select(F.col("grp").alias(group), "node", F.lit(True).alias("near"))
+        members = members.join(small(flags), [group, "node"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+        of_stars = members.filter("near").groupBy(group).agg(F.count("*").alias("n_near"), F.sum("n").alias("near_shingles"))
+        totals = sizes.filter("members > 1").join(small(stored(of_stars, "star-sizes")), group, "left").na.fill(0, ["n_near", "near_shingles"])
+    blocks = lambda m, s: F.greatest(F.ceil(m / BLOCK_ROWS), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    totals = totals.withColumn("others", blocks(F.col("members") - F.col("n_near"), F.col("shingles") - F.col("near_shingles"))).withColumn("stars", blocks(F.col("n_near"), F.col("near_shingles"))).filter("others > 0")
+    spread = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
+    mine = F.when(F.col("near"), F.col("others") + spread(F.col("stars"))).otherwise(spread(F.col("others")))
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("near"), F.col("others")).otherwise(F.col("others") + F.col("stars")) - 1))
+    rows = members.join(totals.select(group, "others", "stars"), group).withColumn("mine", mine).withColumn("other", other)
+    return rows.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other")).withColumn("side", F.when(F.col("low") == F.col("high"), 0).otherwise((F.col("mine") == F.col("high")).cast("int"))).drop("mine", "other", "others", "stars", "near")
+
+
+def group_sizes(members: DataFrame, group: str) -> DataFrame:
+    return members.groupBy(group).agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+
+
+def forests(members: DataFrame, group: str, percent: int, payload=lambda rows: rows) -> DataFrame:
+    """Edges a, b that connect all links inside each group. members: group, node, n, registers; payload adds
+    full sets to rows, if links are to be verified."""
+    sizes = group_sizes(members, group)
+    near = star(members, sizes, group, percent, payload)
+    rows = payload(_in_blocks(members, sizes, group, near))
+    # each block is a task of its own: a join by group alone would leave all blocks of a group in one task
+    edges = rows.repartition(group, "low", "high").groupBy(group, "low", "high").applyInArrow(_forest(percent), EDGE)
+    return edges if near is None else edges.unionByName(near.select(F.col("centre").alias("a"), F.col("node").alias("b")))
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -256,7 +374,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id, kept for every row; text_key tells rows with one id apart.
+    """doc_id, text_key, n_shingles, component_id, kept, component_key for every row; text_key tells rows with one
+    id apart, component_key components with one smallest id (null for a row that stands alone).
     Texts are linked if 100 * intersection >= percent * union of their shingle sets."""
     texts = docs.select("doc_id", "text")
     keyed_texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
@@ -288,16 +407,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     buckets = stored(buckets.groupBy("members", "a", "b", "which").agg(F.min("bucket").alias("bucket")), "buckets")
     pairs = buckets.filter("members = 2").select("a", "b")
     larger = keyed.join(small(buckets.filter("members > 2").select("bucket")), "bucket")
-    larger = larger.join(classes.select("node", "n", "registers"), "node")
-    larger = _in_blocks(stored(larger, "bucket-members"), "bucket")
-    forest = larger.groupBy("bucket", "low", "high").applyInArrow(_forest_of_bucket(percent), EDGE)
-    groups = stored(components(pairs.unionByName(forest)), "groups")
+    larger = stored(larger.join(classes.select("node", "n", "registers"), "node"), "bucket-members")
+    groups = stored(components(pairs.unionByName(forests(larger, "bucket", percent))), "groups")
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
 
     # verification on full sets, made anew from the texts of the classes that have a possible partner
     members = stored(classes.join(groups.select("node", F.col("root").alias("group_id")), "node").select("node", "rep", "set_key", "n", "registers", "group_id"), "members")
-    wanted = small(members.select(F.col("rep").alias("doc_id")).distinct())
-    found = texts.join(wanted, "doc_id")
 
     def make_sets():
         def f(batch):
@@ -307,17 +422,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
         return f
 
-    sets = arrow_map(found, make_sets, "rep long, set_key binary, hashes binary")
-    blocks = _in_blocks(members, "group_id").join(sets, ["rep", "set_key"])
-    links = stored(blocks.groupBy("group_id", "low", "high").applyInArrow(_verified_forest(percent), EDGE), "links")
+    def with_sets(rows):
+        wanted = small(stored(rows.select(F.col("rep").alias("doc_id")).distinct(), "wanted"))
+        return rows.join(arrow_map(texts.join(wanted, "doc_id"), make_sets, "rep long, set_key binary, hashes binary"), ["rep", "set_key"])
+
+    links = stored(forests(members, "group_id", percent, with_sets), "links")
     final = stored(components(links), "final")
     final = final.unionByName(final.select(F.col("root").alias("node"), "root").distinct())
 
-    # classes that have several rows or partners
+    # classes that have several rows or partners; the root's number tells components of one id apart
     placed = stored(final.join(classes.select("node", "rep"), "node"), "placed")
-    placed = placed.select("node", "root").join(placed.groupBy("root").agg(F.min("rep").alias("smallest")), "root").select("node", "smallest")
-    shared = classes.join(placed, "node", "left").withColumn("root", F.coalesce("smallest", "rep"))
-    shared = stored(shared.filter("copies > 1 OR root <> rep").select("set_key", "root"), "class-components")
+    placed = placed.select("node", "root").join(placed.groupBy("root").agg(F.min("rep").alias("smallest")), "root").select("node", "smallest", "root")
+    shared = classes.join(placed, "node", "left").filter("copies > 1 OR root IS NOT NULL")
+    shared = stored(shared.select("set_key", F.coalesce("smallest", "rep").alias("smallest"), F.coalesce("root", "node").alias("component_key")), "class-components")
     out = rows.drop("registers").join(small(shared), "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id"))
+    key = F.when(F.col("doc_id").isNotNull(), F.col("component_key"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), key.alias("component_key"))

@@ -146,6 +146,31 @@ def test_near_duplicates_in_one_large_group_and_small_blocks(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute_components(rows, 3, 85))
 
 
+@pytest.mark.parametrize("shape", ["drift", "two stars", "apart"])
+def test_near_duplicates_in_groups_that_are_no_star(spark, shape):
+    """Groups of several blocks of which a centre reaches all, some or none."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(150)]
+    rows, w = [], list(base)
+    for k in range(230):
+        if shape == "drift":  # each text is near the one before it
+            w[(k * 7) % 150] = f"d{k}"
+            rows.append((k, " ".join(w)))
+        elif shape == "two stars":
+            v = [*base[:100], *(f"{'ab'[k % 2]}{j}" for j in range(14)), *base[114:]]
+            v[rng.integers(0, 150)] = f"n{k}"
+            rows.append((k, " ".join(v)))
+        else:  # a long shared passage, and as much of their own
+            rows.append((k, " ".join([*base, *(f"x{k}y{j}" for j in range(60 + k % 5))])))
+    size = set_sketch.BLOCK_ROWS
+    set_sketch.BLOCK_ROWS = 30
+    try:
+        got = set_sketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    finally:
+        set_sketch.BLOCK_ROWS = size
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute_components(rows, 3, 85))
+
+
 @pytest.mark.parametrize("share", [0.5, 0.8, 0.85, 0.95])
 def test_least_equal_registers_by_exact_tail(share):
     p, n = set_sketch.equal_chance(share), set_sketch.REGISTERS
@@ -368,6 +393,22 @@ def test_stages_tell_rows_of_one_id_apart(spark, sf, tmp_path):
     rows = [(3, near[0]), (5, near[1]), (5, "a text of its own"), (8, "a text of its own"), (None, near[1])]
     left = pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
     assert sorted(map(str, map(tuple, left))) == sorted(map(str, [rows[0], rows[2], rows[4]]))
+    # one row of a class stays, though rows repeat its smallest id or are the same
+    rows = [(3, near[0]), (3, near[1]), (3, near[0]), (9, near[1]), (3, "a text of its own"), (4, "b"), (4, "b"), (6, ""), (6, ""), (None, "b"), (None, "b")]
+    left = [tuple(r) for r in pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()]
+    assert Counter(left)[3, near[0]] + Counter(left)[3, near[1]] == 1
+    assert Counter(r for r in left if r[1] not in near) == Counter([(3, "a text of its own"), (4, "b"), (6, ""), (6, ""), (None, "b"), (None, "b")])
+
+
+def test_the_mix_has_all_copies_of_repeated_rows(spark, sf):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, "a b c", "s", "x"), (1, "a b c", "s", "x"), (None, "a b c", "s", "y"), (None, "a b c", "s", "y"), (2, "d e f g", "s", "z"), (3, None, "s", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string")
+    want = {(r["doc_id"], r["n"]) for r in mixing.mixed(docs).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()}
+    got = pipeline.mix(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert {(r["doc_id"], r["n"]) for r in got.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == want
+    assert sum(n for _, n in want) > len(rows)
 
 
 def test_pipeline(spark, sf, documents, odd):

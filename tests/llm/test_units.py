@@ -103,7 +103,53 @@ def test_sketches_merge_and_estimate():
     sa, sb, both = set_sketch.sketch([a, b, np.union1d(a, b)])
     assert (set_sketch.merge(sa, sb) == both).all()
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-    assert abs(set_sketch.likeliest(int((sa == sb).sum())) - true) < 0.12
+    found = set_sketch.estimate((sa > sb).sum(), (sa < sb).sum(), len(a), len(b))
+    assert abs(found - true) < 0.12
+
+
+def test_estimate_is_the_likeliest_similarity():
+    rng = np.random.default_rng(1)
+    m = set_sketch.REGISTERS
+    left, right = rng.integers(50, 1000, 300).astype(float), rng.integers(50, 1000, 300).astype(float)
+    true = rng.uniform(0.5, 1, 300) * np.minimum(left, right) / np.maximum(left, right)
+    p = np.stack(set_sketch.chances(true, left, right), 1)
+    larger, smaller, _ = np.array([rng.multinomial(m, x / x.sum()) for x in p]).T
+    got = set_sketch.estimate(larger, smaller, left, right, steps=30)
+    grid = np.linspace(0, 1, 2001)[:, None] * np.minimum(left, right) / np.maximum(left, right)
+    best = set_sketch.log_likelihood(grid, larger, smaller, left, right).max(0)
+    assert (set_sketch.log_likelihood(got, larger, smaller, left, right) >= best - 0.05).all()
+    few = set_sketch.estimate(larger, smaller, left, right)
+    near = true > 0.7
+    assert (set_sketch.log_likelihood(few, larger, smaller, left, right) >= best - 0.1)[near].all()
+
+
+@pytest.mark.parametrize("share,ratio", [(0.8, 1), (0.8, 0.9), (0.8, 0.805), (0.85, 1), (0.85, 0.86), (0.5, 0.7)])
+def test_pairs_at_the_threshold_are_candidates(share, ratio):
+    """The exact chance, over all register counts, that a pair at the threshold is not taken."""
+    m = set_sketch.REGISTERS
+    left, right = 1000.0, 1000.0 * ratio
+    p = np.array([float(x) for x in set_sketch.chances(np.float64(share), left, right)])
+    larger, smaller = (x.ravel().astype(float) for x in np.meshgrid(np.arange(m + 1), np.arange(m + 1)))
+    some = larger + smaller <= m
+    larger, smaller = larger[some], smaller[some]
+    equal = m - larger - smaller
+    fact = np.concatenate([[0], np.cumsum(np.log(np.arange(1, m + 1)))])
+    chance = np.exp(fact[m] - fact[larger.astype(int)] - fact[smaller.astype(int)] - fact[equal.astype(int)] + larger * np.log(p[0]) + smaller * np.log(p[1]) + equal * np.log(p[2]))
+    ok, _ = set_sketch.may_be_linked(share, larger, smaller, np.full(len(larger), left), np.full(len(larger), right))
+    assert abs(chance.sum() - 1) < 1e-9
+    assert chance[~(ok & (equal >= set_sketch.least_equal(share)))].sum() < 1.1e-6
+    # a pair far below is mostly not taken
+    q = np.array([float(x) for x in set_sketch.chances(np.float64(share * 0.5), left, right)])
+    low = np.exp(fact[m] - fact[larger.astype(int)] - fact[smaller.astype(int)] - fact[equal.astype(int)] + larger * np.log(q[0]) + smaller * np.log(q[1]) + equal * np.log(q[2]))
+    assert low[ok & (equal >= set_sketch.least_equal(share))].sum() < 0.5
+
+
+def test_banding_keeps_its_promise():
+    for share in (0.15, 0.3, 0.5, 0.7, 0.78, 0.8, 0.9):
+        bands, rows = set_sketch.banding(share)
+        assert bands * rows <= set_sketch.REGISTERS and (1 - set_sketch.equal_chance(share) ** rows) ** bands < 1e-6
+    with pytest.raises(ValueError):
+        set_sketch.banding(0.05)
 
 
 def test_shingles():

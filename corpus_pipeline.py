@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 the next stage's docs. All but the last return the columns of documents and act on their decisions:
 
   toxicity       documents judged toxic go
-  near_dedup     one document of each near-duplicate class stays (the one with the smallest id,
-                 and rows that share this id)
+  near_dedup     one document of each near-duplicate class stays: of those with the smallest id the one whose
+                 text has the smallest key, and one row of those that repeat both (rows without an id or
+                 without words are in no class)
   decontaminate  documents contaminated by the benchmark go
   mix            documents are repeated or left out as the mix to target weights has them
   tokens         token ids are written in ascending doc_id order and read back
@@ -42,7 +43,23 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_duplicates(docs).filter("NOT kept"))
+    marks = near_duplicates(docs)
+    rest = marks.filter("kept AND component_key IS NOT NULL").groupBy("component_key").agg(F.count("*").alias("n"), F.min("text_key").alias("first"), F.min("doc_id").alias("doc_id")).filter("n > 1")
+    several = stored(rest.select("component_key", "doc_id", "first"), "several")
+    if several.isEmpty():
+        return _without(docs, marks.filter("NOT kept"))
+    firsts = small(several.select("component_key", "first"))
+    left = _without(docs, marks.join(firsts, "component_key", "left").filter("NOT kept OR text_key <> first"))
+    return _once(left, several.select("doc_id", F.col("first").alias("key")))
+
+
+def _once(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs with one row for each (doc_id, key of its text) of keys; few are broadcast, many joined by shuffle."""
+    named = small(keys.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")))
+    same: Column = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row_key") == F.col("__key"))
+    rows = docs.withColumn("__row_key", F.xxhash64("text"))
+    one = rows.join(named, same, "left_semi").dropDuplicates(["doc_id", "__row_key"])
+    return rows.join(named, same, "left_anti").unionByName(one).drop("__row_key")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +67,16 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows are repeated in place: the number of copies is joined on, one range element for each."""
-    chosen = mixed(docs).groupBy(F.col("doc_id").alias("__id"), F.coalesce("text_key", F.lit(0)).alias("__key")).agg(F.max("copies").alias("__copies"))
-    rows = docs.withColumn("__row_key", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    """Rows are repeated in place: the number of copies is joined on, one range element for each. Of rows that
+    repeat id and text one has the copies of all."""
+    chosen = mixed(docs).groupBy("doc_id", F.col("text_key").alias("key")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    chosen = stored(chosen.filter("copies > 0"), "copies")
+    several = chosen.filter("n > 1")
+    if not several.isEmpty():
+        docs = _once(docs, several)
+    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("copies").alias("__copies"))
     same: Column = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row_key") == F.col("__key"))
-    joined = rows.join(small(stored(chosen.filter("__copies > 0"), "copies")), same)
+    joined = docs.withColumn("__row_key", F.xxhash64("text")).join(small(chosen), same)
     return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 

@@ -81,7 +81,7 @@ def link_path(destination: Column) -> Column:
 
 def resolve_link(destination: Column, source: Column) -> Column:
     """The content path that a link of a page means, or null if it is none."""
-    p = link_path(destination)
+    p = F.try_url_decode(F.replace(link_path(destination), F.lit("+"), F.lit("%2B")))
     absolute = p.startswith("/")
     joined = F.when(absolute, F.regexp_replace(p, "^/", "")).otherwise(F.concat_ws("/", F.when(folder(source) != "", folder(source)), p))
     target = clean_path(joined)

@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 # Names of elements that count as markup when text is stripped of tags.
 ELEMENTS = (
-    "a abbr address area article aside audio b base bdi bdo blockquote body br button canvas caption cite code col "
-    "colgroup data datalist dd del details dfn dialog div dl dt em embed fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hgroup hr html i iframe img input ins kbd label legend li link main map mark menu "
-    "meta meter nav noscript object ol optgroup option output p param picture pre progress q rp rt ruby s samp script "
-    "section select slot small source span strong style sub summary sup table tbody td template textarea tfoot th "
-    "thead time title tr track u ul var video wbr svg path circle ellipse line polygon polyline rect text tspan g defs "
-    "use symbol marker mask clippath lineargradient radialgradient stop pattern desc foreignobject animate "
-    "animatetransform textpath"
-)
+    "a", "abbr", "address", "area", "article", "aside", "audio", "b", "base", "bdi", "bdo", "blockquote", "body",
+    "br", "button", "canvas", "caption", "cite", "code", "col", "colgroup", "data", "datalist", "dd", "del",
+    "details", "dfn", "dialog", "div", "dl", "dt", "em", "embed", "fieldset", "figcaption", "figure", "footer",
+    "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "i", "iframe", "img",
+    "input", "ins", "kbd", "label", "legend", "li", "link", "main", "map", "mark", "menu", "meta", "meter", "nav",
+    "noscript", "object", "ol", "optgroup", "option", "output", "p", "param", "picture", "pre", "progress", "q", "rp",
+    "rt", "ruby", "s", "samp", "script", "section", "select", "slot", "small", "source", "span", "strong", "style",
+    "sub", "summary", "sup", "table", "tbody", "td", "template", "textarea", "tfoot", "th", "thead", "time", "title",
+    "tr", "track", "u", "ul", "var", "video", "wbr", "svg", "path", "circle", "ellipse", "line", "polygon",
+    "polyline", "rect", "text", "tspan", "g", "defs", "use", "symbol", "marker", "mask", "clippath", "lineargradient",
+    "radialgradient", "stop", "pattern", "desc", "foreignobject", "animate", "animatetransform", "textpath",
+)
 
 # Lines that are structure in an archive of files.
 MARKERS = ("<file ", "<content>", "</content>", "</file>")
@@ -28,11 +31,11 @@ SPACE = r"\p{IsWhite_Space}"
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits, in order (F1)."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]", " "), " +"), lambda t: t != "")
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]+", " "), " "), "")
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, f"{SPACE}+"), lambda t: t != "")
+    return F.array_remove(F.split(text, f"{SPACE}+"), "")
 
 
 def word_count(text: Column) -> Column:
@@ -62,18 +65,23 @@ def excerpt(text: Column, n: int) -> Column:
     return truncate(collapse(text), n)
 
 
+# Markup that is never prose, attributes that tell a tag, inline links.
+MARKUP = r"(?s)<!--.*?-->|<![^<>]*>|<\?[^<>]*>"
+ATTRIBUTE = r'\s[a-zA-Z_:][-a-zA-Z0-9_:.]*\s*=\s*"[^"<>\n]*"'
+INLINE_LINK = r"!?\[([^\]]*)\]\([^)]+\)"
+
+
 def strip_tags(text: Column) -> Column:
     """Drop comments, declarations, known elements and anything tag-like with a quoted attribute; other angle
     brackets are prose. A tag never spans lines (F7)."""
-    text = F.regexp_replace(text, r"(?s)<!--.*?-->|<![^<>]*>|<\?[^<>]*>", "")
-    known = "|".join(ELEMENTS.split())
-    attribute = r'\s[a-zA-Z_:][-a-zA-Z0-9_:.]*\s*=\s*"[^"<>\n]*"'
-    return F.regexp_replace(text, rf"(?i)</?(?:(?:{known})(?![a-z0-9-])[^<>\n]*|[a-z][a-z0-9-]*[^<>\n]*?{attribute}[^<>\n]*)>", "")
+    text = F.regexp_replace(text, MARKUP, "")
+    known = "|".join(ELEMENTS)
+    return F.regexp_replace(text, rf"(?i)</?(?:(?:{known})(?![a-z0-9-])[^<>\n]*|[a-z][a-z0-9-]*[^<>\n]*?{ATTRIBUTE}[^<>\n]*)>", "")
 
 
 def unlink(text: Column) -> Column:
     """Inline links and images to their text."""
-    return F.regexp_replace(text, r"!?\[([^\]]*)\]\([^)]+\)", "$1")
+    return F.regexp_replace(text, INLINE_LINK, "$1")
 
 
 def unmark(text: Column) -> Column:
@@ -132,6 +140,12 @@ def title_from_name(name: Column) -> Column:
     return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
 
 
+def title_from_id(node: Column) -> Column:
+    """A title for a page without one: runs of - and _ become spaces, first letters are raised (F16)."""
+    base = F.regexp_replace(F.regexp_replace(F.regexp_replace(node, "^.*/", ""), r"\.md$", ""), "^[-_]+", "")
+    return F.array_join(F.transform(F.split(base, "[-_]+"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
+
+
 def valid_date(text: Column) -> Column:
     """The strict YYYY-MM-DD text or null."""
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), text)
@@ -186,3 +200,8 @@ def emoji_mashups(text: Column, base: str = "https://emojik.vercel.app/s/") -> C
         return F.replace(acc, m, F.concat(F.lit(f"![]({base}"), code(F.trim(a)), F.lit("_"), code(F.trim(b)), F.lit(")")))
 
     return F.aggregate(found, text, one)
+
+
+def plural(n: Column, one: str, more: str) -> Column:
+    """F28."""
+    return F.when(n == 1, one).otherwise(more)

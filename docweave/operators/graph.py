@@ -8,21 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import paths, text
+from docweave.sources import commonmark
 
+#: Nodes from which on an explorer shows a search first.
 LARGE_SITE = 500
 _EMPTY = "array<string>"
 
 
 def markdown_links(body: Column) -> Column:
-    """Destinations of inline and reference links, not images, not inside code (G1)."""
-    plain = F.regexp_replace(F.regexp_replace(body, "(?s)(?:^|(?<=\n))(```|~~~).*?(?:\n\\1|\\z)", ""), "(`+)(?:(?!\\1).)+\\1", "")
-    inline = F.regexp_extract_all(plain, F.lit(r"(?<!!)\[(?:[^\[\]]|\[[^\]]*\])*\]\(\s*<?([^()\s<>]+)>?(?:\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)"), F.lit(1))
-    names = F.regexp_extract_all(plain, F.lit(r"(?dm)^ {0,3}\[([^\]]+)\]:\s*<?\S+?>?(?:\s|$)"), F.lit(1))
-    places = F.regexp_extract_all(plain, F.lit(r"(?dm)^ {0,3}\[[^\]]+\]:\s*<?(\S+?)>?(?:\s|$)"), F.lit(1))
-    used = F.regexp_extract_all(plain, F.lit(r"(?<!!)\[[^\[\]]+\]\[([^\[\]]+)\]"), F.lit(1))
-    at = F.transform(used, lambda u: F.array_position(F.transform(names, F.lower), F.lower(u)).cast("int"))
-    referenced = F.transform(F.filter(at, lambda i: i > 0), lambda i: F.element_at(places, i))
-    return F.concat(inline, referenced)
+    """Destinations of the links of a Markdown text in order, images left out (G1)."""
+    return F.transform(F.filter(commonmark.parsed_references(body), lambda r: ~r["image"]), lambda r: r["dest"])
 
 
 def html_references(html: Column) -> Column:
@@ -36,10 +31,11 @@ def links(docs: DataFrame) -> DataFrame:
     return found.withColumn("target", paths.resolve_link(F.col("dest"), F.col("rel_path"))).filter("target IS NOT NULL")
 
 
-def edges(docs: DataFrame) -> DataFrame:
-    """src, dst, seq; duplicates stay. A target's id depends on how, and whether, it is rendered."""
+def edges(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """src, dst, seq; duplicates stay. A target's id depends on how, and whether, it is rendered (J1). `found`
+    are the links() of the documents if they are at hand."""
     known = docs.select(F.col("rel_path").alias("target"), F.col("render").alias("target_render"))
-    found = links(docs).join(known, "target", "left")
+    found = (links(docs) if found is None else found).join(known, "target", "left")
     return found.select(paths.page_id(F.col("rel_path"), F.col("render")).alias("src"), paths.page_id(F.col("target"), F.col("target_render")).alias("dst"), "seq")
 
 
@@ -48,18 +44,32 @@ def ordered_edges(edge: DataFrame) -> DataFrame:
     return edge.orderBy("src", "seq")
 
 
-def nodes(docs: DataFrame) -> DataFrame:
+def nodes(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Content nodes and a stub for each missing target, with its distinct parents."""
     own = docs.select(paths.page_id(F.col("rel_path"), F.col("render")).alias("id"), F.lit("page").alias("type"), paths.rendered(F.col("render")).alias("render"), F.lit(False).alias("missing"), F.array().cast(_EMPTY).alias("referenced_by"))
-    gone = missing_targets(docs).select(F.regexp_replace("target", r"\.md$", "").alias("id"), F.lit("stub").alias("type"), F.lit(True).alias("render"), F.lit(True).alias("missing"), "referenced_by")
+    gone = missing_targets(docs, found).select(F.regexp_replace("target", r"\.md$", "").alias("id"), F.lit("stub").alias("type"), F.lit(True).alias("render"), F.lit(True).alias("missing"), "referenced_by")
     return own.unionByName(gone)
 
 
-def missing_targets(docs: DataFrame) -> DataFrame:
-    found = links(docs).join(docs.select(F.col("rel_path").alias("target")), "target", "left_anti")
+def missing_targets(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    found = (links(docs) if found is None else found).join(docs.select(F.col("rel_path").alias("target")), "target", "left_anti")
     return found.groupBy("target").agg(F.array_sort(F.collect_set("rel_path")).alias("referenced_by"))
 
 
+def stub_parents(docs: DataFrame, missing: DataFrame) -> DataFrame:
+    """The entries of the stub page of each missing target: target, path of the stub, parent, link from the
+    stub to the parent's output, by target and parent."""
+    parents = missing.select("target", F.explode("referenced_by").alias("rel_path"))
+    page = docs.select("rel_path", paths.output_path(F.col("rel_path"), F.col("slug"), F.col("render")).alias("out"))
+    here = stub_path(F.col("target"))
+    return parents.join(page, "rel_path").select("target", here.alias("path"), F.col("rel_path").alias("parent"), paths.relative_link(here, F.col("out")).alias("link")).orderBy("target", "parent")
+
+
+def stub_path(target: Column) -> Column:
+    """Where the stub of a missing target is written."""
+    return paths.output_path(target, F.lit(""), F.lit(True))
+
+
 def backlinks(edge: DataFrame) -> DataFrame:
     """id and the sorted list of sources, duplicates kept."""
     return edge.groupBy(F.col("dst").alias("id")).agg(F.sort_array(F.collect_list("src")).alias("sources"))
@@ -74,7 +84,7 @@ def adjacency(node_ids: DataFrame, edge: DataFrame) -> DataFrame:
 
 
 def unique_edges(edge: DataFrame) -> DataFrame:
-    """Distinct edges with both ends."""
+    """Distinct edges with both ends; documents have them by source and target."""
     return edge.filter((F.col("src") != "") & (F.col("dst") != "")).select("src", "dst").distinct()
 
 
@@ -89,9 +99,9 @@ def orphans_explorer(node: DataFrame, edge: DataFrame) -> DataFrame:
     return node.filter("id <> 'index'").join(edge.select(F.col("dst").alias("id")), "id", "left_anti")
 
 
-def orphans_checker(docs: DataFrame) -> DataFrame:
+def orphans_checker(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Rendered pages that no link with an existing target reaches."""
-    found = links(docs).join(docs.select(F.col("rel_path").alias("target")), "target", "left_semi").select(F.col("target").alias("rel_path"))
+    found = (links(docs) if found is None else found).join(docs.select(F.col("rel_path").alias("target")), "target", "left_semi").select(F.col("target").alias("rel_path"))
     return docs.filter(paths.rendered(F.col("render")) & (F.col("rel_path") != "index.md")).select("rel_path").join(found, "rel_path", "left_anti")
 
 
@@ -104,7 +114,7 @@ def explorer(node: DataFrame, edge: DataFrame, meta: DataFrame) -> DataFrame:
     """Nodes with neighbours, metadata (id, title, url, author, date, tags, categories, word_count)
     and class, and whether the site counts as large."""
     out = node.join(adjacency(node.select("id"), edge), "id", "left").join(meta, "id", "left")
-    title = F.coalesce(F.when(F.col("title") != "", F.col("title")), text.title_from_name(F.col("id")))
+    title = F.coalesce(F.when(F.col("title") != "", F.col("title")), text.title_from_id(F.col("id")))
     orphan = (F.size("inbound") == 0) & (F.col("id") != "index")
     return out.withColumn("title", title).withColumn("orphan", orphan).withColumn("class", node_class(F.col("type"), F.col("render"), F.col("inbound"), F.col("id")))
 
@@ -148,8 +158,14 @@ def class_filter(show_render: bool = True, show_raw: bool = True, show_stub: boo
     return shown & F.col("orphan") if orphans_only else shown
 
 
+def large_site(node: DataFrame, threshold: int = LARGE_SITE) -> DataFrame:
+    """One row: the number of nodes and whether the site counts as large."""
+    return node.agg(F.count("*").alias("nodes"), (F.count("*") >= threshold).alias("large"))
+
+
 def first_owner(claims: DataFrame, ignore_case: bool = False) -> DataFrame:
-    """Claims (path, owner) whose path an earlier owner has: path, owner, first."""
+    """Claims (path, owner) whose path an earlier owner has: path, owner, first. First owners are
+    found by a minimum, so a path that many claim is summed up before the shuffle."""
     key = F.lower("path") if ignore_case else F.col("path")
-    w = Window.partitionBy(key).orderBy("owner")
-    return claims.withColumn("first", F.first("owner").over(w)).withColumn("nth", F.row_number().over(w)).filter("nth > 1").drop("nth")
+    firsts = claims.groupBy(key.alias("claimed")).agg(F.min("owner").alias("first"), F.max("owner").alias("last")).filter("first <> last").drop("last")
+    return claims.join(firsts, key == F.col("claimed")).filter("owner <> first").drop("claimed")

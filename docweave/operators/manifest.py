@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,9 +12,9 @@ def manifest(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def fingerprint(hashed: DataFrame, identity: str) -> DataFrame:
-    """One row; a digest of the identity and of all paths and hashes in order. Paths are summed up in
-    64 Ki ranges first, so the last step joins short digests only."""
-    part = F.pmod(F.xxhash64("path"), F.lit(1 << 16))
+    """One row; a digest of the identity and of all paths and hashes in order. Paths are summed up in 64 Ki
+    ranges (by the first four digits of their own digest) first, so the last step joins short digests only."""
+    part = F.substring(F.sha2(F.col("path"), 256), 1, 4)
     line = F.concat_ws(":", "path", "hash")
     parts = hashed.groupBy(part.alias("part")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("digest"))
     return parts.agg(F.sha2(F.concat(F.lit(identity + "\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "digest"))), lambda x: x["digest"]), "\n")), 256).alias("fingerprint"))
@@ -27,6 +27,6 @@ def difference(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", change.alias("change")).filter("change IS NOT NULL")
 
 
-def cache_hit(old_fingerprint: Column, new_fingerprint: Column, changed_outputs: Column) -> Column:
-    """T5: the same inputs, and outputs as they were left; anything else is a full rebuild."""
-    return F.coalesce((old_fingerprint == new_fingerprint) & (changed_outputs == 0), F.lit(False))
+def same_state(old: dict, mark: str) -> bool:
+    """T5: whether the inputs are as the last build had them; anything else is a full rebuild."""
+    return old.get("fingerprint") == mark and isinstance(old.get("files"), dict)

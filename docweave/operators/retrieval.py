@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import paths, text
+from docweave.sources import bundles, markdown
+from docweave.storage import small, stored
 
 K1, B = 1.5, 0.75
 DEFAULT_K = 5
@@ -13,7 +17,7 @@ DEFAULT_K = 5
 HEADING = r"(?dm)^#{2,4}\p{IsWhite_Space}+.+$"
 
 
-def chunks(pages: DataFrame) -> DataFrame:
+def chunks(pages: DataFrame, content_dir: str = "content") -> DataFrame:
     """Heading-bounded chunks of pages (source_path, title, body): what stands before the first heading of
     level 2 to 4, if it is not blank, and one chunk for each heading. The trail is the heading and the one
     before it (C3, W1-W3). Lines are cut by their starts, so headings inside fences count."""
@@ -25,7 +29,7 @@ def chunks(pages: DataFrame) -> DataFrame:
     prelude = F.filter(F.array(F.struct(F.lit("").alias("heading"), F.lit(None).cast("string").alias("previous"), F.element_at(parts, 1).alias("section"), F.element_at(parts, 1).alias("inner"))), lambda c: (F.size(marks) == 0) | (F.regexp_replace(c["inner"], edge, "") != ""))
     sections = F.transform(marks, lambda h, i: F.struct(name(h).alias("heading"), F.when(i > 0, name(F.get(marks, i - 1))).alias("previous"), F.concat(h, F.get(parts, i + 1)).alias("section"), F.get(parts, i + 1).alias("inner")))
     rows = pages.select("source_path", "title", F.posexplode(F.concat(prelude, sections)).alias("position", "c"))
-    page = paths.corpus_page_id(F.col("source_path"))
+    page = paths.corpus_page_id(F.col("source_path"), content_dir)
     trail = F.when(F.col("c.heading") == "", F.array().cast("array<string>")).when(F.col("c.previous").isNull(), F.array("c.heading")).otherwise(F.array("c.heading", "c.previous"))
     return rows.select(
         paths.chunk_id(page, F.col("position"), F.col("c.heading")).alias("id"),
@@ -66,9 +70,11 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def term_idf(docs: DataFrame) -> DataFrame:
-    """term, df, idf."""
-    n = corpus_stats(docs).select("n")
-    return postings(docs).groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
+    """term, df, idf (A9, A11). A document counts once for each different term, so terms are counted as they
+    leave the documents and no postings are built."""
+    n = docs.agg(F.count("*").alias("n"))
+    df = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return df.join(F.broadcast(n)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
 
 
 def gain(tf: Column, doc_len: Column, avg_len: Column, weight: Column) -> Column:
@@ -76,38 +82,41 @@ def gain(tf: Column, doc_len: Column, avg_len: Column, weight: Column) -> Column
 
 
 def rank_one(docs: DataFrame, query: str, k: int = DEFAULT_K) -> DataFrame:
-    """id, score of the k best documents for one query. Only the query's terms are counted, by array
-    functions over each document's tokens, so nothing is exploded or shuffled but one-row sums (O7)."""
+    """id, score of the k best documents for one query (O7). Only the query's terms are counted, by array
+    functions over each document's tokens, so nothing is exploded or shuffled but one-row sums. Two passes: the
+    sums, then the scores; either makes the tokens once. Documents without a term are dropped after the limit,
+    as a filter on scores would be pushed below the projections and copy the tokeniser."""
     wanted = docs.sparkSession.range(1).select(text.tokens(F.lit(query)).alias("q")).first()["q"]
     k = k if k > 0 else DEFAULT_K
     terms = list(dict.fromkeys(wanted))
     if not terms:
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
-    tf = [F.size(F.filter("tokens", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = docs.select("id", F.size("tokens").alias("doc_len"), *tf)
+    size = F.size("tokens")
+    tf = [(size - F.size(F.array_remove("tokens", t))).alias(f"tf{i}") for i, t in enumerate(terms)]
+    counted = docs.select("id", size.alias("doc_len"), *tf)
     sums = counted.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i, t in enumerate(terms):
         weight = F.lit(wanted.count(t)) * idf(F.lit(sums["n"]), F.lit(sums[f"df{i}"]))
         score = score + F.when(F.col(f"tf{i}") > 0, gain(F.col(f"tf{i}"), F.col("doc_len"), F.lit(sums["avg_len"]), weight)).otherwise(0.0)
-    return counted.select("id", score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "id").limit(k)
-
-
-def _is(term: str):
-    return lambda x: x == term
+    return counted.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k).filter("score > 0")
 
 
 def rank_batch(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> DataFrame:
-    """query_id, rank, id, score for many queries (query_id, query): postings joined to query terms, each
-    occurrence of a term in a query adding its gain (A12, J8, W5)."""
+    """query_id, rank, id, score for many queries (query_id, query): each occurrence of a term in a query adds
+    its gain (A12, J8, W5). Documents are read and made tokens of once: what is stored are the postings of the
+    queries' terms, and a row without a term for each document, from which the sums come."""
     asked = queries.select("query_id", F.explode(text.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    # document frequencies and query terms meet the postings on term; lengths ride along with the postings
-    flat = docs.select("id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
-    post = flat.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "doc_len").agg(F.count("*").alias("tf"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs)
-    hits = post.join(df, "term").join(asked, "term").join(F.broadcast(stats))
-    scored = hits.groupBy("query_id", "id").agg(F.sum(F.col("times") * gain(F.col("tf"), F.col("doc_len"), F.col("avg_len"), idf(F.col("n"), F.col("df")))).alias("score"))
+    asked = stored(asked, "asked")
+    wanted = small(asked.select("term").distinct().withColumn("asked", F.lit(True)))
+    tokens = F.array_append(F.col("tokens"), F.lit(None).cast("string"))
+    flat = docs.select("id", F.size("tokens").alias("doc_len"), F.explode(tokens).alias("term")).join(wanted, "term", "left").filter("asked OR term IS NULL")
+    post = stored(flat.groupBy("id", "doc_len", "term").agg(F.count("*").alias("tf")), "postings")
+    stats = post.filter("term IS NULL").agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"))
+    df = post.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
+    weights = df.join(asked, "term").join(F.broadcast(stats)).select("query_id", "term", "avg_len", (F.col("times") * idf(F.col("n"), F.col("df"))).alias("weight"))
+    hits = post.filter("term IS NOT NULL").join(small(stored(weights, "weights")), "term")
+    scored = hits.groupBy("query_id", "id").agg(F.sum(gain(F.col("tf"), F.col("doc_len"), F.col("avg_len"), F.col("weight"))).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= (k if k > 0 else DEFAULT_K))
 
@@ -125,11 +134,90 @@ def enrich(chunk: DataFrame, meta: DataFrame, search: DataFrame | None = None) -
     return out.withColumn("title", F.coalesce(filled(F.col("title")), F.col("search_title"), F.lit(""))).drop("search_url", "search_title")
 
 
+# The bundles that a corpus is read from.
+BUNDLES = ("rag-content.md", "rag-system.md", "rag-config.md")
+VERSION = "v1"
+
+
+class EmptyCorpus(ValueError):
+    """Bundles of which no chunk came."""
+
+
 def site_content(files: DataFrame) -> DataFrame:
     """Files (bundle, path, text) of content bundles without directory listings."""
     return files.filter((paths.bundle_kind(F.col("bundle")) == "rag-content") & ~F.col("path").endswith("/"))
 
 
-def load_report(files: DataFrame) -> DataFrame:
-    """One row: documents and chunked documents of all bundles, listings taken off."""
-    return files.agg(F.count_if(~F.col("path").endswith("/")).alias("documents"), F.count_if((paths.bundle_kind(F.col("bundle")) == "rag-content") & ~F.col("path").endswith("/")).alias("site_documents"))
+def corpus_chunks(files: DataFrame, content_dir: str = "content") -> DataFrame:
+    """Chunks of the rendered pages of content bundles (bundle, path, text), with source_kind; by their own
+    plain front matter (F15). System and config bundles, listings and raw pages have none."""
+    title, body, shown = markdown.corpus_front_matter(F.col("text"))
+    pages = site_content(files).select(F.col("path").alias("source_path"), title.alias("title"), body.alias("body"), shown.alias("shown"))
+    return chunks(pages.filter("shown").drop("shown"), content_dir).withColumn("source_kind", F.lit("rag-content"))
+
+
+def by_id(chunk: DataFrame) -> DataFrame:
+    """O5."""
+    return chunk.orderBy("id")
+
+
+def in_reading_order(chunk: DataFrame) -> DataFrame:
+    """O6."""
+    return chunk.orderBy("source_path", "position")
+
+
+def load_report(files: DataFrame, chunk: DataFrame | None = None) -> DataFrame:
+    """One row: version, documents of all bundles and of content bundles, listings taken off, chunks, and
+    whether there are any."""
+    listed = F.col("path").endswith("/")
+    counts = files.agg(F.count_if(~listed).alias("documents"), F.count_if((paths.bundle_kind(F.col("bundle")) == "rag-content") & ~listed).alias("site_documents"))
+    n = (corpus_chunks(files) if chunk is None else chunk).agg(F.count("*").alias("chunks"))
+    return counts.join(F.broadcast(n)).select(F.lit(VERSION).alias("version"), "documents", "site_documents", "chunks", (F.col("chunks") > 0).alias("ready"))
+
+
+@dataclass
+class Corpus:
+    """What load() has read."""
+
+    chunks: DataFrame
+    files: DataFrame
+    missing: list[str]
+    source_dir: str
+    version: str = VERSION
+
+    @property
+    def report(self) -> DataFrame:
+        return load_report(self.files, self.chunks)
+
+
+def load(spark: SparkSession, folder: str, content_dir: str = "content", output_dir: str | None = None) -> Corpus:
+    """The corpus of a folder of bundles. Bundles that are not there are listed; one that is malformed, a folder
+    that is not there and bundles without a chunk are errors. meta.json and search.json of a built site, if its
+    folder is given, name the pages (J6, J7)."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not folder.strip() or not system.exists(root) or not system.getFileStatus(root).isDirectory():
+        raise ValueError(f"{folder!r} is not a folder of bundles")
+    there = lambda base, name: system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}"))
+    missing = [b for b in BUNDLES if not there(folder, b)]
+    found = [b for b in BUNDLES if b not in missing]
+    if not found:
+        raise EmptyCorpus(f"{folder} has no bundle")
+    files = stored(bundles.read_bundles(spark, folder, "{" + ",".join(found) + "}", keep_errors=True), "bundle-files")
+    bad = files.filter("error IS NOT NULL").orderBy("bundle").first()
+    if bad:
+        raise bundles.MalformedBundle(bad["error"])
+    files = files.drop("error")
+    chunk = corpus_chunks(files, content_dir)
+    if output_dir and there(output_dir, "meta.json"):
+        whole = lambda name: spark.read.text(f"{output_dir}/{name}", wholetext=True)
+        meta = bundles.json_map(whole("meta.json"), "value", "url: string, title: string").select(F.col("key").alias("page_id"), F.col("value.url").alias("meta_url"), F.col("value.title").alias("meta_title"))
+        search = None
+        if there(output_dir, "search.json"):
+            items = F.from_json("value", "array<struct<t: string, u: string>>")
+            search = whole("search.json").select(F.posexplode(items).alias("nth", "e")).select("nth", F.col("e.u").alias("url"), F.col("e.t").alias("search_title")).filter("url <> ''")
+        chunk = enrich(chunk, meta, search)
+    chunk = stored(chunk, "chunks")
+    if chunk.isEmpty():
+        raise EmptyCorpus(f"{folder} gave no chunk")
+    return Corpus(by_id(chunk), files, missing, folder)

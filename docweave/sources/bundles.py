@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import text
+from docweave.sources import markdown
 
 #: Folders that bundles never take in (S3), and what assets always leave out.
 SKIPPED = (".git", "test-results", "public", "vendor", "node_modules")
@@ -58,22 +60,75 @@ def parse_bundle(name: str, content: str) -> Iterator[tuple[str, str]]:
         raise MalformedBundle(f"{name}: empty")
 
 
-def read_bundles(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
-    """bundle, path, nth, text of all files in the bundles of a folder; a malformed bundle fails the query."""
-    raw = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("bundle"), "value")
+FILES = pa.schema([("bundle", pa.string()), ("path", pa.string()), ("nth", pa.int32()), ("text", pa.string()), ("error", pa.string())])
+
+
+def parsed_bundles(raw: DataFrame, keep_errors: bool = False) -> DataFrame:
+    """bundle, path, nth, text of the files in bundles (bundle, value); a malformed bundle fails the query, or with
+    keep_errors is one row with an error (S6)."""
 
     def run(batches):
         for batch in batches:
-            rows = [{"bundle": b["bundle"], "path": p, "nth": k, "text": t} for b in batch.to_pylist() for k, (p, t) in enumerate(parse_bundle(b["bundle"], b["value"]))]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("bundle", pa.string()), ("path", pa.string()), ("nth", pa.int32()), ("text", pa.string())]))
+            rows = []
+            for b in batch.to_pylist():
+                try:
+                    rows += [{"bundle": b["bundle"], "path": p, "nth": k, "text": t, "error": None} for k, (p, t) in enumerate(parse_bundle(b["bundle"], b["value"] or ""))]
+                except MalformedBundle as e:
+                    if not keep_errors:
+                        raise
+                    rows.append({"bundle": b["bundle"], "path": None, "nth": None, "text": None, "error": str(e)})
+            yield pa.RecordBatch.from_pylist(rows, FILES)
+
+    out = raw.select("bundle", "value").mapInArrow(run, "bundle string, path string, nth int, text string, error string")
+    return out if keep_errors else out.drop("error")
+
+
+def read_bundles(spark: SparkSession, folder: str, pattern: str = "*.md", keep_errors: bool = False) -> DataFrame:
+    """parsed_bundles() of the bundles of a folder."""
+    raw = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("bundle"), "value")
+    return parsed_bundles(raw, keep_errors)
+
 
-    return raw.mapInArrow(run, "bundle string, path string, nth int, text string")
+def file_block(path: Column, content: Column) -> Column:
+    """The text of one file in a bundle; lines that would read as structure are escaped."""
+    return F.concat(F.lit('<file path="'), path, F.lit('">\n<content>\n'), text.escape_lines(content), F.lit("\n</content>\n</file>\n\n"))
 
 
 def bundle_text(files: DataFrame) -> DataFrame:
     """One text row (value) for each file (path, content), in path order (K8)."""
-    body = F.concat(F.lit('<file path="'), F.col("path"), F.lit('">\n<content>\n'), text.escape_lines(F.col("content")), F.when(F.col("content").endswith("\n"), "").otherwise("\n"), F.lit("</content>\n</file>"))
-    return files.orderBy("path").select(body.alias("value"))
+    return files.orderBy("path").select(F.regexp_replace(file_block(F.col("path"), F.col("content")), "\n$", "").alias("value"))
+
+
+# What the two bundles beside that of the content take in.
+SYSTEM = (("cmd/**/*.go", "internal/**/*.go", "pkg/**/*.go", "*.go", "go.mod", "go.sum", "README.md", "playwright_test.js", ".github/workflows/*.yml"), ("internal/config",))
+CONFIG = (("internal/config/**/*.go", ".jules/**/*.md"), ())
+
+
+def system_bundle(files: DataFrame) -> DataFrame:
+    """K8: of the files (path, content) of a project."""
+    return bundle_text(selected(files, list(SYSTEM[0]), list(SYSTEM[1])))
+
+
+def content_bundle(files: DataFrame, content_dir: str = "content") -> DataFrame:
+    """K8: Markdown files below the content folder."""
+    return bundle_text(selected(files, [f"{content_dir}/**/*.md"], [f"{content_dir}/jules"]))
+
+
+def config_bundle(files: DataFrame, listings: dict[str, DataFrame]) -> DataFrame:
+    """K8: the files of the configuration, then a listing (inventory(), value) for each folder name, in order."""
+    out = bundle_text(selected(files, list(CONFIG[0]), list(CONFIG[1]))).select(F.lit(0).alias("part"), F.lit("").alias("place"), "value")
+    for k, (folder, listing) in enumerate(listings.items(), 1):
+        one = listing.agg(F.array_join(F.sort_array(F.collect_list("value")), "\n").alias("listed"))
+        out = out.unionByName(one.select(F.lit(k).alias("part"), F.lit(folder).alias("place"), file_block(F.lit(f"{folder}/"), F.col("listed")).alias("value")))
+    return out.orderBy("part", F.regexp_extract("value", 'path="([^"]*)"', 1)).select("value")
+
+
+def bundle_folder(folder: str, fallback: str, project_root: str) -> str:
+    """K9: a folder as bundles name it: relative to the project's root, or the usual name if it lies elsewhere."""
+    if not folder:
+        return fallback
+    rel = os.path.relpath(os.path.join(project_root, folder), project_root).replace(os.sep, "/")
+    return fallback if rel == ".." or rel.startswith("../") else rel
 
 
 def pattern_regex(pattern: str) -> str:
@@ -142,15 +197,46 @@ def ignored(path: Column, rules: list[Rule]) -> Column:
     return decision | path.endswith(".go") | path.rlike(r"(^|/)testdata(/|$)")
 
 
-def asset_listing(spark: SparkSession, folder: str) -> DataFrame:
-    """path, length, modified of files below a folder, contents unread."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return raw.select(F.regexp_replace("path", "^.*?" + re.escape(folder.split(":")[-1].rstrip("/")) + "/", "").alias("path"), "length", F.col("modificationTime").alias("modified"))
-
-
-def json_map(frame: DataFrame, column: str, value_schema: str) -> DataFrame:
-    """Key, value of a keyed JSON object."""
-    return frame.select(F.explode(F.from_json(column, f"map<string,struct<{value_schema}>>")).alias("key", "value"))
+def asset_listing(spark: SparkSession, folder: str, rules: list[Rule] = (), prefix: str = "") -> DataFrame:
+    """path, size, modified, symlink, ignored of all files and symbolic links below a folder, contents unread.
+    Rules are relative to a folder above, `prefix` leads from there."""
+    root = markdown.root_of(spark, folder)
+    odd, links = markdown.listed(spark, root, "*")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    tail = F.substring_index(F.col("path"), root.split(":", 1)[-1].lstrip("/"), -1)
+    files = raw.select(F.url_decode(F.replace(tail, F.lit("+"), F.lit("%2B"))).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.lit(False).alias("symlink"))
+    files = markdown.without(files, "path", links)
+    others = [(p, os.path.getsize(f"{local}/{p}") if (local := markdown.local_path(root)) else None, None, False) for p in odd] + [(p, 0, None, True) for p in links]
+    if others:
+        files = files.unionByName(spark.createDataFrame(others, "path string, size long, modified timestamp, symlink boolean"))
+    return files.withColumn("ignored", ignored(F.concat(F.lit(f"{prefix}/" if prefix else ""), "path"), list(rules)))
+
+
+def site_assets(spark: SparkSession, folder: str, project_root: str, output_dir: str, explorer: bool = True) -> DataFrame | None:
+    """The assets that a site takes in: regular files that no rule of the project's ignore file names. None
+    without a folder; one that holds the output is an error."""
+    if not os.path.isdir(folder):
+        return None
+    real, out = os.path.realpath(folder), os.path.realpath(output_dir)
+    if out == real or out.startswith(real + os.sep):
+        raise ValueError(f"the asset folder {folder} holds the output")
+    rules, ignore = [], os.path.join(project_root, ".gitignore")
+    if os.path.exists(ignore):
+        with open(ignore, encoding="utf-8") as f:
+            rules = ignore_rules(f.read().splitlines())
+    prefix = os.path.relpath(real, os.path.realpath(project_root)).replace(os.sep, "/")
+    listing = asset_listing(spark, real, rules, "" if prefix.startswith("..") else prefix).filter("NOT symlink AND NOT ignored")
+    return listing if explorer else listing.filter(~F.col("path").rlike("^graph(/|$)"))
+
+
+def missing_defaults(defaults: DataFrame, assets: DataFrame) -> DataFrame:
+    """Defaults (path) that no asset of a site stands for."""
+    return defaults.join(assets.select("path"), "path", "left_anti")
+
+
+def json_map(frame: DataFrame, column: str, value_schema: str, *keep: str) -> DataFrame:
+    """Key, value of a keyed JSON object, and the columns to keep."""
+    return frame.select(*keep, F.explode(F.from_json(column, f"map<string,struct<{value_schema}>>")).alias("key", "value"))
 
 
 def paginated(spark: SparkSession, fetch, pages: int = 20, size: int = 100) -> DataFrame:

@@ -44,12 +44,16 @@ def _blocks(body: str) -> Iterator[str]:
     """Runs of inline text: paragraphs (with definitions still in them), headings, table rows."""
     held: list[str] = []
     fence = until = None
+    quoted = False  # whether the open fence stands in a quote
     lists: list[int] = []  # columns where the contents of open list items begin
     blank = True
     for raw in body.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
         line = raw.expandtabs(4)
-        while not fence and (q := QUOTE.match(line)):
-            line = line[q.end() :]
+        inside = False
+        while (not fence or quoted) and (q := QUOTE.match(line)):
+            line, inside = line[q.end() :], True
+        if fence and quoted and not inside:
+            fence = None  # the quote has ended, and its code with it
         if fence:
             close = line.strip()
             if close and close[0] == fence[0] and len(close) >= len(fence) and not close.strip(fence[0]):
@@ -91,7 +95,7 @@ def _blocks(body: str) -> Iterator[str]:
             if held:
                 yield "\n".join(held)
                 held = []
-            fence = f[1]
+            fence, quoted = f[1], inside
             continue
         if not held and HTML_START.match(inner) and not AUTOLINK.match(inner.strip()) and (RAW_TAG.match(inner.strip()) is None or RAW_TAG.match(inner.strip()).end() == len(inner.strip()) or _block_tag(inner)):
             ends = next((end for start, end in HTML_UNTIL if start.match(inner)), "blank")
@@ -109,11 +113,13 @@ def _blocks(body: str) -> Iterator[str]:
 
 
 # Names of elements that begin an HTML block whatever follows them on the line.
-BLOCK_TAGS = frozenset(
-    "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure "
-    "footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu menuitem nav noframes ol optgroup option p "
-    "param search section summary table tbody td tfoot th thead title tr track ul".split()
-)
+BLOCK_TAGS = (
+    "address", "article", "aside", "base", "basefont", "blockquote", "body", "caption", "center", "col", "colgroup",
+    "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
+    "frame", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "iframe", "legend", "li",
+    "link", "main", "menu", "menuitem", "nav", "noframes", "ol", "optgroup", "option", "p", "param", "search",
+    "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "track", "ul",
+)
 
 
 def _block_tag(line: str) -> bool:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import fnmatch
+import os
+import re
+
+import pyarrow as pa
+import pyarrow.fs
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +20,74 @@ LISTS = ("tags", "categories", "category")
 PARSED = ", ".join([f"{f} string" for f in FIELDS] + [f"{c} array<string>" for c in LISTS] + ["render boolean", "error string", "warnings array<string>"])
 
 
-def read_files(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
-    """rel_path, content of all files below a folder."""
+def root_of(spark: SparkSession, folder: str) -> str:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/") + "/"
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/") + "/"
+
+
+def local_path(root: str) -> str:
+    """The path of a file: URL, "" for another."""
+    return re.sub("^file:/*", "/", root) if root.startswith("file:") else ""
+
+
+def without(files: DataFrame, column: str, links: list[str]) -> DataFrame:
+    """files but for links and what is reached through them."""
+    for link in links:
+        files = files.filter((F.col(column) != link) & ~F.startswith(column, F.lit(link + "/")))
+    return files
+
+
+def listed(spark: SparkSession, root: str, pattern: str) -> tuple[list[str], list[str]]:
+    """Relative paths of files that Spark's listing leaves out (a name on the way begins with _ or ., or they are
+    empty), and of symbolic links. Names only; a file system without links gives none."""
+    odd, links = [], []
+    if root.startswith("file:"):
+        base = local_path(root)
+        for at, folders, names in os.walk(base):
+            rel = os.path.relpath(at, base)
+            for name in [*folders, *names]:
+                path = name if rel == "." else f"{rel}/{name}".replace(os.sep, "/")
+                if os.path.islink(os.path.join(at, name)):
+                    links.append(path)
+                elif name in names and fnmatch.fnmatchcase(name, pattern) and (re.search(r"(^|/)[._]", path) or not os.path.getsize(os.path.join(at, name))):
+                    odd.append(path)
+        return odd, links
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    while files.hasNext():
+        status = files.next()
+        rel = status.getPath().toString().removeprefix(root)
+        if fnmatch.fnmatchcase(rel.rpartition("/")[2], pattern) and (re.search(r"(^|/)[._]", rel) or not status.getLen()):
+            odd.append(rel)
+    return odd, links
+
+
+def read_files(spark: SparkSession, folder: str, pattern: str = "*.md", binary: bool = False) -> DataFrame:
+    """rel_path, content of all regular files below a folder, those whose names begin with _ or . too; symbolic
+    links are not followed, but the folder itself may be one (S1). Spark's reader takes what it lists; the other
+    files are opened in executors by path."""
+    if os.path.islink(folder):
+        folder = os.path.realpath(folder)
+    root = root_of(spark, folder)
+    odd, links = listed(spark, root, pattern)
+    kind = "binary" if binary else "string"
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     tail = F.substring_index(F.col("_metadata.file_path"), root.split(":", 1)[-1].lstrip("/"), -1)
-    return raw.select(F.url_decode(F.replace(tail, F.lit("+"), F.lit("%2B"))).alias("rel_path"), F.col("value").alias("content"))
+    files = raw.select(F.url_decode(F.replace(tail, F.lit("+"), F.lit("%2B"))).alias("rel_path"), F.col("content").cast(kind).alias("content"))
+    files = without(files, "rel_path", links)
+    if not odd:
+        return files
+
+    def run(batches):
+        for batch in batches:
+            for rel in batch.column("rel_path").to_pylist():
+                system, path = pa.fs.FileSystem.from_uri(root + rel) if not root.startswith("file:") else (pa.fs.LocalFileSystem(), local_path(root) + rel)
+                with system.open_input_stream(path) as f:
+                    data = f.read()
+                yield pa.RecordBatch.from_arrays([pa.array([rel]), pa.array([data if binary else data.decode("utf-8", "replace")], pa.binary() if binary else pa.string())], ["rel_path", "content"])
+
+    named = spark.createDataFrame([(x,) for x in odd], "rel_path string")
+    return files.unionByName(named.mapInArrow(run, f"rel_path string, content {kind}"))
 
 
 def _loader():

@@ -6,48 +6,106 @@ import json
 import os
 import shutil
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def write_json(rows: DataFrame, path: str, key: str | None = None, pretty: bool = True) -> None:
-    """K1, K2: one JSON document: an object by key, or an array in the rows' order. Rows are streamed to the
-    driver, which never holds more than one partition."""
-    value = F.to_json(F.struct(*[c for c in rows.columns if c != key]))
-    lines = (rows.orderBy(key).select(key, value.alias("v")) if key else rows.select(value.alias("v"))).toLocalIterator()
-    indent = 2 if pretty else None
+# Signs that JSON documents of a site write as escapes, so that they may stand in HTML.
+_ESCAPES = (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029"))
+
+
+def _json(value, pretty: bool) -> str:
+    out = json.dumps(value, ensure_ascii=False, indent=2 if pretty else None, separators=None if pretty else (",", ":"))
+    for sign, escape in _ESCAPES:
+        out = out.replace(sign, escape)
+    return out
+
+
+def filled(c: Column) -> Column:
+    """Null, which JSON leaves out, for an empty text."""
+    return F.when(c != "", c)
+
+
+def some(c: Column) -> Column:
+    """Null, which JSON leaves out, for an empty list."""
+    return F.when(F.size(c) > 0, c)
+
+
+def rows_json(rows: DataFrame, key: str | None = None, value: Column | None = None) -> Iterator[tuple[str | None, object]]:
+    """(key, value) of rows in their order (with a key: in its order). Rows are streamed to the driver, which never
+    holds more than one partition."""
+    value = F.to_json(F.struct(*[c for c in rows.columns if c != key])) if value is None else F.to_json(value)
+    lines = rows.orderBy(key).select(key, value.alias("v")) if key else rows.select(F.lit(None).cast("string"), value.alias("v"))
+    for row in lines.toLocalIterator():
+        yield row[0], json.loads(row["v"])
+
+
+def _nested(f, items: Iterator[tuple[str | None, object]], keyed: bool, pretty: bool, depth: int) -> None:
+    pad, first = "\n" + "  " * (depth + 1), True
+    f.write("{" if keyed else "[")
+    for k, v in items:
+        body = _json(v, pretty)
+        if pretty:
+            body = body.replace("\n", pad)
+        f.write(("" if first else ",") + (pad if pretty else "") + (_json(k, pretty) + (": " if pretty else ":") if keyed else "") + body)
+        first = False
+    f.write(("" if first or not pretty else "\n" + "  " * depth) + ("}" if keyed else "]"))
+
+
+def write_json(rows: DataFrame, path: str, key: str | None = None, pretty: bool = True, value: Column | None = None) -> None:
+    """K1, K2: one JSON document: an object by key, or an array in the rows' order."""
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
-        f.write("{" if key else "[")
-        for k, row in enumerate(lines):
-            body = json.dumps(json.loads(row["v"]), ensure_ascii=False, indent=indent, separators=None if pretty else (",", ":"))
-            f.write(("," if k else "") + ("\n" if pretty else "") + (json.dumps(row[0], ensure_ascii=False) + ": " if key else "") + body)
-        f.write(("\n" if pretty else "") + ("}" if key else "]") + "\n")
+        _nested(f, rows_json(rows, key, value), key is not None, pretty, 0)
+        f.write("\n")
 
 
-def graph_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """K3: one row of text; for graphs that fit a document."""
-    node = F.struct("type", "render", F.when(F.col("missing"), F.col("missing")).alias("missing"), F.when(F.size("referenced_by") > 0, F.col("referenced_by")).alias("referenced_by"))
-    n = nodes.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", node)))).alias("nodes"))
-    e = edges.agg(F.transform(F.array_sort(F.collect_list(F.struct("src", "seq", "dst"))), lambda x: F.array(x["src"], x["dst"])).alias("edges"))
-    return n.join(F.broadcast(e)).select(F.to_json(F.struct("nodes", "edges")).alias("value"))
+def write_document(parts: dict, path: str) -> None:
+    """K3, K5: one JSON object whose parts are plain values or streams: ("map" or "list", items of rows_json())."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("{")
+        for k, (name, part) in enumerate(parts.items()):
+            f.write(("," if k else "") + "\n  " + _json(name, True) + ": ")
+            if isinstance(part, tuple):
+                _nested(f, part[1], part[0] == "map", True, 1)
+            else:
+                f.write(_json(part, True).replace("\n", "\n  "))
+        f.write("\n}\n")
 
 
 def escaped(c: Column) -> Column:
-    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;")):
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#39;"), ("\t", "&#x9;"), ("\n", "&#xA;"), ("\r", "&#xD;")):
         c = F.replace(c, F.lit(sign), F.lit(entity))
     return c
 
 
+def _element(name: str, c: Column, depth: int) -> Column:
+    return F.concat(F.lit("\n" + "  " * depth + f"<{name}>"), escaped(c), F.lit(f"</{name}>"))
+
+
 def rss_items(feed: DataFrame) -> DataFrame:
-    """K6: one <item> for each feed row, in its order."""
-    return feed.select(F.concat(F.lit("<item><title>"), escaped(F.col("title")), F.lit("</title><link>"), escaped(F.col("url")), F.lit("</link><pubDate>"), F.col("pub_date"), F.lit("</pubDate></item>")).alias("value"))
+    """K6: one <item> for each feed row (title, url, pub_date, description), in its order."""
+    said = F.when(F.coalesce("description", F.lit("")) != "", _element("description", F.col("description"), 3)).otherwise("")
+    parts = [_element("title", F.col("title"), 3), _element("link", F.col("url"), 3), _element("guid", F.col("url"), 3), _element("pubDate", F.col("pub_date"), 3), said]
+    return feed.select(F.concat(F.lit("    <item>"), *parts, F.lit("\n    </item>")).alias("value"))
 
 
 def sitemap_items(urls: DataFrame) -> DataFrame:
     """K7."""
-    return urls.select(F.concat(F.lit("<url><loc>"), escaped(F.col("loc")), F.lit("</loc></url>")).alias("value"))
+    return urls.select(F.concat(F.lit("  <url>"), _element("loc", F.col("loc"), 2), F.lit("\n  </url>")).alias("value"))
+
+
+def plain_escaped(text: str) -> str:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&#34;").replace("'", "&#39;")
+
+
+def rss_frame(title: str, link: str) -> tuple[str, str]:
+    """What stands before and after the items of a feed."""
+    head = f'{XML}<rss version="2.0">\n  <channel>\n    <title>{plain_escaped(title)}</title>\n    <link>{plain_escaped(link)}</link>\n'
+    return head, "  </channel>\n</rss>\n"
 
 
 def write_text(lines: DataFrame, path: str, head: str = "", tail: str = "") -> None:
@@ -60,8 +118,57 @@ def write_text(lines: DataFrame, path: str, head: str = "", tail: str = "") -> N
         f.write(tail)
 
 
-RSS = ('<?xml version="1.0" encoding="UTF-8"?>\n<rss version="2.0"><channel>\n', "</channel></rss>\n")
-SITEMAP = ('<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n', "</urlset>\n")
+def write_plain(path: str, text: str) -> None:
+    """K11."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        f.write(text)
+
+
+def copy_file(source: str, target: str) -> bool:
+    """A copy with the time of the source; False if the target has its size and time already."""
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    if os.path.exists(target):
+        a, b = os.stat(source), os.stat(target)
+        if (a.st_size, a.st_mtime_ns) == (b.st_size, b.st_mtime_ns):
+            return False
+    shutil.copy2(source, target)
+    return True
+
+
+def replace_file(path: str, text: str) -> None:
+    """The new text appears whole or not at all."""
+    fresh = f"{path}.{uuid.uuid4().hex}"
+    with open(fresh, "w", encoding="utf-8") as f:
+        f.write(text)
+    os.replace(fresh, path)
+
+
+def write_listings(rows: DataFrame, folder: str) -> None:
+    """A page for each path with a list of links; rows (path, title, name, link) in the order of paths."""
+    path, f = None, None
+    try:
+        for row in rows.toLocalIterator():
+            if row["path"] != path:
+                if f:
+                    f.write("</ul>\n")
+                    f.close()
+                path = row["path"]
+                os.makedirs(os.path.dirname(f"{folder}/{path}"), exist_ok=True)
+                f = open(f"{folder}/{path}", "w", encoding="utf-8")  # noqa: SIM115
+                title = plain_escaped(row["title"])
+                f.write(f"<!DOCTYPE html>\n<title>{title}</title>\n<h1>{title}</h1>\n<ul>\n")
+            f.write(f'<li><a href="{plain_escaped(row["link"])}">{plain_escaped(row["name"])}</a></li>\n')
+        if f:
+            f.write("</ul>\n")
+    finally:
+        if f:
+            f.close()
+
+
+XML = '<?xml version="1.0" encoding="UTF-8"?>\n'
+SITEMAP = (XML + '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n', "</urlset>\n")
+NO_SITEMAP = (XML + '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', "</urlset>\n")
 
 
 class Publication:

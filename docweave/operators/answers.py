@@ -38,21 +38,34 @@ def source_cards(verified: DataFrame, keyed_hits: DataFrame) -> DataFrame:
 
 
 def prompt_blocks(hits: DataFrame, max_chunks: int = MAX_CHUNKS, max_chars: int = MAX_CHARS) -> DataFrame:
-    """Excerpts of the first chunks of each question, the one that crosses the budget (in bytes) cut,
-    later ones gone. hits: question_id, rank, text."""
+    """Framed excerpts of the first chunks of each question, the one that crosses the budget (in bytes, the
+    frame with its key counted) cut, later ones gone. hits: question_id, rank, text, key (optional, the rank)."""
     max_chunks, max_chars = max_chunks if max_chunks > 0 else MAX_CHUNKS, max_chars if max_chars > 0 else MAX_CHARS
-    blocks = hits.filter(F.col("rank") <= max_chunks).withColumn("block", text.excerpt(F.col("text"), EXCERPT))
+    key = F.col("key") if "key" in hits.columns else F.col("rank").cast("string")
+    frame = F.concat(F.lit("\n["), key, F.lit("]\n"), text.excerpt(F.col("text"), EXCERPT), F.lit("\n"))
+    blocks = hits.filter(F.col("rank") <= max_chunks).withColumn("block", frame)
     before = Window.partitionBy("question_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("used", F.coalesce(F.sum(F.octet_length("block")).over(before), F.lit(0)))
     left = F.lit(max_chars) - F.col("used")
     return blocks.filter(left > 0).withColumn("kept_bytes", F.least(F.octet_length("block"), left)).withColumn("block", F.when(F.octet_length("block") <= left, F.col("block")).otherwise(F.expr(f"cast(substring(cast(block as binary), 1, cast({max_chars} - used as int)) as string)")))
 
 
-def prompt(blocks: DataFrame) -> DataFrame:
-    """one prompt for each question, the blocks by key."""
-    lines = F.sort_array(F.collect_list(F.struct("rank", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("block")).alias("line"))))
-    head = "Use only the numbered sources and cite them as [n]. Say that there is not enough information if they do not answer.\n\n"
-    return blocks.groupBy("question_id").agg(F.concat(F.lit(head), F.array_join(F.transform(lines, lambda x: x["line"]), "\n")).alias("prompt"))
+#: What a model is told before the sources; own wording.
+RULES = "Answer from the numbered sources below and from nothing else. Cite each fact by its key, as in [1], and use no other keys. If the sources do not answer the question, say that there is not enough information. Answer in a few sentences."
+
+
+def prompt(hits: DataFrame, questions: DataFrame, max_chunks: int = MAX_CHUNKS, max_chars: int = MAX_CHARS) -> DataFrame:
+    """one prompt for each question: rules, the map of keys (title or id, heading), the blocks within the
+    budget, the question. hits: question_id, rank, text, id, title, heading; questions: question_id, question."""
+    max_chunks = max_chunks if max_chunks > 0 else MAX_CHUNKS
+    hits = citation_keys(hits).filter(F.col("rank") <= max_chunks)
+    named = F.concat(F.lit("  ["), "key", F.lit("] "), F.when(F.col("title") != "", F.col("title")).otherwise(F.col("id")), F.lit(" — "), "heading", F.lit("\n"))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", c.alias("line")))), lambda x: x["line"]), "")
+    keys = hits.groupBy("question_id").agg(joined(named).alias("keys"))
+    blocks = prompt_blocks(hits, max_chunks, max_chars).groupBy("question_id").agg(joined(F.col("block")).alias("blocks"))
+    out = questions.join(keys, "question_id", "left").join(blocks, "question_id", "left")
+    some = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return out.select("question_id", F.concat(F.lit(f"{RULES}\n\nCitation key map:\n"), some("keys"), F.lit("\nSource material:\n"), some("blocks"), F.lit("\nQuestion: "), F.trim("question"), F.lit("\nAnswer:")).alias("prompt"))
 
 
 def status(question: Column, hits: Column, answer: Column, verified: Column) -> Column:

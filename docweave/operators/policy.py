@@ -48,6 +48,25 @@ def decide(pr: DataFrame, policy: Policy) -> DataFrame:
     return pr.withColumn("decision", decision).select("*", "decision.action", "decision.reason").drop("decision")
 
 
+def synced(pr: DataFrame, policy: Policy) -> DataFrame:
+    """A decision for each request, by number; one that could not be read (error, a text) has the action
+    error and does not keep the others from theirs. Without apply nothing is meant to be changed."""
+    bad = F.coalesce("error", F.lit("")) != ""
+    out = decide(pr, policy)
+    return out.withColumn("action", F.when(bad, "error").otherwise(F.col("action"))).withColumn("reason", F.when(bad, F.col("error")).otherwise(F.col("reason"))).orderBy("number")
+
+
+def sync_lines(decided: DataFrame) -> DataFrame:
+    """A line for each decision, by number."""
+    shown = display_action(F.col("action"))
+    return decided.orderBy("number").select(F.concat(F.lit("#"), F.col("number").cast("string"), F.lit(" "), shown, F.lit(": "), F.col("reason")).alias("value"))
+
+
+def display_action(action: Column) -> Column:
+    """F28."""
+    return F.when(action == "merge", "MERGED").when(action == "close", "CLOSED").otherwise(F.upper(action))
+
+
 def roll_up(runs: DataFrame, key: str) -> DataFrame:
     """State of a commit's check runs (status, conclusion): pending before failed before passing."""
     done, good = F.col("status") == "completed", F.col("conclusion").isin("success", "skipped", "neutral")
@@ -62,5 +81,5 @@ def with_state(commits: DataFrame, rolled: DataFrame, key: str) -> DataFrame:
 
 def tally(decided: DataFrame) -> DataFrame:
     """A17, F28."""
-    shown = F.when(F.col("action") == "merge", "MERGED").when(F.col("action") == "close", "CLOSED").otherwise(F.upper("action"))
+    shown = display_action(F.col("action"))
     return decided.groupBy(shown.alias("action")).agg(F.count("*").alias("n"))

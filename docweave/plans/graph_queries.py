@@ -9,6 +9,7 @@ from docweave.operators import checks, graph, site
 from docweave.plans.registry import query, table
 from docweave.plans.text_queries import part_documents
 from docweave.sources import markdown
+from docweave.storage import stored
 
 _HREFS = "SELECT page_id, unnest(h) AS reference, unnest(range(len(h))) AS seq FROM (SELECT page_id, regexp_extract_all(html, '(?i)\\b(?:href|src)\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1) AS h FROM pages)"
 
@@ -39,7 +40,7 @@ def linked_documents(spark, d):
     n = F.col("page_id")
     to = lambda c, extra="": F.concat(F.lit("[x](/p/"), c.cast("string"), F.lit(f".md{extra}) "))
     near = F.pmod(n * 7 + 1, F.lit(200))
-    body = F.concat(F.lit("Text ![no](/p/0.md) `[no](/p/1.md)`\n"), to(F.pmod(n * 7, F.lit(200))), to(near), to(near, "?q=1#f"), to(F.pmod(n * 11, F.lit(400))), F.lit("[out](https://example.com/a.md) [frag](#a)\n"))
+    body = F.concat(F.lit("Text ![no](/p/0.md) `[no](/p/1.md)`\n"), to(F.pmod(n * 7, F.lit(200))), to(near), to(near, "?q=1#f"), to(F.pmod(n * 11, F.lit(400))), F.lit("[out](https://example.com/a.md) [frag](#a)\n"), F.repeat(F.lit("w "), (n % 17).cast("int")))
     return markdown.from_table(
         table(spark, d, "pages"),
         F.concat(F.lit("p/"), n.cast("string"), F.lit(".md")),
@@ -87,26 +88,27 @@ def orphans_checker(spark, d):
 
 @query(f"""WITH {_DOCS}, near AS (SELECT dst AS id, src AS i, NULL AS o FROM edges UNION ALL SELECT src, NULL, dst FROM edges UNION ALL SELECT id, NULL, NULL FROM docs),
 adj AS (SELECT id, count(DISTINCT i) AS n_in, count(DISTINCT o) AS n_out FROM near GROUP BY id)
-SELECT a.id, CASE WHEN d.n IS NULL THEN 'P ' || regexp_extract(a.id, '[0-9]+') WHEN d.n % 13 = 0 THEN 'none' ELSE 'Page ' || d.n END AS title,
+SELECT a.id, CASE WHEN d.n IS NULL THEN regexp_extract(a.id, '[0-9]+') WHEN d.n % 13 = 0 THEN 'none' ELSE 'Page ' || d.n END AS title,
   a.n_in::INT AS n_in, a.n_out::INT AS n_out, a.n_in = 0 AS orphan,
   CASE WHEN d.n IS NULL THEN 'stub' WHEN NOT d.render THEN 'raw' WHEN a.n_in = 0 THEN 'orphan' ELSE 'page' END AS class
 FROM adj a LEFT JOIN docs d ON d.id = a.id""")
 def explorer_nodes(spark, d):
     docs = linked_documents(spark, d)
     meta = site.page_meta(docs).withColumn("title", F.when(F.col("title").endswith(".md"), "none").otherwise(F.col("title"))).select("id", "title")
-    out = graph.explorer(graph.nodes(docs), graph.edges(docs), meta)
-    title = F.when(F.col("type") == "stub", F.concat(F.lit("P "), F.regexp_extract("id", "[0-9]+", 0))).otherwise(F.col("title"))
-    return out.select("id", title.alias("title"), F.size("inbound").alias("n_in"), F.size("outbound").alias("n_out"), "orphan", "class")
+    found = stored(graph.links(docs), "links")
+    out = graph.explorer(graph.nodes(docs, found), graph.edges(docs, found), meta)
+    return out.select("id", "title", F.size("inbound").alias("n_in"), F.size("outbound").alias("n_out"), "orphan", "class")
 
 
-@query(f"""WITH {_DOCS}, p AS (SELECT *, n % 4 = 0 AS nodesc, n % 3 <> 0 AS nodate FROM docs WHERE render),
-w AS (SELECT 13 AS words)
-SELECT count(*) AS pages, count(*) * 7 AS words, 7.0 AS average_words, count_if(nodesc) AS n_desc, count_if(nodate) AS n_date,
- (SELECT count(*) FROM p WHERE 'p/' || n NOT IN (SELECT dst FROM edges)) AS n_orphans, (SELECT count(*) FROM edges) AS edges FROM p""")
+@query(f"""WITH {_DOCS}, p AS (SELECT *, 'p/' || n AS page, n % 4 = 0 AS nodesc, n % 3 <> 0 AS nodate, 'p/' || n NOT IN (SELECT dst FROM edges) AS lonely FROM docs WHERE render),
+m AS (SELECT (SELECT count(*) FROM docs) + (SELECT count(DISTINCT t) FROM edges WHERE missing) AS node_count)
+SELECT count(*) AS pages, sum(9 + n % 17)::BIGINT AS total_word_count, avg(9 + n % 17) AS avg_words_per_page, any_value(node_count) AS node_count, (SELECT count(*) FROM edges) AS edge_count,
+ string_agg(page, ',' ORDER BY page) FILTER (nodesc) AS missing_descriptions, string_agg(page, ',' ORDER BY page) FILTER (nodate) AS missing_dates, string_agg(page, ',' ORDER BY page) FILTER (lonely) AS orphaned_pages FROM p, m""")
 def page_health(spark, d):
-    docs = linked_documents(spark, d).withColumn("word_count", F.lit(7))
-    out = site.health(docs, graph.edges(docs))
-    return out.select("pages", "words", "average_words", F.size("missing_descriptions").cast("long").alias("n_desc"), F.size("missing_dates").cast("long").alias("n_date"), F.size("orphans").cast("long").alias("n_orphans"), "edges")
+    docs = linked_documents(spark, d)
+    found = stored(graph.links(docs), "links")
+    out = site.health(docs, graph.edges(docs, found), graph.nodes(docs, found))
+    return out.select("pages", "total_word_count", "avg_words_per_page", "node_count", "edge_count", *[F.array_join(x, ",").alias(x) for x in site.LACKS])
 
 
 # --- the same operators at the scale of the order tables ------------------------------------------
@@ -136,9 +138,9 @@ def unique_edges(spark, d):
     return graph.unique_edges(order_edges(spark, d))
 
 
-@query("SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+@query("SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
 def orphans_explorer(spark, d):
-    edge = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("o"), "o_orderkey").alias("src"), F.concat(F.lit("c"), "o_custkey").alias("dst"))
+    edge = table(spark, d, "orders").filter("o_totalprice > 250000").select(F.concat(F.lit("o"), "o_orderkey").alias("src"), F.concat(F.lit("c"), "o_custkey").alias("dst"))
     return graph.orphans_explorer(table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id")), edge)
 
 
@@ -175,17 +177,21 @@ def collision_check(spark, d):
     return graph.first_owner(claims)
 
 
-@query("""WITH p AS (SELECT *, CASE WHEN trim(coalesce(text, '')) = '' THEN 0 ELSE len(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')) END AS words FROM documents)
-SELECT count(*) AS pages, sum(words)::BIGINT AS words, avg(words) AS average_words, count_if(l.quality IS NULL) AS unlabelled, count_if(l.toxic = 1) AS toxic FROM p LEFT JOIN labels l USING (doc_id)""")
+@query("""WITH p AS (SELECT doc_id, coalesce(text, '') = '' OR doc_id % 3 = 0 AS nodesc, l.quality IS NULL AS nodate, len(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')) AS words FROM documents LEFT JOIN labels l USING (doc_id)),
+e AS (SELECT doc_id FROM p WHERE doc_id % 2 = 1)
+SELECT 'missing_descriptions' AS list, 'd/' || doc_id AS id FROM p WHERE nodesc UNION ALL SELECT 'missing_dates', 'd/' || doc_id FROM p WHERE nodate UNION ALL SELECT 'orphaned_pages', 'd/' || doc_id FROM p WHERE doc_id NOT IN (SELECT doc_id FROM e)""")
 def content_health(spark, d):
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").withColumn("words", text.word_count(F.col("text")))
-    return docs.agg(F.count("*").alias("pages"), F.sum("words").alias("words"), F.avg("words").alias("average_words"), F.count_if(F.col("quality").isNull()).alias("unlabelled"), F.count_if(F.col("toxic") == 1).alias("toxic"))
+    """What documents lack, one row each: those with labels are dated, those with an odd id linked to."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    named = markdown.from_table(docs, F.concat(F.lit("d/"), "doc_id", F.lit(".md")), F.col("text"), description=F.when(F.col("doc_id") % 3 != 0, F.col("text")), date=F.when(F.col("quality").isNotNull(), F.lit("2024-01-01")))
+    edge = docs.filter("doc_id % 2 = 1").select(F.lit("index").alias("src"), F.concat(F.lit("d/"), "doc_id").alias("dst"), F.lit(0).alias("seq"))
+    return site.health_findings(named, edge)
 
 
 @query("SELECT 'Order ' || o_orderkey AS title, '/o/' || o_orderkey || '/' AS url, strftime(o_orderdate, '%Y-%m-%d') AS date, strftime(o_orderdate, '%a, %d %b %Y 00:00:00 +0000') AS pub_date FROM orders WHERE o_orderstatus <> 'P'")
 def feed_items(spark, d):
     day = F.when(F.col("o_orderstatus") != "P", F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("soon")
-    return site.feed(table(spark, d, "orders").select(F.concat(F.lit("Order "), "o_orderkey").alias("title"), F.concat(F.lit("/o/"), "o_orderkey", F.lit("/")).alias("url"), day.alias("date")))
+    return site.feed(table(spark, d, "orders").select(F.concat(F.lit("Order "), "o_orderkey").alias("title"), F.concat(F.lit("/o/"), "o_orderkey", F.lit("/")).alias("url"), day.alias("date"))).drop("description")
 
 
 @query("SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS loc FROM pages UNION SELECT DISTINCT '/tags/' || lang || '/' FROM documents")
@@ -209,32 +215,38 @@ def check_summary(spark, d):
     return checks.summary(checks.validate(linked_documents(spark, d)))
 
 
-@query(f"""WITH {_DOCS} SELECT rel_path AS file, 2 AS line, 'broken internal link "/p/' || t || '.md" -> "p/' || t || '.md"' AS message FROM edges WHERE missing AND seq <> 2""")
+@query(f"""WITH {_DOCS} SELECT rel_path AS file, 2 AS line, 'broken internal link "/p/' || t || '.md' || CASE WHEN seq = 2 THEN '?q=1#f' ELSE '' END || '" -> "p/' || t || '.md"' AS message FROM edges WHERE missing""")
 def broken_links(spark, d):
-    f = checks.broken_links(linked_documents(spark, d))
-    return f.filter(~F.col("message").contains("?")).select("file", "line", "message")
+    return checks.broken_links(linked_documents(spark, d)).select("file", "line", "message")
+
+
+_SIZE = "CASE WHEN size >= 1073741824 THEN printf('%.1f GB', size / 1073741824.0) ELSE printf('%.1f MB', size / 1048576.0) END"
 
 
-@query("""WITH a AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 20 = 0 THEN 'IMG/' ELSE 'img/' END || (p_partkey // 21) || CASE WHEN p_partkey % 3 = 0 THEN '.bmp' ELSE '.png' END AS path, p_partkey * 100000 AS size FROM part),
-u AS (SELECT path, max(size) AS size FROM a GROUP BY path),
-t AS (SELECT *, min(path) OVER (PARTITION BY lower(path)) AS first FROM u)
-SELECT path AS file, 'asset differs only in case from "' || first || '"' AS message FROM t WHERE first <> path
-UNION ALL SELECT path, 'suspicious image extension .bmp' FROM u WHERE path LIKE '%.bmp'
-UNION ALL SELECT path, 'large image: ' || CASE WHEN size >= 1073741824 THEN printf('%.1f GB', size / 1073741824.0) ELSE printf('%.1f MB', size / 1048576.0) END || ' exceeds 5.0 MB' FROM u WHERE size > 5242880""")
+@query(f"""WITH a AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 20 = 0 THEN 'IMG/' ELSE 'img/' END || (p_partkey // 21) || ['.bmp', '.png', '.xcf', '.TIFF', '.svg', ''][p_partkey % 6 + 1] AS path, p_partkey * 100000 AS size FROM part),
+g AS (SELECT path, max(size) AS size FROM a GROUP BY path),
+u AS (SELECT *, size % 1900000 = 0 AS symlink, '.' || regexp_extract(lower(path), '\\.([^./]*)$', 1) AS ext FROM g),
+v AS (SELECT * FROM u WHERE NOT symlink),
+t AS (SELECT *, min(path) OVER (PARTITION BY lower(path)) AS first FROM v)
+SELECT path AS file, 'symlink in asset directory skipped: ' || path AS message FROM u WHERE symlink
+UNION ALL SELECT path, 'asset case-collision / duplicate destination risk: "' || first || '" and "' || path || '" map to the same destination "' || lower(path) || '"' FROM t WHERE first <> path
+UNION ALL SELECT path, 'unsupported or suspicious image extension "' || ext || '": prefer web-optimized formats (.png, .jpg, .webp, .svg, .avif)' FROM v WHERE ext IN ('.bmp', '.xcf', '.tiff')
+UNION ALL SELECT path, 'unusually large raster asset (' || {_SIZE} || ' > 5.0 MB threshold)' FROM v WHERE size > 5242880 AND ext IN ('.bmp', '.png', '.tiff')""")
 def asset_rules(spark, d):
     k = F.col("p_partkey")
-    path = F.concat(F.when(k % 20 == 0, "IMG/").otherwise("img/"), F.floor(k / 21), F.when(k % 3 == 0, ".bmp").otherwise(".png"))
-    assets = table(spark, d, "part").groupBy(path.alias("path")).agg(F.max(k * 100000).cast("long").alias("size")).withColumn("symlink", F.lit(False)).withColumn("target", F.lit(None).cast("string"))
+    ext = F.element_at(F.array(*map(F.lit, (".bmp", ".png", ".xcf", ".TIFF", ".svg", ""))), (k % 6 + 1).cast("int"))
+    path = F.concat(F.when(k % 20 == 0, "IMG/").otherwise("img/"), F.floor(k / 21), ext)
+    assets = table(spark, d, "part").groupBy(path.alias("path")).agg(F.max(k * 100000).cast("long").alias("size")).withColumn("symlink", F.col("size") % 1900000 == 0)
     return checks.asset_files(assets).select("file", "message")
 
 
 @query("""WITH r AS (SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'img/' || p_partkey || '.png' WHEN 1 THEN 'IMG/' || (p_partkey - 1) || '.png' WHEN 2 THEN 'img/none' || p_partkey || '.png' ELSE '../x' || p_partkey END AS target FROM part)
-SELECT 'd' || k AS file, CASE k % 4 WHEN 1 THEN 'asset case mismatch: "' || target || '" is "img/' || (k - 1) || '.png"' WHEN 2 THEN 'missing asset "' || target || '"' ELSE 'asset reference escapes the asset root: "' || target || '"' END AS message FROM r WHERE k % 4 <> 0""")
+SELECT 'd' || k AS file, CASE k % 4 WHEN 1 THEN 'referenced asset "/assets/' || target || '" has case mismatch with existing asset "img/' || (k - 1) || '.png"' WHEN 2 THEN 'missing referenced asset "/assets/' || target || '"' ELSE 'referenced asset path "/assets/' || target || '" escapes asset root' END AS message FROM r WHERE k % 4 <> 0""")
 def asset_reference_rules(spark, d):
     k, part = F.col("p_partkey"), table(spark, d, "part")
     form = lambda fmt, c: F.format_string(fmt, c)
     target = F.when(k % 4 == 0, form("img/%d.png", k)).when(k % 4 == 1, form("IMG/%d.png", k - 1)).when(k % 4 == 2, form("img/none%d.png", k)).otherwise(form("../x%d", k))
-    refs = part.select(F.concat(F.lit("d"), k).alias("file"), F.lit(1).alias("line"), target.alias("target"))
+    refs = part.select(F.concat(F.lit("d"), k).alias("file"), F.lit(1).alias("line"), F.concat(F.lit("/assets/"), target).alias("dest"), target.alias("target"))
     assets = part.filter(k % 4 == 0).select(F.format_string("img/%d.png", k).alias("path"))
     return checks.asset_references(refs, assets).select("file", "message")
 
@@ -242,7 +254,7 @@ def asset_reference_rules(spark, d):
 @query(f"""WITH h AS ({_HREFS}), r AS (SELECT DISTINCT page_id, reference FROM h WHERE reference <> '' AND NOT regexp_matches(reference, '^(#|//|[a-zA-Z][a-zA-Z0-9+.-]*:)') AND regexp_replace(reference, '[?#].*$', '') <> ''),
 t AS (SELECT *, CASE WHEN regexp_replace(reference, '[?#].*$', '') LIKE '/%' THEN substr(regexp_replace(reference, '[?#].*$', ''), 2) ELSE 'site/' || reference END AS target FROM r),
 f AS (SELECT DISTINCT target || '/index.html' AS file FROM t WHERE length(target) % 2 = 0)
-SELECT 'site/' || page_id || '.html' AS path, reference FROM t WHERE target NOT IN (SELECT file FROM f) AND target || '/index.html' NOT IN (SELECT file FROM f)""")
+SELECT 'site/' || page_id || '.html' AS path, reference FROM t WHERE target NOT IN (SELECT file FROM f) AND NOT (regexp_matches(target, '(^|/)[^./]*$') AND target || '/index.html' IN (SELECT file FROM f))""")
 def publish_missing_references(spark, d):
     pages = table(spark, d, "pages").select(F.concat(F.lit("site/"), "page_id", F.lit(".html")).alias("path"), "html")
     refs = pages.select(F.explode(graph.html_references(F.col("html"))).alias("r")).filter(~paths.is_external(F.col("r")))
@@ -252,7 +264,7 @@ def publish_missing_references(spark, d):
     return checks.missing_references(pages, files)
 
 
-@query("SELECT unnest(['graph.json', 'robots.txt']) AS path")
+@query("SELECT path FROM (SELECT unnest(['sitemap.xml', 'robots.txt', 'search.json', 'graph.json', 'backlinks.json', 'meta.json']) AS path) WHERE path NOT IN (SELECT lower(r_name) || '.json' FROM region UNION SELECT 'graph.json' FROM nation WHERE n_nationkey = 0)")
 def missing_artifacts(spark, d):
-    files = spark.createDataFrame([(x,) for x in checks.REQUIRED if x not in ("graph.json", "robots.txt")], "path string")
+    files = table(spark, d, "region").select(F.concat(F.lower("r_name"), F.lit(".json")).alias("path")).union(table(spark, d, "nation").filter("n_nationkey = 0").select(F.lit("graph.json")))
     return checks.missing_artifacts(files)

@@ -127,7 +127,7 @@ def source_cards(spark, d):
 
 
 @query(r"""WITH h AS (SELECT conv_id AS question_id, turn + 1 AS rank, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM conversations),
-b AS (SELECT question_id, rank, CASE WHEN length(c) <= 160 THEN c ELSE substr(c, 1, 159) || '…' END AS block FROM h WHERE rank <= 8),
+b AS (SELECT question_id, rank, chr(10) || '[' || rank || ']' || chr(10) || CASE WHEN length(c) <= 160 THEN c ELSE substr(c, 1, 159) || '…' END || chr(10) AS block FROM h WHERE rank <= 8),
 u AS (SELECT *, octet_length(encode(block)) AS n, coalesce(sum(octet_length(encode(block))) OVER (PARTITION BY question_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM b)
 SELECT question_id, rank, used::BIGINT AS used, least(n, 400 - used)::BIGINT AS kept_bytes FROM u WHERE used < 400""")
 def prompt_budget(spark, d):
@@ -159,7 +159,9 @@ def manifest_diff(spark, d):
     return manifest.difference(of(docs.filter(k != "src1"), F.col("text")), of(docs.filter(k != "src2"), F.when(k == "src3", F.concat(F.col("text"), F.lit("!"))).otherwise(F.col("text"))))
 
 
-@query()
+@query("""WITH h AS (SELECT doc_id::VARCHAR AS path, sha256(text) AS hash FROM documents),
+p AS (SELECT substr(sha256(path), 1, 4) AS part, sha256(string_agg(path || ':' || hash, chr(10) ORDER BY path || ':' || hash)) AS digest FROM h GROUP BY part)
+SELECT sha256('v1' || chr(10) || string_agg(digest, chr(10) ORDER BY part)) AS fingerprint FROM p""")
 def fingerprint(spark, d):
     return manifest.fingerprint(content_hash(spark, d), "v1")
 

@@ -51,7 +51,7 @@ def truncate_40(spark, d):
     return table(spark, d, "documents").select("doc_id", text.truncate(F.col("text"), 40).alias("short"))
 
 
-_NAMES = "|".join(text.ELEMENTS.split())
+_NAMES = "|".join(text.ELEMENTS)
 _TAGS = rf"(?i)</?(?:(?:{_NAMES})(?:[^a-z0-9<>\n-][^<>\n]*)?|[a-z][a-z0-9-]*[^<>\n]*\s[a-z_:][-a-z0-9_:.]*\s*=\s*\"[^\"<>\n]*\"[^<>\n]*)>".replace('\\"', '"')
 
 
@@ -119,8 +119,9 @@ def top_tags(spark, d):
 @query(f"""
 WITH {_PARTS}, i AS (
   SELECT p_name AS t, '/parts/p' || p_partkey || '/' AS u, tag || ',' || category AS g, p_name || ' made by ' || replace(p_brand, '#', '') AS s, p_name AS h FROM parts WHERE render
-  UNION ALL SELECT DISTINCT tag, '/tags/' || tag || '/', '', '', '' FROM parts WHERE render
-  UNION ALL SELECT DISTINCT category, '/categories/' || category || '/', '', '', '' FROM parts WHERE render)
+  UNION ALL SELECT DISTINCT 'Tag: ' || tag, '/tags/' || tag || '/', tag, '', '' FROM parts WHERE render
+  UNION ALL SELECT DISTINCT 'Category: ' || category, '/categories/' || category || '/', category, '', '' FROM parts WHERE render
+  UNION ALL SELECT 'Tags', '/tags/', '', '', '' UNION ALL SELECT 'Categories', '/categories/', '', '', '')
 SELECT * FROM i""")
 def search_index(spark, d):
     return site.search_index(part_documents(spark, d)).select("t", "u", F.array_join("g", ",").alias("g"), "s", F.array_join("h", ",").alias("h"))

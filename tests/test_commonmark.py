@@ -24,6 +24,7 @@ CASES = [
     ("text\n[a]: not-a-definition.md\n[a]", []),
     ("[a]: first.md\n[A]: second.md\n\n[a]", ["first.md"]),
     ("| [a](a.md) | b |\n|---|---|\n| [c](c.md) | d |", ["a.md", "c.md"]),
+    ("> ```\n> [a](a.md)\n> ```\n> [b](b.md)\n\n> ```\n> [c](c.md)\n\n[d](d.md)", ["b.md", "d.md"]),
     ("", []),
 ]
 

@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.operators import answers, checks, graph, manifest, policy, retrieval, site
+from docweave.functions import text
+from docweave.operators import answers, build, checks, graph, manifest, policy, retrieval, site
 from docweave.sources import bundles, markdown, sinks
 from docweave.streaming import changes
 
@@ -64,12 +65,14 @@ def test_site_tables(docs, tmp_path):
     items = site.search_index(docs)
     assert [r["u"] for r in site.search(items, "HOME").collect()] == ["/"]
     assert site.search(items, "  ").count() == 0
-    health = site.health(docs.withColumn("word_count", F.lit(3)), graph.edges(docs)).first()
-    assert (health["pages"], health["words"], health["edges"], health["orphans"]) == (4, 12, 7, ["alone", "broken"])
+    health = site.health(docs, graph.edges(docs), graph.nodes(docs)).first()
+    words = sum(len(r["body"].split()) for r in docs.filter("rel_path <> 'sub/b.md'").collect())
+    assert (health["pages"], health["total_word_count"], health["edge_count"], health["node_count"], health["orphaned_pages"]) == (4, words, 7, 6, ["alone", "broken"])
+    assert health["missing_dates"] == ["a", "alone", "broken"] and len(health["missing_descriptions"]) == 4
     with sinks.Publication(str(tmp_path / "out")) as staging:
         sinks.write_json(site.search_order(items), f"{staging}/search.json", pretty=False)
         sinks.write_json(site.page_meta(docs), f"{staging}/meta.json", key="id")
-        sinks.write_text(sinks.graph_document(graph.nodes(docs), graph.edges(docs)), f"{staging}/graph.json")
+        build.graph_json({"nodes": graph.nodes(docs), "edges": graph.edges(docs)}, f"{staging}/graph.json")
     assert json.loads((tmp_path / "out/meta.json").read_text())["a"]["url"] == "/post/"
     assert json.loads((tmp_path / "out/graph.json").read_text())["nodes"]["gone"]["referenced_by"] == ["index.md", "sub/b.md"]
     with pytest.raises(RuntimeError):
@@ -90,7 +93,7 @@ def test_bundles(spark, tmp_path):
     files = spark.createDataFrame([("b.md", "x\n</content>\n\\<file \n"), ("a.md", "hello")], "path string, content string")
     sinks.write_text(bundles.bundle_text(files), str(tmp_path / "rag-content.md"))
     got = bundles.read_bundles(spark, str(tmp_path))
-    assert rows(got, "path", "text") == [("a.md", "hello"), ("b.md", "x\n</content>\n\\<file ")]
+    assert rows(got, "path", "text") == [("a.md", "hello"), ("b.md", "x\n</content>\n\\<file \n")]
     bad = ["", "<content>\n", "<file path=\"a\">\n<file path=\"b\">\n", "<file >\n", "<file path=\"a\">\n<content>\nx\n</file>\n", "<file path=\"a\">\n<content>\nx\n"]
     for b in bad:
         with pytest.raises(bundles.MalformedBundle):
@@ -121,7 +124,7 @@ def test_answers(spark):
     assert status("miss")[1] == "no_answer" and status("empty")[1] == "answered"
     hits = spark.createDataFrame([(1, r, "w" * 300) for r in range(1, 12)], "question_id int, rank int, text string")
     blocks = answers.prompt_blocks(hits, 0, 400).orderBy("rank").collect()
-    assert [b["kept_bytes"] for b in blocks] == [162, 162, 76]
+    assert [b["kept_bytes"] for b in blocks] == [168, 168, 64] and blocks[0]["block"].startswith("\n[1]\nwww")
 
 
 def test_policy_gates(spark):
@@ -185,8 +188,9 @@ def test_rebuild_calls_reload_after_success_only(spark, tmp_path):
 
     changes.rebuild_on_change(stream, build, reloaded.append, str(tmp_path / "ck")).awaitTermination()
     (src / "bad.md").write_text("y")
-    changes.rebuild_on_change(stream, build, reloaded.append, str(tmp_path / "ck")).awaitTermination()
-    assert built == [1, 1] and len(reloaded) == 1
+    failed = []
+    changes.rebuild_on_change(stream, build, reloaded.append, str(tmp_path / "ck"), failed=lambda epoch, e: failed.append(type(e))).awaitTermination()
+    assert built == [1, 1] and len(reloaded) == 1 and failed == [RuntimeError]
 
 
 def test_explorer_query(spark):
@@ -197,9 +201,113 @@ def test_explorer_query(spark):
 
 
 def test_asset_and_publish_rules(spark):
-    assets = spark.createDataFrame([("a.png", 6 << 20, False, None), ("A.png", 1, False, None), ("l", 1, True, "../../etc")], "path string, size long, symlink boolean, target string")
-    assert sorted(r["message"] for r in checks.asset_files(assets).collect()) == ["asset differs only in case from \"A.png\"", "asset escapes the asset root", "asset is a symlink", "large image: 6.0 MB exceeds 5.0 MB"]
-    pages = spark.createDataFrame([("x/index.html", '<a href="/y/">y</a><img src="i.png"><a href="z.html">z</a><a href="#q">q</a><a href="mailto:a@b.c">m</a>')], "path string, html string")
+    assets = spark.createDataFrame([("a.png", 6 << 20, False), ("A.png", 1, False), ("l", 1, True), ("../out.png", 9, False), ("x.psd", 1, False)], "path string, size long, symlink boolean")
+    assert sorted(r["message"] for r in checks.asset_files(assets).collect()) == [
+        'asset case-collision / duplicate destination risk: "A.png" and "a.png" map to the same destination "a.png"',
+        'asset path "../out.png" escapes configured asset root "assets"',
+        "symlink in asset directory skipped: l",
+        'unsupported or suspicious image extension ".psd": prefer web-optimized formats (.png, .jpg, .webp, .svg, .avif)',
+        "unusually large raster asset (6.0 MB > 5.0 MB threshold)",
+    ]
+    pages = spark.createDataFrame([("x/index.html", '<a href="/y/">y</a><img src="i.png"><a href="z.html">z</a><a href="#q">q</a><a href="mailto:a@b.c">m</a><a href="../..">up</a>')], "path string, html string")
     files = spark.createDataFrame([("y/index.html",), ("x/z/index.html",)], "path string")
-    assert rows(checks.missing_references(pages, files), "path", "reference") == [("x/index.html", "i.png")]
-    assert checks.forbidden_files(spark.createDataFrame([(".staging-1/a", False), ("a", True), ("ok", False)], "path string, symlink boolean")).count() == 2
+    assert rows(checks.missing_references(pages, files), "path", "reference") == [("x/index.html", "../.."), ("x/index.html", "i.png")]
+    named = spark.createDataFrame([(".staging-1/a", False), ("a", True), ("ok", False)], "path string, symlink boolean")
+    assert checks.forbidden_files(named).count() == 2
+    assert [r["path"] for r in checks.published_manifest(named.filter("path = 'ok'")).collect()] == ["ok"]
+    with pytest.raises(Exception, match="not to be published"):
+        checks.published_manifest(named).collect()
+
+
+def test_one_tokenisation_in_ranking_plans(spark, sf, capsys):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), text.tokens(F.col("text")).alias("tokens"))
+    for plan in (retrieval.rank_one(docs, "the thing is ation", 8), retrieval.term_idf(docs)):
+        plan.explain("formatted")
+        assert capsys.readouterr().out.count("regexp_replace(lower(") == 1
+
+
+def test_builds_of_a_single_slot(spark):
+    import random
+
+    rng = random.Random(1)
+    rows_ = [(k, sorted(rng.uniform(0, 300) for _ in range(rng.randint(0, 40)))) for k in range(20)]
+    flat = spark.createDataFrame([(k, t) for k, ts in rows_ for t in ts], "k int, s double").select("k", F.timestamp_micros((F.col("s") * 1_000_000).cast("long")).alias("ts"))
+    got = {(r["k"], round(r["s"], 3), r["triggers"]) for r in changes.single_slot_builds(flat.repartition(4), "k", 10).select("k", (F.unix_micros("start") / 1e6).alias("s"), "triggers").collect()}
+    want = set()
+    for k, ts in rows_:  # a builder that is stepped through time
+        free, queued, start = 0.0, 0, None
+        for t in ts:
+            t = int(t * 1_000_000) / 1e6
+            if start is not None and t <= start:
+                queued += 1
+                continue
+            if start is not None:
+                want.add((k, round(start, 3), queued))
+            start, queued = max(t, free), 1
+            free = start + 10
+        if start is not None:
+            want.add((k, round(start, 3), queued))
+    assert got == want
+
+
+def test_polling_sees_all_kinds_of_changes(spark, tmp_path):
+    (tmp_path / "content/sub").mkdir(parents=True)
+    (tmp_path / "public").mkdir()
+    (tmp_path / "content/_index.md").write_text("a")
+    (tmp_path / "content/b.md").write_text("b")
+    folders = [str(tmp_path / "content"), str(tmp_path / "public"), str(tmp_path / "none")]
+    found, last = changes.poll(spark, folders, None, str(tmp_path / "public"))
+    assert found.count() == 0 and last.count() == 2
+    (tmp_path / "content/b.md").unlink()
+    (tmp_path / "content/_index.md").write_text("changed")
+    (tmp_path / "content/sub/new.md").write_text("n")
+    (tmp_path / "public/x.html").write_text("not watched")
+    found, last = changes.poll(spark, folders, last, str(tmp_path / "public"))
+    assert sorted((r["path"].rpartition("/")[2], r["change"]) for r in found.collect()) == [("_index.md", "modified"), ("b.md", "removed"), ("new.md", "added")]
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    (tmp_path / "in/_x").mkdir(parents=True)
+    for name in ("a b+c.md", "_index.md", ".hidden.md", "_x/d.md", "no.txt"):
+        (tmp_path / "in" / name).write_text(f"# {name}")
+    (tmp_path / "in/empty.md").write_text("")
+    (tmp_path / "in/_empty.md").write_text("")
+    (tmp_path / "far.md").write_text("far")
+    (tmp_path / "in/link.md").symlink_to(tmp_path / "far.md")
+    (tmp_path / "in/links").symlink_to(tmp_path / "in/_x")
+    got = {r["rel_path"]: r["content"] for r in markdown.read_files(spark, str(tmp_path / "in")).collect()}
+    assert got == {n: f"# {n}" for n in ("a b+c.md", "_index.md", ".hidden.md", "_x/d.md")} | {"empty.md": "", "_empty.md": ""}
+    (tmp_path / "root").symlink_to(tmp_path / "in")
+    assert markdown.read_files(spark, str(tmp_path / "root"), "*", binary=True).count() == 7
+
+
+def test_corpus_load(spark, tmp_path):
+    files = [("content/a.md", "---\ntitle: A\n---\nintro\n## One\ntext"), ("content/raw.md", "---\nrender: off\n---\nx"), ("content/", "content/a.md (size: 1 bytes)")]
+    rag = tmp_path / "rag"
+    rag.mkdir()
+    with pytest.raises(retrieval.EmptyCorpus):
+        retrieval.load(spark, str(rag))
+    with pytest.raises(ValueError):
+        retrieval.load(spark, str(tmp_path / "none"))
+    sinks.write_text(bundles.bundle_text(spark.createDataFrame(files, "path string, content string")), str(rag / "rag-content.md"))
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out/meta.json").write_text('{"a": {"title": "Meta", "url": "/b/a/"}}')
+    (tmp_path / "out/search.json").write_text('[{"t": "S", "u": "/b/a/"}]')
+    corpus = retrieval.load(spark, str(rag), output_dir=str(tmp_path / "out"))
+    assert corpus.missing == ["rag-system.md", "rag-config.md"]
+    assert [(c["id"], c["title"], c["url"], c["source_kind"]) for c in corpus.chunks.collect()] == [("a#h0", "A", "/b/a/", "rag-content"), ("a#h2-one", "A", "/b/a/", "rag-content")]
+    assert corpus.report.first().asDict() == {"version": "v1", "documents": 2, "site_documents": 2, "chunks": 2, "ready": True}
+    (rag / "rag-system.md").write_text("<file path='x'>\n")
+    with pytest.raises(bundles.MalformedBundle):
+        retrieval.load(spark, str(rag))
+
+
+def test_bundles_of_a_project(spark):
+    files = spark.createDataFrame([("content/a.md", "x"), ("content/jules/b.md", "y"), ("cmd/m.go", "package m"), ("internal/config/c.go", "package c"), ("README.md", "r")], "path string, content string")
+    text_of = lambda df: "\n".join(r["value"] for r in df.collect()) + "\n"
+    paths_of = lambda df: [p for p, _ in bundles.parse_bundle("b", text_of(df))]
+    assert paths_of(bundles.content_bundle(files)) == ["content/a.md"] and paths_of(bundles.system_bundle(files)) == ["README.md", "cmd/m.go"]
+    listing = spark.createDataFrame([("assets/x.png (size: 3 bytes)",), ("assets/",)], "value string")
+    both = bundles.config_bundle(files, {"assets": listing})
+    assert list(bundles.parse_bundle("b", text_of(both))) == [("internal/config/c.go", "package c"), ("assets/", "assets/\nassets/x.png (size: 3 bytes)")]
+    assert [bundles.bundle_folder(f, "content", "/p") for f in ("docs", "/p/docs", "../x", "")] == ["docs", "docs", "content", "content"]

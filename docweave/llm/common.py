@@ -1,41 +1,20 @@
-"""Shared helpers: tables, scratch storage, size-checked broadcasts, Arrow maps."""
+"""Shared helpers: tables, Arrow maps, objects that workers keep; scratch storage is the library's."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Largest side, in rows, that may be broadcast after it has been counted.
-BROADCAST_ROWS = 400_000
 
+from docweave.storage import BROADCAST_ROWS, scratch_path, scratch_root, small, stored  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); one of our own only where it is unset and all
-    executors are on this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="docweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/docweave/{label}-{uuid.uuid4().hex}"
-
-
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete folders that were made by scratch_path()."""
     for p in paths:
@@ -43,19 +22,6 @@ def remove(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = path or scratch_path(spark, label)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows, else df as it is (shuffled join). df should be stored()."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 _held: dict = {}
 _wanted: set = set()
 

@@ -150,12 +150,21 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row. sample_rows bounds the labelled rows for the fit."""
+def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000) -> Machine:
+    """The machine of at most sample_rows labelled rows that are not held out, with the precision it is sent in."""
     sample = labelled_sample(labels, "quality", ~held_out(), sample_rows, by_class=False)
     rows, marks = training_rows(texts_of(docs, sample))
     model = fit(rows, np.minimum(marks, 1))
-    sent = docs.sparkSession.sparkContext.broadcast((model.w0, model.w.astype(np.float32), model.v.astype(np.float32)))
+    return Machine(model.w0, model.w.astype(np.float32), model.v.astype(np.float32))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row. sample_rows bounds the labelled rows for the fit."""
+    return scored_texts(docs, fitted(docs, labels, sample_rows), threshold)
+
+
+def scored_texts(docs: DataFrame, model: Machine, threshold: float = 0.3) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast((model.w0, model.w, model.v))
 
     def make():
         machine = Machine(*sent.value)

@@ -239,11 +239,12 @@ class PrefixCounter:
         counts, base, at = [], 0, 0
         for m in [*self.special.finditer(text), None]:
             end = m.start() if m else len(text)
+            before = base  # tokens up to the end of the special string before; what follows it is cut on its own
             if end > at:
                 counts.append(np.cumsum(np.frombuffer(self._plain(text[at:end]), np.int8), dtype=np.int64) + base)
                 base = int(counts[-1][-1])
             if m:  # a prefix that ends inside the special string has its letters as ordinary text
-                inside = [len(self.full.encode(text[:p], add_special_tokens=False).ids) for p in range(m.start() + 1, m.end())]
+                inside = [before + len(self.full.encode(text[at:p], add_special_tokens=False).ids) for p in range(m.start() + 1, m.end())]
                 base += 1
                 counts.append(np.array([*inside, base]))
                 at = m.end()

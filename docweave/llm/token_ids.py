@@ -4,8 +4,9 @@ A corpus is a folder with two tables, written by Spark's committed writers into
 
   code/    id, bits: the code length of every id that occurs (a canonical code is fixed by its lengths)
   blocks/  one row for each independent block, in the order of (part, block): how many documents begin
-           before it in its part, its documents' ids and lengths, its number of ids, the bit offset of
-           every STEP-th id (checkpoints), and the bit stream
+           and how many ids stand before it in its part, how many of its first ids belong to documents
+           that began earlier, its documents' ids and lengths, its number of ids, the bit offset of every
+           STEP-th id (checkpoints), and the bit stream
 
 Documents are in ascending doc_id order over parts, and a long document may run over several blocks.
 Decoding peeks at `limit` bits and looks symbol and length up in one table; all checkpoints of a block
@@ -246,7 +247,7 @@ def id_counts(blocks: DataFrame) -> DataFrame:
     return blocks.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-PLACE = "part int, block int, first_doc long, doc_ids array<long>, doc_sizes array<long>, n_ids long, "
+PLACE = "part int, block int, first_doc long, first_id long, carried long, doc_ids array<long>, doc_sizes array<long>, n_ids long, "
 BLOCKS = PLACE + "checkpoints binary, stream binary"
 
 
@@ -257,18 +258,18 @@ def _cut(tokenizer: str, end_id: int):
         from pyspark import TaskContext
 
         words, task = word_ids(tokenizer), TaskContext.get().partitionId()
-        held, lead, docs, sizes, first, block = np.zeros(0, np.uint32), 0, [], [], 0, 0
+        held, lead, docs, sizes, first, block, written = np.zeros(0, np.uint32), 0, [], [], 0, 0, 0
 
         def row(n):
             """The first n ids of held, with the documents that begin among them."""
-            nonlocal held, lead, docs, sizes, first, block
+            nonlocal held, lead, docs, sizes, first, block, written
             ids, held = held[:n], held[n:]
             ends = lead + np.cumsum(sizes, dtype=np.int64) if sizes else np.zeros(0, np.int64)
             k = int(np.searchsorted(ends - sizes, n)) if sizes else 0
-            values = [task, block, first, docs[:k], sizes[:k], n, ids.astype("<u4").tobytes()]
+            values = [task, block, first, written, min(lead, n), docs[:k], sizes[:k], n, ids.astype("<u4").tobytes()]
             lead = max(0, int(ends[k - 1]) - n) if k else lead - n
-            first, block, docs, sizes = first + k, block + 1, docs[k:], sizes[k:]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()])], ["part", "block", "first_doc", "doc_ids", "doc_sizes", "n_ids", "ids"])
+            first, block, written, docs, sizes = first + k, block + 1, written + n, docs[k:], sizes[k:]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()])], ["part", "block", "first_doc", "first_id", "carried", "doc_ids", "doc_sizes", "n_ids", "ids"])
 
         for batch in batches:
             for part in slices(batch):
@@ -320,22 +321,18 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(f"{path}/code").orderBy("id").toPandas()
     code = Code(rows["id"].to_numpy(np.int64), rows["bits"].to_numpy(np.int64))
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    # one short row for each block: where its ids stand in the corpus and how many of them belong to
-    # documents that began earlier
-    ends = blocks.select("part", F.aggregate("doc_sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("begun"), "block", "n_ids")
-    inner = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    parts = ends.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
+    # blocks know their place in their part; where parts begin is one short row for each
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("part_ids").over(before), F.lit(0)).alias("part_start"))
-    places = ends.join(parts, "part").select("part", "block", (F.col("part_start") + F.coalesce(F.sum("n_ids").over(inner), F.lit(0))).alias("block_start"), (F.coalesce(F.sum("begun").over(inner), F.lit(0)) - F.coalesce(F.sum("n_ids").over(inner), F.lit(0))).alias("carried"))
-    joined = blocks.select("part", "block", "first_doc", "doc_ids", "doc_sizes", "n_ids", "checkpoints", "stream").join(small(stored(places, "block-places")), ["part", "block"])
+    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
+    parts = stored(parts.select("part", F.coalesce(F.sum("part_ids").over(before), F.lit(0)).alias("part_start")), "part-places")
+    joined = blocks.join(small(parts), "part").withColumn("block_start", F.col("part_start") + F.col("first_id")).drop("part_start", "first_id")
 
     def make():
         def f(batch):
             for k in range(batch.num_rows):
                 b = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
                 ids = code.decode(b["stream"], np.frombuffer(b["checkpoints"], np.uint32), b["n_ids"]).astype("<u4")
-                out, at = [], min(b["carried"], len(ids))
+                out, at = [], b["carried"]
                 if at:  # the rest, or a middle part, of a document that began in an earlier block
                     out.append((b["part"], b["first_doc"] - 1, None, b["block"], None, None, ids[:at].tobytes(), None))
                 for j, (doc, n) in enumerate(zip(b["doc_ids"], b["doc_sizes"])):

@@ -1,6 +1,6 @@
 """WARC archives: a writer, a normaliser of monolithic gzip files, an offset index, and a reader.
 
-Writing gives one archive file for each task, the whole file in a single gzip stream. The normaliser
+Writing gives archive files of about ARCHIVE_BYTES of payload, each whole file a single gzip stream. The normaliser
 inflates each such file once, in order, rewrites every record as a gzip member of its own and notes where
 each member stands (the sidecar index), so that records can be read without what comes before them.
 
@@ -132,10 +132,10 @@ def page_of(urn: str):
 
 
 def write_files(rows: DataFrame, path: str, by: list[str]) -> None:
-    """rows: a binary column `data`, each row a file's bytes ending in a zero byte (rows that go to one
-    file are one after the other in it), and the columns that name folders."""
+    """rows: a binary column `data`, each row the bytes of a file of its own, ending in a zero byte, and the columns
+    that name folders."""
     cut = F.substring("data", F.lit(1), F.length("data") - 1)
-    rows.select(*by, cut.cast("string").alias("value")).write.partitionBy(*by).option("lineSep", "\0").option("compression", "none").text(path)
+    rows.select(*by, cut.cast("string").alias("value")).write.partitionBy(*by).option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -74,6 +74,22 @@ def test_token_counts(odd):
     assert got[None]["n_tokens"] == 3
 
 
+def test_token_counts_and_ids_of_the_whole_table(spark, sf, documents):
+    from tokenizers import Tokenizer
+
+    byte, word = (Tokenizer.from_file(public_tokenizers.path(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    counts = queries.op1_token_counts(spark, sf).collect()
+    want = {(i, len(t.encode()), n := len(e.ids), n > 1024) for i, t, e in zip(documents.doc_id, documents.text, byte.encode_batch(documents.text.tolist(), add_special_tokens=False))}
+    assert {(r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in counts} == want and len(counts) == len(documents)
+    at, want = 0, []
+    for i, t in sorted(zip(documents.doc_id, documents.text)):
+        ids = [*word.encode(t, add_special_tokens=False).ids, 2]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    got = queries.op3_token_ids(spark, sf).collect()
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+
+
 def test_token_ids(odd, spark):
     from tokenizers import Tokenizer
 
@@ -207,6 +223,14 @@ def test_warc_rows(spark):
     assert all(r["payload_digest"] == hashlib.sha256(big.encode()).hexdigest() for r in got if r["payload_bytes"] == 200)
 
 
+def test_warc_long_payloads_and_clashing_columns(spark):
+    rows = [(k, "u", "<p>" + f"{k % 2}é" * 400_000, "?", k, "?", "?", "?") for k in range(4)] + [(9, "\r\nWARC/1.1", "\r\n\r\nWARC/1.1\r\n" * 20, "?", 1, "?", "?", "?")]
+    got = by_id(warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string, refers_to string, payload_bytes long, text string, data string, record_type string")).withColumnRenamed("page_id", "doc_id"))
+    for k, _, html, *_ in rows:
+        assert (got[k]["payload_bytes"], got[k]["payload_digest"]) == (len(html.encode()), hashlib.sha256(html.encode()).hexdigest())
+    assert [(got[k]["record_type"], got[k]["refers_to"]) for k in (0, 1, 2, 3, 9)] == [("response", None), ("response", None), ("revisit", 0), ("revisit", 1), ("response", None)]
+
+
 def test_exact_duplicates(odd):
     rows = cuckoo.exact_duplicates(odd, shards=2).collect()
     got = defaultdict(list)
@@ -345,6 +369,12 @@ def test_classifiers_take_odd_rows(odd, spark):
     labels = spark.createDataFrame([(1, 1, 0), (6, 0, 1), (None, 0, 1), (7, None, None), (1, 0, 0)], "doc_id long, quality int, toxic int")
     q, t = quality_fm.quality_scores(odd, labels).collect(), toxicity.toxicity(odd, labels).collect()
     assert len(q) == len(t) == len(ROWS) and all(0 <= r["score"] <= 1 for r in q) and all(r["severity"] >= 0 for r in t)
+    # null and empty texts have one score; repeated rows too; without labelled rows all scores are 0.5 and nothing is toxic
+    of = lambda rows, c: [{r[c] for r in rows if r["doc_id"] in ids} for ids in ((3, 4), (1, 2))]
+    assert all(len(x) == 1 for x in of(q, "score") + of(t, "severity") + of(t, "toxic"))
+    bare = labels.filter("doc_id > 100")
+    assert {round(r["score"], 1) for r in quality_fm.quality_scores(odd, bare).collect()} == {0.5}
+    assert {r["toxic"] for r in toxicity.toxicity(odd, bare).collect()} == {False}
 
 
 def test_scores_equal_a_plain_sum(spark, sf, documents, odd):

@@ -3,6 +3,7 @@
 import gzip
 import os
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ import pytest
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from docweave.llm import cuckoo, set_sketch, token_counts, token_ids, toxicity, warc, wu_manber  # noqa: E402
+from docweave.llm import cuckoo, quality_fm, set_sketch, token_counts, token_ids, toxicity, warc, wu_manber  # noqa: E402
 
 BITS = ["a", "the", " ", "  ", "\n", "\n\n", "'re", "'s", "'", "!", "23", "é", " ", " ", "日本", "<|endoftext|>", "<|endo", "\x1d", "😀", "don't", " '", "\t", "...", "word "]
 
@@ -37,6 +38,16 @@ def test_every_prefix_count_is_exact(counter):
             assert token_counts.count_at(d, p) == len(lib.encode(t[:p], add_special_tokens=False).ids), (t[:p],)
 
 
+def test_repeated_special_strings(counter):
+    lib = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for t in ("<|endoftext|>" * 40, "a b<|endoftext|>c  d\n\n<|endoftext|><|endo <|endoftext|>\n" * 6):
+        d = counter.deltas(t)
+        assert [token_counts.count_at(d, p) for p in range(len(t) + 1)] == [len(lib.encode(t[:p], add_special_tokens=False).ids) for p in range(len(t) + 1)]
+    began = time.time()
+    assert token_counts.count_at(counter.deltas("x<|endoftext|>" * 20_000), 10**9) == 40_000
+    assert time.time() - began < 30
+
+
 def test_cuts_are_the_longest_prefixes(counter):
     all_texts = texts(200, 60, 3)
     for limit in (1, 4, 11):
@@ -236,3 +247,14 @@ def test_grades_of_labels_by_telling_words():
     rows = [slots(t) for t in ["bad"] * 4 + ["bad vile awful"] * 4 + ["bad vile awful nasty gross rotten"] * 4 + ["fine words here"] * 12 + [""]]
     toxic = np.array([True] * 12 + [False] * 13)
     assert toxicity.graded(rows, toxic).tolist() == [1] * 4 + [2] * 4 + [3] * 4 + [0] * 13
+
+
+def test_sum_of_squares_equals_all_pairs():
+    rng = np.random.default_rng(4)
+    machine = quality_fm.Machine(0.3, rng.normal(0, 1, quality_fm.SIZE), rng.normal(0, 0.3, (quality_fm.SIZE, quality_fm.RANK)))
+    all_texts = pa.array(["", "one", "One one two, three\nfour. one", "a b c " * 30, *texts(20, 40)], pa.large_string())
+    got = machine.scores(all_texts)
+    for z, (slots, x) in zip(got, quality_fm.sparse_rows(all_texts)):
+        want = machine.w0 + sum(machine.w[s] * v for s, v in zip(slots, x))
+        want += sum(machine.v[slots[i]] @ machine.v[slots[j]] * x[i] * x[j] for i in range(len(slots)) for j in range(i))
+        assert abs(z - want) < 1e-6 * max(1, abs(want))

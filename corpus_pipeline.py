@@ -11,7 +11,8 @@ the next stage's docs. All but the last return the columns of documents and act
   mix            documents are repeated or left out as the mix to target weights has them
   tokens         token ids are written in ascending doc_id order and read back
 
-Decisions are joined by id and text, so rows that repeat an id are told apart; null ids are matched too.
+Toxicity and decontamination are decided text by text in the pass that filters. Other decisions are joined by id
+and text, so rows that repeat an id are told apart; null ids are matched too.
 Extra columns of documents are kept by the filters as they are.
 """
 
@@ -27,8 +28,8 @@ from docweave.llm.mixing import mixed
 from docweave.llm.queries import tokenizer_path
 from docweave.llm.set_sketch import near_duplicates
 from docweave.llm.token_ids import token_ids
-from docweave.llm.toxicity import toxicity as toxic_grades
-from docweave.llm.wu_manber import contamination
+from docweave.llm.toxicity import fitted, kept_texts
+from docweave.llm.wu_manber import contamination, uncontaminated
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, toxic_grades(docs, table(spark, sf_dir, "labels")).filter("toxic"))
+    return kept_texts(docs, fitted(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +64,9 @@ def _once(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+    benchmark = table(spark, sf_dir, "benchmark")
+    left = uncontaminated(docs, benchmark)
+    return _without(docs, contamination(docs, benchmark).filter("contaminated")) if left is None else left
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

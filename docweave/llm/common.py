@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from docweave.storage import BROADCAST_ROWS, scratch_path, scratch_root, small, stored  # noqa: F401
 
@@ -49,7 +50,7 @@ def _tidy() -> None:
         pass
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str | StructType) -> DataFrame:
     """mapInArrow with one set-up call in each task, which takes what it uses of held()."""
 
     def run(batches):

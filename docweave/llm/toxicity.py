@@ -178,15 +178,25 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 4_000, rejec
     return graded_texts(docs, fitted(docs, labels, sample_rows), reject_at)
 
 
-def graded_texts(docs: DataFrame, model: Ordinal, reject_at: float = 0.5) -> DataFrame:
+def _sent(docs: DataFrame, model: Ordinal):
+    """The model as executors take it up: only weights that are not zero travel."""
     used = np.flatnonzero(model.weights)
     sent = docs.sparkSession.sparkContext.broadcast((used, model.weights[used], model.thresholds))
 
-    def make():
+    def take() -> Ordinal:
         at, values, thresholds = sent.value
         w = np.zeros(1 << BITS)
         w[at] = values
-        model = Ordinal(w, thresholds)
+        return Ordinal(w, thresholds)
+
+    return take
+
+
+def graded_texts(docs: DataFrame, model: Ordinal, reject_at: float = 0.5) -> DataFrame:
+    take = _sent(docs, model)
+
+    def make():
+        model = take()
 
         def f(batch):
             for part in slices(batch, 4 << 20):
@@ -197,3 +207,19 @@ def graded_texts(docs: DataFrame, model: Ordinal, reject_at: float = 0.5) -> Dat
         return f
 
     return arrow_map(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), make, "doc_id long, text_key long, severity double, grade int, toxic boolean")
+
+
+def kept_texts(docs: DataFrame, model: Ordinal, reject_at: float = 0.5) -> DataFrame:
+    """docs, with all their columns, without the rows that graded_texts() calls toxic; one pass, no join."""
+    take = _sent(docs, model)
+
+    def make():
+        model = take()
+
+        def f(batch):
+            for part in slices(batch, 4 << 20):
+                yield part.filter(pa.array(model.chances(model.scores(filled_text(part)))[:, 0] < reject_at))
+
+        return f
+
+    return arrow_map(docs, make, docs.schema)

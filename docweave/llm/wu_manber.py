@@ -138,6 +138,31 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
         yield held
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame | None:
+    """docs, with all their columns, without the rows that contamination() calls contaminated; one pass, no join.
+    None for a benchmark of several blocks, whose hits have to be merged first."""
+    blocks = item_blocks(benchmark, block_bytes)
+    items, second = next(blocks, []), next(blocks, None)
+    if second is not None:
+        return None
+
+    def make():
+        windows = Windows(items, width)
+
+        def clean(text: str) -> bool:
+            n, spans, _ = windows.hits(text)
+            hit = sum(b - a for a, b in union_spans(spans))
+            return not hit or share * hit < n
+
+        def f(batch):
+            for part in slices(batch):
+                yield part.filter(pa.array([clean(t) for t in filled_text(part).to_pylist()], pa.bool_()))
+
+        return f
+
+    return arrow_map(docs, make, docs.schema)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated (share * n_hit >= n_words) for every
     row; text_key tells rows with one id apart."""

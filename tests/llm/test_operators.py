@@ -414,6 +414,9 @@ def test_stages_tell_rows_of_one_id_apart(spark, sf, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = [tuple(r) for r in pipeline.decontaminate(spark, docs, str(tmp_path)).collect()]
     assert sorted(left, key=str) == sorted([r for r in rows if r[1] != bad], key=str)
+    assert wu_manber.uncontaminated(docs, items.union(items), block_bytes=10) is None  # several blocks
+    joined = pipeline._without(docs, wu_manber.contamination(docs, items.union(items), block_bytes=10).filter("contaminated"))
+    assert sorted(map(tuple, joined.collect()), key=str) == sorted(left, key=str)
     # documents without labels but for two
     words = [(k, f"vile zzbad filth {k}") for k in range(20, 60)] + [(k, f"kind zzgood words {k}") for k in range(60, 100)]
     spark.createDataFrame([(k, int(k < 60), int(k < 60)) for k, _ in words], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

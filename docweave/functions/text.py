@@ -122,15 +122,16 @@ def slugify(text: Column) -> Column:
 
 
 def taxonomy_value(text: Column) -> Column:
-    """A tag or category in its normal form; null if nothing or more than 255 characters are left."""
-    t = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
-    t = F.when(t.rlike("^[a-z0-9-]+$"), t).otherwise(F.regexp_replace(F.lower(t), "[^a-z0-9-]", ""))
+    """A tag or category in its normal form, small letters, digits and dashes; null if nothing or more than 255
+    characters are left (F12). A value that has the form already is its own."""
+    t = F.regexp_replace(F.lower(text), "[^a-z0-9-]", "")
     return F.when((t != "") & (F.length(t) <= 255), t)
 
 
 def taxonomy_list(values: Column) -> Column:
-    """Normal forms in first-seen order."""
-    return F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), taxonomy_value), lambda t: t.isNotNull()))
+    """Normal forms in first-seen order. The form is made in one step and judged in the next, so it is made once."""
+    forms = F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.regexp_replace(F.lower(v), "[^a-z0-9-]", ""))
+    return F.array_distinct(F.filter(forms, lambda t: (t != "") & (F.length(t) <= 255)))
 
 
 def title_from_name(name: Column) -> Column:

@@ -28,11 +28,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/docweave/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, label: str, path: str | None = None, rows_per_file: int = 0) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors. Parquet
+    readers hold up to 4096 rows of a file at once, so tables of large values need few rows in a file."""
     spark = df.sparkSession
     path = path or scratch_path(spark, label)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

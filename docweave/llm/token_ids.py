@@ -31,6 +31,8 @@ from docweave.llm.common import arrow_map, filled_text, held, remove, scratch_pa
 
 #: Ids in a block, ids between two checkpoints, most bits of a code.
 BLOCK, STEP, LIMIT = 1 << 18, 512, 20
+#: Blocks in a file; a reader holds all blocks of a file at once.
+FILE_BLOCKS = 16
 
 
 # --- tokenising -----------------------------------------------------------------------------------
@@ -272,7 +274,7 @@ def _cut(tokenizer: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()])], ["part", "block", "first_doc", "first_id", "carried", "doc_ids", "doc_sizes", "n_ids", "ids"])
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 3 << 20):
                 ids, counts = with_end(*words.ids(filled_text(part)), end_id)
                 held = np.concatenate([held, ids])
                 docs, sizes = docs + part.column("doc_id").to_pylist(), sizes + counts.tolist()
@@ -292,7 +294,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, path: str, limit: in
     order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
     ordered = docs.select("doc_id", "text").repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     raw_path = scratch_path(spark, "raw-ids")
-    raw = stored(ordered.mapInArrow(_cut(tokenizer, end_id), PLACE + "ids binary"), "raw-ids", raw_path)
+    raw = stored(ordered.mapInArrow(_cut(tokenizer, end_id), PLACE + "ids binary"), "raw-ids", raw_path, FILE_BLOCKS)
     counted = id_counts(raw).toPandas()
     ids, n = counted["id"].to_numpy(np.int64), counted["n"].to_numpy(np.int64)
     by_id = np.argsort(ids)
@@ -311,7 +313,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, path: str, limit: in
 
         return f
 
-    arrow_map(raw, make, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    arrow_map(raw, make, BLOCKS).write.option("compression", "none").option("maxRecordsPerFile", FILE_BLOCKS).parquet(f"{path}/blocks")
     remove(spark, raw_path)
 
 

@@ -36,13 +36,8 @@ def held(key: tuple, make: Callable):
     return _held[key]
 
 
-def _tidy() -> None:
-    """Give back memory that earlier tasks of this worker have left."""
-    dropped = [k for k in _held if k not in _wanted]
-    for k in dropped:
-        del _held[k]
-    if dropped:
-        gc.collect()
+def trim() -> None:
+    """Give memory that is free but held by the allocators back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -50,16 +45,33 @@ def _tidy() -> None:
         pass
 
 
+def tidy() -> None:
+    """Let go what earlier tasks of this worker have left."""
+    dropped = [k for k in _held if k not in _wanted]
+    for k in dropped:
+        del _held[k]
+    if dropped:
+        gc.collect()
+    trim()
+
+
+def begin() -> None:
+    """The beginning of a task that asks for nothing yet."""
+    _wanted.clear()
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str | StructType) -> DataFrame:
-    """mapInArrow with one set-up call in each task, which takes what it uses of held()."""
+    """mapInArrow with one set-up call in each task, which takes what it uses of held(). Free memory goes back
+    after each batch, so that a worker that waits for its next task holds little."""
 
     def run(batches):
-        _wanted.clear()
+        begin()
         f = make()
-        _tidy()
+        tidy()
         for b in batches:
             if b.num_rows:
                 yield from f(b)
+                trim()
 
     return df.mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import arrow_map, filled_text, held, remove, scratch_path, slices, small, stored
+from docweave.llm.common import arrow_map, begin, filled_text, held, remove, scratch_path, slices, small, stored, tidy, trim
 
 #: Ids in a block, ids between two checkpoints, most bits of a code.
 BLOCK, STEP, LIMIT = 1 << 18, 512, 20
@@ -236,6 +236,8 @@ def id_counts(blocks: DataFrame) -> DataFrame:
     """id, n over blocks of raw ids: one dense count in each task, then summed."""
 
     def run(batches):
+        begin()
+        tidy()
         total = np.zeros(0, np.int64)
         for batch in batches:
             for raw in batch.column("ids"):
@@ -259,7 +261,9 @@ def _cut(tokenizer: str, end_id: int):
     def run(batches):
         from pyspark import TaskContext
 
+        begin()
         words, task = word_ids(tokenizer), TaskContext.get().partitionId()
+        tidy()
         held, lead, docs, sizes, first, block, written = np.zeros(0, np.uint32), 0, [], [], 0, 0, 0
 
         def row(n):
@@ -280,6 +284,7 @@ def _cut(tokenizer: str, end_id: int):
                 docs, sizes = docs + part.column("doc_id").to_pylist(), sizes + counts.tolist()
                 while len(held) >= BLOCK:
                     yield row(BLOCK)
+                trim()
         if len(held):
             yield row(len(held))
 

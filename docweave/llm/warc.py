@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import BROADCAST_ROWS, arrow_map, filled_text, remove, scratch_path, slices, small, stored
+from docweave.llm.common import BROADCAST_ROWS, arrow_map, begin, filled_text, remove, scratch_path, slices, small, stored, tidy
 
 MIN_REVISIT = 100
 #: Bytes of payload in one archive, at most about; gzip level.
@@ -163,6 +163,8 @@ def write_monolithic(pages: DataFrame, path: str) -> None:
     rows = rows.join(marks, F.col("page_id").eqNullSafe(F.col("same_page")) & (F.col("digest") == F.col("same_digest")), "left").select("page_id", "url", F.col("html").alias("text"), "digest", "refers_to")
 
     def run(batches):
+        begin()
+        tidy()
         out, size, gz = [], 0, None
         for batch in batches:
             for part in slices(batch, 4 << 20):

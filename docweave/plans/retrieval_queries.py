@@ -178,6 +178,14 @@ def coalesced_builds(spark, d):
     return changes.coalesced_builds(table(spark, d, "events"), "event_type", 3600).select("event_type", F.unix_micros("start").alias("start_us"), "triggers")
 
 
+@query("""WITH RECURSIVE e AS (SELECT event_type AS k, epoch_us(ts) AS t FROM events),
+b(k, s, before) AS (SELECT k, min(t), -1::BIGINT FROM e GROUP BY k
+ UNION ALL SELECT k, greatest(t, s + 86400000000), s FROM (SELECT b.k, b.s, min(e.t) AS t FROM b JOIN e ON e.k = b.k AND e.t > b.s GROUP BY b.k, b.s))
+SELECT k AS event_type, s AS start_us, count(*) AS triggers FROM b JOIN e USING (k) WHERE t > before AND t <= s GROUP BY k, s""")
+def single_slot_builds(spark, d):
+    return changes.single_slot_builds(table(spark, d, "events"), "event_type", 86400).select("event_type", F.unix_micros("start").alias("start_us"), "triggers")
+
+
 # --- policy ---------------------------------------------------------------------------------------
 
 POLICY = policy.Policy(authors=["Bot-1", "bot-2", "bot-3"], base="main", label="AutoMerge", prefixes=["bot/", "deps/"], close_conflicts=True)

@@ -65,82 +65,91 @@ class Cache:
 
 class WordIds:
     """Ids of white-space separated words, for vocabularies that drop white space and mark word ends. The
-    library encodes each distinct word once (while the caches last); a word of letters and closing signs
-    is put together from the two, as the vocabulary's pattern never joins them."""
+    library encodes each distinct letter run once (while the cache lasts); a word of letters and closing signs
+    is put together from the two, as the vocabulary's pattern never joins them. Other words go to the library
+    whole. Words are taken apart and put together by column, not one by one."""
 
-    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%*$#&|]*)").fullmatch
+    PLAIN = r"^(?P<run>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[.,;:!?%*$#&|]*)\z"
 
     def __init__(self, path: str, keep: int = 200_000):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        self.encode, self.encode_batch = t.encode, t.encode_batch_fast
-        self.words, self.runs = Cache(keep), Cache(keep)
+        self.encode_batch = t.encode_batch_fast
+        self.words, self.runs = Cache(keep // 4), Cache(keep)
         self.kind = np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
         self.ends = np.zeros(max(t.get_vocab().values()) + 1, bool)
         self.ends[[i for w, i in t.get_vocab().items() if w.endswith("</w>")]] = True
 
     def _letters(self, runs: list[str]) -> list[bytes]:
-        """Ids of lower-case letter runs, encoded together and cut at word ends."""
+        """Ids of distinct lower-case letter runs, encoded together and cut at word ends."""
         out, missing = self.runs.find(runs)
-        new = list(dict.fromkeys(runs[k] for k in missing))
-        found = {}
-        for a in range(0, len(new), 500):
-            part = new[a : a + 500]
-            ids = np.array(self.encode(" ".join(part), add_special_tokens=False).ids, self.kind)
+        young = self.runs.young
+        for a in range(0, len(missing), 500):
+            part = [runs[k] for k in missing[a : a + 500]]
+            ids = np.array(self.encode_batch([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(part):
                 raise ValueError("the vocabulary does not mark word ends")
             raw, at = ids.tobytes(), 0
-            for w, end in zip(part, (ends * self.kind.itemsize).tolist()):
-                found[w] = raw[at:end]
+            for k, w, end in zip(missing[a : a + 500], part, (ends * self.kind.itemsize).tolist()):
+                out[k] = young[w] = raw[at:end]
                 at = end
-        for k in missing:
-            out[k] = found[runs[k]]
-        self.runs.young.update(found)
         self.runs.turn()
         return out
 
     def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.encode_batch(words, add_special_tokens=False)]
 
-    def _new(self, words: list[str]) -> list[bytes]:
-        out, plain = [b""] * len(words), []
-        matches = list(map(self.PLAIN, words))
-        plain = [k for k, m in enumerate(matches) if m]
-        other = [k for k, m in enumerate(matches) if not m]
-        heads = self._letters([matches[k][1].lower() for k in plain])
-        signs = {s: b for s in {matches[k][2] for k in plain} for b in self._whole([s])}
-        for k, head in zip(plain, heads):
-            out[k] = head + signs[matches[k][2]]
-        for a in range(0, len(other), 20_000):
-            part = other[a : a + 20_000]
+    def _others(self, words: list[str]) -> list[bytes]:
+        out, missing = self.words.find(words)
+        for a in range(0, len(missing), 20_000):
+            part = missing[a : a + 20_000]
             for k, ids in zip(part, self._whole([words[k] for k in part])):
-                out[k] = ids
+                out[k] = self.words.young[words[k]] = ids
+        self.words.turn()
         return out
 
+    def _gather(self, pieces: list[bytes], first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pairs of pieces, one pair after the other, and how many each pair has."""
+        ids = np.frombuffer(b"".join(pieces), self.kind)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.kind.itemsize
+        which = np.stack([first, second], 1).reshape(-1)
+        flat, n = _spread(ids, sizes, which)
+        return flat, n.reshape(-1, 2).sum(1)
+
     def ids(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each text has."""
         words = pc.ascii_split_whitespace(text)
         per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         coded = words.flatten().dictionary_encode()
-        distinct, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
-        pieces, missing = self.words.find(distinct)
-        if missing:
-            for k, ids in zip(missing, self._new([distinct[k] for k in missing])):
-                pieces[k] = self.words.young[distinct[k]] = ids
-            self.words.turn()
-        flat = b"".join(pieces)
-        sizes = np.array([len(p) for p in pieces], np.int64) // self.kind.itemsize
-        ids = np.frombuffer(flat, self.kind)
-        starts = np.cumsum(sizes) - sizes
-        n = sizes[which] if len(which) else np.zeros(0, np.int64)
-        ends = np.cumsum(n)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[which] - (ends - n), n) if len(which) else np.zeros(0, np.int64)
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        taken = pc.extract_regex(coded.dictionary, self.PLAIN)
+        plain = taken.is_valid().to_numpy(zero_copy_only=False)
+        taken = taken.filter(taken.is_valid())
+        runs = pc.utf8_lower(pc.struct_field(taken, "run")).dictionary_encode()
+        signs = pc.struct_field(taken, "signs").dictionary_encode()
+        heads = self._letters(runs.dictionary.to_numpy(zero_copy_only=False).tolist())
+        tails = [self._whole([s])[0] if s else b"" for s in signs.dictionary.to_pylist()]
+        rest = self._others(coded.dictionary.filter(pa.array(~plain)).to_numpy(zero_copy_only=False).tolist())
+        first, second = np.empty(len(plain), np.int64), np.full(len(plain), len(heads) + len(tails) + len(rest))
+        first[plain], second[plain] = runs.indices.to_numpy(zero_copy_only=False), len(heads) + signs.indices.to_numpy(zero_copy_only=False)
+        first[~plain] = len(heads) + len(tails) + np.arange(len(rest))
+        flat, sizes = self._gather([*heads, *tails, *rest, b""], first, second)
+        ids, n = _spread(flat, sizes, which)
         word_ends = np.cumsum(per_text)
-        total = np.concatenate([[0], ends])
-        counts = total[word_ends] - total[word_ends - per_text]
-        return ids[at], counts
+        total = np.concatenate([[0], np.cumsum(n)])
+        return ids, total[word_ends] - total[word_ends - per_text]
+
+
+def _spread(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat holds runs of the given sizes; those numbered `which`, one after the other, and their sizes."""
+    if not len(which):
+        return flat[:0], np.zeros(0, np.int64)
+    n = sizes[which]
+    ends = np.cumsum(n)
+    shift = (np.cumsum(sizes) - sizes)[which] - (ends - n)
+    return flat[np.arange(int(ends[-1])) + np.repeat(shift, n)], n
 
 
 def word_ids(path: str) -> WordIds:
@@ -232,6 +241,13 @@ class Code:
 # --- writing and reading --------------------------------------------------------------------------
 
 
+def raw_ids(batch: pa.RecordBatch):
+    """The ids of raw blocks, which have two bytes each where the vocabulary allows it."""
+    for raw, n in zip(batch.column("ids"), batch.column("n_ids").to_pylist()):
+        data = raw.as_buffer()
+        yield np.frombuffer(data, "<u4" if data.size == 4 * n else "<u2")
+
+
 def id_counts(blocks: DataFrame) -> DataFrame:
     """id, n over blocks of raw ids: one dense count in each task, then summed."""
 
@@ -240,15 +256,15 @@ def id_counts(blocks: DataFrame) -> DataFrame:
         tidy()
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw in batch.column("ids"):
-                here = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"), minlength=len(total))
+            for ids in raw_ids(batch):
+                here = np.bincount(ids, minlength=len(total))
                 here[: len(total)] += total
                 total = here
         seen = np.flatnonzero(total)
         if len(seen):
             yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    return blocks.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return blocks.select("ids", "n_ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 PLACE = "part int, block int, first_doc long, first_id long, carried long, doc_ids array<long>, doc_sizes array<long>, n_ids long, "
@@ -272,7 +288,7 @@ def _cut(tokenizer: str, end_id: int):
             ids, held = held[:n], held[n:]
             ends = lead + np.cumsum(sizes, dtype=np.int64) if sizes else np.zeros(0, np.int64)
             k = int(np.searchsorted(ends - sizes, n)) if sizes else 0
-            values = [task, block, first, written, min(lead, n), docs[:k], sizes[:k], n, ids.astype("<u4").tobytes()]
+            values = [task, block, first, written, min(lead, n), docs[:k], sizes[:k], n, ids.astype(words.kind).tobytes()]
             lead = max(0, int(ends[k - 1]) - n) if k else lead - n
             first, block, written, docs, sizes = first + k, block + 1, written + n, docs[k:], sizes[k:]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()])], ["part", "block", "first_doc", "first_id", "carried", "doc_ids", "doc_sizes", "n_ids", "ids"])
@@ -311,7 +327,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, path: str, limit: in
 
     def make():
         def f(batch):
-            coded = [code.encode(np.frombuffer(x.as_buffer(), "<u4")) for x in batch.column("ids")]
+            coded = [code.encode(ids) for ids in raw_ids(batch)]
             cols = [batch.column(c) for c in batch.schema.names if c != "ids"]
             names = [c for c in batch.schema.names if c != "ids"]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([c.tobytes() for _, c in coded], pa.binary()), pa.array([s for s, _ in coded], pa.binary())], [*names, "checkpoints", "stream"])

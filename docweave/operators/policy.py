@@ -79,6 +79,14 @@ def with_state(commits: DataFrame, rolled: DataFrame, key: str) -> DataFrame:
     return commits.join(rolled, key, "left").withColumn("state", F.coalesce("state", F.lit("none"))).withColumn("total", F.coalesce("total", F.lit(0)))
 
 
+def summaries(runs: DataFrame) -> DataFrame:
+    """sha, state, total, error of commits from their check runs (sha, status, conclusion, error): without runs the
+    state is none, and a commit whose runs could not be read has only its error."""
+    commits = runs.groupBy("sha").agg(F.max("error").alias("error"))
+    out = with_state(commits, roll_up(runs.filter("status IS NOT NULL"), "sha"), "sha")
+    return out.select("sha", F.when(F.col("error").isNull(), F.col("state")).alias("state"), F.col("total").cast("long").alias("total"), "error")
+
+
 def tally(decided: DataFrame) -> DataFrame:
     """A17, F28."""
     shown = display_action(F.col("action"))

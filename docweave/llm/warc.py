@@ -1,8 +1,11 @@
 """WARC archives: a writer, a normaliser of monolithic gzip files, an offset index, and a reader.
 
-Writing gives archive files of about ARCHIVE_BYTES of payload, each whole file a single gzip stream. The normaliser
+Writing gives archive files of about ARCHIVE_BYTES of records, each whole file a single gzip stream. The normaliser
 inflates each such file once, in order, rewrites every record as a gzip member of its own and notes where
-each member stands (the sidecar index), so that records can be read without what comes before them.
+each member stands (the sidecar index), so that records can be read without what comes before them. An archive is
+named after the file it was made from, which no other task writes, and says its name in its first record. Archives and
+index lie in the same numbered folders; a task that reads an archive looks its places up in the index of that folder, so
+no archive is shuffled. The index is read through Arrow, from any file system that both Hadoop and Arrow open.
 
 Files are written by Spark's text writer (its commit protocol covers lost executors and its paths are any
 Hadoop path): a row is a file's bytes but for a last zero byte, and zero is the line separator. A gzip
@@ -25,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import BROADCAST_ROWS, arrow_map, begin, filled_text, remove, scratch_path, slices, small, stored, tidy
+from docweave.llm.common import arrow_map, begin, filled_text, remove, scratch_path, slices, small, stored, tidy
 
 MIN_REVISIT = 100
-#: Bytes of payload in one archive, at most about; gzip level.
-ARCHIVE_BYTES, LEVEL = 24 << 20, 1
+#: Bytes of records in one archive, at most about; archives in a folder; gzip level.
+ARCHIVE_BYTES, FOLDER_ARCHIVES, LEVEL = 24 << 20, 64, 1
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -112,9 +115,24 @@ def inflated(data: bytes, step: int = 1 << 20):
             yield piece
 
 
-def normalise(data: bytes) -> tuple[bytes, list[tuple]]:
-    """A file with one member for each record, and for each record its index row."""
-    members, index, at = [], [], 0
+def named(name: str) -> bytes:
+    """The member with the record that an archive begins with."""
+    block = b"software: docweave\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:docweave:archive:{name}>", f"WARC-Filename: {name}", f"WARC-Date: {DATE}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}", "", ""]
+    return gzip_member("\r\n".join(head).encode() + block + b"\r\n\r\n")
+
+
+def name_of(data) -> str:
+    """The name that the first record of an archive says."""
+    head, _, _ = next(records_of([zlib.decompressobj(31).decompress(data[: 1 << 12])]))
+    return head["WARC-Filename"]
+
+
+def normalise(data: bytes, name: str = "") -> tuple[bytes, list[tuple]]:
+    """A file with one member for each record, begun by one with its name if there is one, and for each record its
+    index row."""
+    members, index = [named(name)] if name else [], []
+    at = sum(map(len, members))
     for head, _, raw in records_of(inflated(data)):
         m = gzip_member(raw)
         index.append((page_of(head["WARC-Record-ID"]), at, len(m), head["WARC-Type"]))
@@ -171,8 +189,9 @@ def write_monolithic(pages: DataFrame, path: str) -> None:
                 for page, url, html, digest, to in zip(*(c.to_pylist() for c in (part.column("page_id"), part.column("url"), filled_text(part), part.column("digest"), part.column("refers_to")))):
                     gz = gz or zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                     payload = html.encode()
-                    out.append(gz.compress(record(page, url, payload, digest, to)))
-                    size += len(payload)
+                    whole = record(page, url, payload, digest, to)
+                    out.append(gz.compress(whole))
+                    size += len(whole)
                     if size >= ARCHIVE_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array([ends_in_zero(b"".join([*out, gz.flush()]))], pa.binary())], ["data"])
                         out, size, gz = [], 0, None
@@ -186,14 +205,14 @@ INDEX = "archive string, page_id long, offset long, length long, record_type str
 
 
 def normalise_files(spark: SparkSession, source: str, path: str) -> None:
-    """Rewrites all archives of a folder, which goes then: archives/ (a folder for each file) and the
-    sidecar index/ under path. Each task reads a file in one go and holds its compressed bytes only."""
+    """Rewrites all archives of a folder, which goes then: archives/folder=N/ and the sidecar index/folder=N/ under
+    path. Each task reads a file in one go and holds its compressed bytes only."""
 
     def make():
         def f(batch):
             for k in range(batch.num_rows):
-                data, index = normalise(batch.column("data")[k].as_py())
-                name = "w" + hashlib.sha256(data).hexdigest()[:24]
+                name = "w" + hashlib.sha256(batch.column("path")[k].as_py().rpartition("/")[2].encode()).hexdigest()[:24]
+                data, index = normalise(batch.column("data")[k].as_py(), name)
                 cols = list(zip(*index)) if index else [[]] * 4
                 entry = pa.StructArray.from_arrays([pa.array(list(c), t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.string()])], ["page_id", "offset", "length", "record_type"])
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([ends_in_zero(data)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(entry)], pa.int32()), entry)], ["archive", "data", "entries"])
@@ -203,26 +222,37 @@ def normalise_files(spark: SparkSession, source: str, path: str) -> None:
     schema = "archive string, data binary, entries array<struct<page_id: long, offset: long, length: long, record_type: string>>"
     done = stored(arrow_map(read_files(spark, source), make, schema), "normalised", staging := scratch_path(spark, "normalised"))
     remove(spark, source)
-    write_files(done.select("archive", "data"), f"{path}/archives", ["archive"])
-    done.select("archive", F.explode("entries").alias("e")).select("archive", "e.*").write.parquet(f"{path}/index")
+    folders = max(1, -(-done.select("archive").count() // FOLDER_ARCHIVES))
+    placed = done.withColumn("folder", F.pmod(F.xxhash64("archive"), F.lit(folders)).cast("int"))
+    write_files(placed.select("folder", "data"), f"{path}/archives", ["folder"])
+    index = placed.select("folder", "archive", F.explode("entries").alias("e")).select("folder", "archive", "e.*")
+    index.repartition("folder").sortWithinPartitions("folder", "archive", "offset").write.partitionBy("folder").parquet(f"{path}/index")
     remove(spark, staging)
 
 
+def places(index: str, folder: str, archive: str) -> list[tuple[int, int]]:
+    """Offset and length of each record of an archive, from the index of its folder."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(index)
+    found = ds.dataset(f"{root}/folder={folder}", filesystem=system, format="parquet").to_table(["offset", "length"], filter=ds.field("archive") == archive).sort_by("offset")
+    return list(zip(found["offset"].to_pylist(), found["length"].to_pylist()))
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, each inflated alone
     at the place the index gives; the digest of a response is made anew from its block."""
-    entries = spark.read.schema(INDEX).parquet(f"{path}/index")
-    index = entries.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))
-    index = F.broadcast(index) if entries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else index
-    files = read_files(spark, f"{path}/archives").select(F.regexp_extract("path", "archive=(w[0-9a-f]+)/", 1).alias("archive"), "data")
+    files = read_files(spark, f"{path}/archives").select(F.regexp_extract("path", "/folder=([0-9]+)/", 1).alias("folder"), "data")
+    index = f"{path}/index"
 
     def make():
         def f(batch):
-            for data, places in zip(batch.column("data"), batch.column("places").to_pylist()):
+            for data, folder in zip(batch.column("data"), batch.column("folder").to_pylist()):
                 raw = memoryview(data.as_buffer())
                 rows = []
-                for p in places:
-                    member = zlib.decompress(raw[p["offset"] : p["offset"] + p["length"]], 31)
+                for offset, length in places(index, folder, name_of(raw)):
+                    member = zlib.decompress(raw[offset : offset + length], 31)
                     head, block, _ = next(records_of([member]))
                     first = head["WARC-Type"] == "response"
                     digest = hashlib.sha256(block).hexdigest() if first else head["WARC-Payload-Digest"].rpartition(":")[2]
@@ -232,7 +262,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
         return f
 
-    return arrow_map(files.join(index, "archive").select("data", "places"), make, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return arrow_map(files, make, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archived(pages: DataFrame, path: str | None = None) -> DataFrame:

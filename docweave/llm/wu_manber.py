@@ -6,11 +6,11 @@ fewer words than a window is one pattern. Patterns of similar length share a mat
 blocks of BLOCK bytes skips positions where no pattern can end, blocks without a shift lead to the patterns
 with this suffix block, and bytes are compared to confirm an occurrence.
 
-The benchmark is taken in blocks of bounded size (so what a task holds does not grow with it); each block
-is searched in all documents and the hits of a document are merged.
+The benchmark is taken in blocks of bounded size, each a broadcast of its own, so what a task holds does not grow
+with it. Documents are read once: a task searches a batch of texts for one block after the other and merges the hits.
 
 Defined results: null or wordless documents have no hits and are not contaminated; null or wordless items
-match nothing; items that repeat an id count once; null item ids are ignored in the list of items.
+match nothing; items that repeat an id count once; items without an id hit, but are not counted or listed.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import arrow_map, filled_text, slices, stored
+from docweave.llm.common import arrow_map, filled_text, slices
 
 BLOCK = 6
 #: Bytes of benchmark text that one matcher holds.
@@ -97,6 +97,7 @@ class Windows:
                 first = bisect_right(gaps, start) - 1
                 spans.append((first, first + p.count(b" ") - 1))
                 items |= self.items[p]
+        items.discard(None)
         return len(w), spans, items
 
 
@@ -110,7 +111,6 @@ def union_spans(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-HITS = "row long, doc_id long, text_key long, n_words long, spans array<struct<a: long, b: long>>, items array<string>"
 RESULT = "doc_id long, text_key long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -128,7 +128,7 @@ def _table(rows: list[tuple]) -> tuple[list, list[str]]:
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
     """The items in blocks of bounded size, one after the other."""
     held, size = [], 0
-    for row in benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text").toLocalIterator():
+    for row in benchmark.filter("text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text").toLocalIterator():
         held.append((row.item, row.text))
         size += len(row.text.encode())
         if size >= block_bytes:
@@ -138,25 +138,45 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
         yield held
 
 
-def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame | None:
-    """docs, with all their columns, without the rows that contamination() calls contaminated; one pass, no join.
-    None for a benchmark of several blocks, whose hits have to be merged first."""
-    blocks = item_blocks(benchmark, block_bytes)
-    items, second = next(blocks, []), next(blocks, None)
-    if second is not None:
-        return None
+#: Blocks whose matchers a task keeps; bytes of texts that are searched for one block after the other.
+HELD_BLOCKS, BATCH_BYTES = 4, 64 << 20
 
-    def make():
-        windows = Windows(items, width)
 
-        def clean(text: str) -> bool:
-            n, spans, _ = windows.hits(text)
-            hit = sum(b - a for a, b in union_spans(spans))
-            return not hit or share * hit < n
+def searcher(benchmark: DataFrame, width: int, block_bytes: int):
+    """A function to be called in a task, which gives one from texts to the hits of each: words, spans, items.
+    The first HELD_BLOCKS matchers are kept in the task, others are made again for each batch of texts."""
+    sent = [benchmark.sparkSession.sparkContext.broadcast(b) for b in item_blocks(benchmark, block_bytes)]
+
+    def begin():
+        kept = [Windows(b.value, width) for b in sent[:HELD_BLOCKS]] or [Windows([], width)]
+
+        def search(texts: list[str]) -> list[tuple[int, list, set]]:
+            found = [(n, union_spans(spans), set(items)) for n, spans, items in map(kept[0].hits, texts)]
+            for k in range(1, len(sent)):
+                windows = kept[k] if k < len(kept) else Windows(sent[k].value, width)
+                for row, text in enumerate(texts):
+                    _, spans, items = windows.hits(text)
+                    if spans:
+                        n, before, held = found[row]
+                        found[row] = n, union_spans([*before, *spans]), held | items
+            return found
+
+        return search
+
+    return begin
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs, with all their columns, without the rows that contamination() calls contaminated; one pass, no join."""
+    begin = searcher(benchmark, width, block_bytes)
+
+    def make():
+        search = begin()
 
         def f(batch):
-            for part in slices(batch):
-                yield part.filter(pa.array([clean(t) for t in filled_text(part).to_pylist()], pa.bool_()))
+            for part in slices(batch, BATCH_BYTES):
+                hit = [(n, sum(b - a for a, b in spans)) for n, spans, _ in search(filled_text(part).to_pylist())]
+                yield part.filter(pa.array([not h or share * h < n for n, h in hit], pa.bool_()))
 
         return f
 
@@ -166,63 +186,17 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, share
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated (share * n_hit >= n_words) for every
     row; text_key tells rows with one id apart."""
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    blocks = item_blocks(benchmark, block_bytes)
-    first, second = next(blocks, []), next(blocks, None)
+    begin = searcher(benchmark, width, block_bytes)
 
-    def whole():
-        windows = Windows(first, width)
+    def make():
+        search = begin()
 
         def f(batch):
-            for part in slices(batch):
-                rows = [_summary(d, k, *windows.hits(t), share) for d, k, t in zip(part.column("doc_id").to_pylist(), part.column("text_key").to_pylist(), filled_text(part).to_pylist())]
+            for part in slices(batch, BATCH_BYTES):
+                found = search(filled_text(part).to_pylist())
+                rows = [_summary(d, k, *x, share) for d, k, x in zip(part.column("doc_id").to_pylist(), part.column("text_key").to_pylist(), found)]
                 yield pa.RecordBatch.from_arrays(*_table(rows))
 
         return f
 
-    if second is None:
-        return arrow_map(texts, whole, RESULT)
-    # several blocks: hits by block (only of documents that have any), merged by row; rows are told apart by a stored number
-    numbered = stored(texts.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    hits = []
-
-    def of(items):
-        def make():
-            windows = Windows(items, width)
-
-            def f(batch):
-                for part in slices(batch):
-                    rows = []
-                    for r, d, k, t in zip(part.column("row").to_pylist(), part.column("doc_id").to_pylist(), part.column("text_key").to_pylist(), filled_text(part).to_pylist()):
-                        n, spans, found = windows.hits(t)
-                        rows.append((r, d, k, n, [{"a": a, "b": b} for a, b in union_spans(spans)], sorted(found)))
-                    cols = list(zip(*rows))
-                    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.string())]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["row", "doc_id", "text_key", "n_words", "spans", "items"])
-
-            return f
-
-        return make
-
-    for k, items in enumerate(_chain(first, second, blocks)):
-        found = arrow_map(numbered, of(items), HITS)
-        hits.append(stored(found if not k else found.filter("size(spans) > 0"), "hits"))
-    merged = hits[0]
-    for h in hits[1:]:
-        merged = merged.unionByName(h)
-    merged = merged.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-
-    def finish():
-        def f(batch):
-            rows = [_summary(x["doc_id"], x["text_key"], x["n_words"], [(s["a"], s["b"]) for s in x["spans"]], x["items"], share) for x in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays(*_table(rows))
-
-        return f
-
-    return arrow_map(merged, finish, RESULT)
-
-
-def _chain(first, second, rest):
-    yield first
-    yield second
-    yield from rest
+    return arrow_map(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), make, RESULT)

@@ -5,9 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.llm.common import stored
+
+#: Bytes of features that a fit gathers on the driver.
+SAMPLE_BYTES = 256 << 20
+
 
 def distinct_words(text: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """The distinct words (runs without ASCII white space) of a batch, and of each (row, word) that occurs
@@ -44,5 +49,15 @@ def labelled_sample(labels: DataFrame, column: str, allowed: Column | None, rows
 
 
 def texts_of(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """doc_id, text, label of the sampled rows; the sample is bounded, so it may be broadcast."""
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    """doc_id, text, label of the sampled ids, one row for each: of rows that repeat an id the one whose text has the
+    smallest key. The sample is bounded, so it may be broadcast; repeated rows are left out before the shuffle."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("label").alias("label"))
+
+
+def bounded(rows: DataFrame, column: str, most: int) -> DataFrame:
+    """The rows of a sample, in the order of its hashes, whose binary column adds up to `most` bytes."""
+    rows = stored(rows, "sample-features")
+    order = Window.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # a bounded sample
+    sums = rows.select("doc_id", F.sum(F.length(column)).over(order).alias("upto")).filter(F.col("upto") <= most)
+    return rows.join(F.broadcast(sums.select("doc_id")), "doc_id")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.common import arrow_map, filled_text, slices
-from docweave.llm.features import distinct_words, labelled_sample, row_sums, texts_of
+from docweave.llm.features import SAMPLE_BYTES, bounded, distinct_words, labelled_sample, row_sums, texts_of
 
 WORD_BITS, RANK, BINS = 17, 8, 24
 
@@ -137,7 +137,7 @@ def training_rows(chosen: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]
 
         return f
 
-    got = arrow_map(chosen, make, "doc_id long, label int, slots binary").toArrow().sort_by("doc_id")
+    got = bounded(arrow_map(chosen, make, "doc_id long, label int, slots binary"), "slots", SAMPLE_BYTES).toArrow().sort_by("doc_id")
     rows = []
     for b in got["slots"].to_pylist():
         idx = np.frombuffer(b, "<i4")
@@ -159,7 +159,8 @@ def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000) -> Mac
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row. sample_rows bounds the labelled rows for the fit."""
+    """doc_id, held_out, score, predicted for every row. sample_rows bounds the labelled rows for the fit, SAMPLE_BYTES their
+    features; ids that repeat count once."""
     return scored_texts(docs, fitted(docs, labels, sample_rows), threshold)
 
 

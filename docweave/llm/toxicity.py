@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.common import arrow_map, filled_text, slices
-from docweave.llm.features import distinct_words, labelled_sample, texts_of
+from docweave.llm.features import SAMPLE_BYTES, bounded, distinct_words, labelled_sample, texts_of
 
 BITS = 20
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -154,7 +154,7 @@ def training_rows(chosen: DataFrame):
 
         return f
 
-    got = arrow_map(chosen, make, "doc_id long, label int, slots binary").toArrow().sort_by("doc_id")
+    got = bounded(arrow_map(chosen, make, "doc_id long, label int, slots binary"), "slots", SAMPLE_BYTES).toArrow().sort_by("doc_id")
     return [np.frombuffer(b, "<i4") for b in got["slots"].to_pylist()], got["label"].to_numpy().astype(np.int64)
 
 
@@ -174,7 +174,8 @@ def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int = 4_000) -> Ordi
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 4_000, reject_at: float = 0.5) -> DataFrame:
     """doc_id, text_key, severity (expected grade), grade (likeliest), toxic (P(grade > 0) >= reject_at) for every
-    row; text_key tells rows with one id apart. sample_rows bounds the labelled rows of either label for the fit."""
+    row; text_key tells rows with one id apart. sample_rows bounds the labelled rows of either label for
+    the fit, SAMPLE_BYTES their features; ids that repeat count once."""
     return graded_texts(docs, fitted(docs, labels, sample_rows), reject_at)
 
 

@@ -59,6 +59,10 @@ def _slot(h):
     return (h * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(44)
 
 
+#: Characters from which words and pieces are held for one slice of texts only, so that caches are bounded in bytes.
+LONG_WORD = 100
+
+
 class PrefixCounter:
     """Prefix tables for one byte-level BPE vocabulary (a tokenizers .json file)."""
 
@@ -75,6 +79,7 @@ class PrefixCounter:
         self.longest = max(map(len, self.whole))
         self.special = re.compile("|".join(map(re.escape, self.specials)))
         self.split = regex.compile(PATTERN)
+        self.long: dict[str, bytes] = {}
         self.keep, self.pairs, self.words, self.old_words, self.pieces, self.old_pieces = keep, {}, {}, {}, {}, {}
         keep_bytes = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {b: chr(b) for b in keep_bytes}
@@ -207,17 +212,24 @@ class PrefixCounter:
                 self.words[w] = self._long_word(w)
         if short:
             self.words.update(zip(short, self._short_words(short)))
+        for w in words:
+            if len(w) >= LONG_WORD:
+                self.long[w] = self.words.pop(w)
 
     def _word(self, text: str) -> bytes:
         """Changes of the count at each character of a run without inner gaps."""
         got = self.words.get(text)
         if got is None:
             got = self.old_words.get(text)
-            if got is None:
+            if got is not None:
+                self.words[text] = got
+            elif len(text) < LONG_WORD:
                 self._learn({text})
                 got = self.words[text]
             else:
-                self.words[text] = got
+                if text not in self.long:
+                    self._learn({text})
+                got = self.long[text]
         return got
 
     def _plain(self, text: str) -> bytes:
@@ -271,8 +283,9 @@ class PrefixCounter:
                     m = PLAIN(w)
                     d = (self._word(m[1]) + (self._word(m[2]) if m[2] else b"")) if m else self._piece(w)
                 out[k] = d
-                if len(w) < 100:
+                if len(w) < LONG_WORD:
                     young[w] = d
+        self.long.clear()
         if len(young) > self.keep:
             self.old_pieces, self.pieces = young, {}
         return out

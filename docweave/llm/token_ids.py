@@ -13,7 +13,7 @@ Decoding peeks at `limit` bits and looks symbol and length up in one table; all
 are decoded side by side.
 
 Defined results: null text counts as empty (a document of the end id alone); rows with the same doc_id
-stand next to each other, ordered by text; null doc_ids come first.
+stand next to each other, ordered by text; null doc_ids come first; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +38,10 @@ FILE_BLOCKS = 16
 # --- tokenising -----------------------------------------------------------------------------------
 
 
+#: Characters from which words are not kept, so that caches are bounded in bytes.
+LONG_WORD = 100
+
+
 class Cache:
     """Two generations: when the young one is full it becomes the old one; what is used again moves back."""
 
@@ -93,7 +97,9 @@ class WordIds:
                 raise ValueError("the vocabulary does not mark word ends")
             raw, at = ids.tobytes(), 0
             for k, w, end in zip(missing[a : a + 500], part, (ends * self.kind.itemsize).tolist()):
-                out[k] = young[w] = raw[at:end]
+                out[k] = raw[at:end]
+                if len(w) < LONG_WORD:
+                    young[w] = out[k]
                 at = end
         self.runs.turn()
         return out
@@ -106,7 +112,9 @@ class WordIds:
         for a in range(0, len(missing), 20_000):
             part = missing[a : a + 20_000]
             for k, ids in zip(part, self._whole([words[k] for k in part])):
-                out[k] = self.words.young[words[k]] = ids
+                out[k] = ids
+                if len(words[k]) < LONG_WORD:
+                    self.words.young[words[k]] = ids
         self.words.turn()
         return out
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from docweave.llm import cuckoo, mixing, quality_fm, queries, sanitise, set_sketch, sql, token_counts, token_ids, toxicity, warc, wu_manber  # noqa: E402
+from docweave.llm import cuckoo, features, mixing, quality_fm, queries, sanitise, set_sketch, sql, token_counts, token_ids, toxicity, warc, wu_manber  # noqa: E402
+from docweave.llm.common import scratch_path  # noqa: E402
 from oracle import same_rows  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, score string, word string, rank string, size string, start string, n string, row string, title string"
@@ -223,6 +224,30 @@ def test_warc_rows(spark):
     assert all(r["payload_digest"] == hashlib.sha256(big.encode()).hexdigest() for r in got if r["payload_bytes"] == 200)
 
 
+def test_warc_rows_that_repeat_in_other_tasks(spark, tmp_path):
+    once = [(k, f"http://x/{k}", f"<p>{k}</p>" * 30 if k % 3 else None) for k in range(60)] + [(None, None, None)] * 5
+    df = spark.createDataFrame(once, "page_id long, url string, html string").coalesce(1)
+    for n in range(4):
+        df.write.mode("append").parquet(f"{tmp_path}/pages")
+    got = warc.archived(spark.read.parquet(f"{tmp_path}/pages")).collect()
+    assert len(got) == 4 * len(once)
+    assert Counter((r["page_id"], r["payload_bytes"]) for r in got) == Counter({(p, len(h or "")): 0 for p, _, h in once} | Counter([(p, len(h or "")) for p, _, h in once] * 4))
+
+
+def test_warc_archives_of_empty_pages_are_bounded(spark):
+    sizes = warc.ARCHIVE_BYTES, warc.FOLDER_ARCHIVES
+    warc.ARCHIVE_BYTES, warc.FOLDER_ARCHIVES = 1 << 20, 3
+    try:
+        pages = spark.range(100_000).selectExpr("if(id < 50, id, null) AS page_id", "cast(null AS string) AS url", "cast(null AS string) AS html").repartition(3)
+        root = scratch_path(spark, "warc-test")
+        rows = warc.archived(pages, root)
+        assert rows.count() == 100_000 and rows.filter("page_id IS NOT NULL").distinct().count() == 50
+        index = spark.read.parquet(f"{root}/index").groupBy("archive").agg(F.count("*").alias("n"), F.countDistinct("folder").alias("folders")).collect()
+        assert len(index) > 20 and max(r["n"] for r in index) < 6_000 and {r["folders"] for r in index} == {1}
+    finally:
+        warc.ARCHIVE_BYTES, warc.FOLDER_ARCHIVES = sizes
+
+
 def test_warc_long_payloads_and_clashing_columns(spark):
     rows = [(k, "u", "<p>" + f"{k % 2}é" * 400_000, "?", k, "?", "?", "?") for k in range(4)] + [(9, "\r\nWARC/1.1", "\r\n\r\nWARC/1.1\r\n" * 20, "?", 1, "?", "?", "?")]
     got = by_id(warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string, refers_to string, payload_bytes long, text string, data string, record_type string")).withColumnRenamed("page_id", "doc_id"))
@@ -351,11 +376,48 @@ def test_contamination(odd, spark):
     items = spark.createDataFrame([(1, "TWO three, four"), (2, "w1 w2 w3 w4"), (2, "w1 w2 w3 w4"), (None, "one"), (3, None), (4, "...")], "item_id long, text string")
     for size in (1 << 20, 10):
         got = by_id(wu_manber.contamination(odd, items, width=3, share=20, block_bytes=size))
-        assert (got[1]["n_hit"], got[1]["n_items"], got[1]["contaminated"]) == (3, 1, True)
+        assert (got[1]["n_hit"], got[1]["n_items"], got[1]["contaminated"]) == (4, 1, True)  # "one" has no id and hits
         assert (got[6]["n_hit"], got[6]["contaminated"]) == (4, False)
         assert got[1]["items_sha256"] == hashlib.sha256(b"1").hexdigest() and got[4]["n_words"] == 0 and not got[3]["contaminated"]
 
 
+def test_contamination_without_ids_as_sql_has_it(spark, sf, tmp_path):
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    words = docs.filter("size(split(text, ' ')) > 40").orderBy("doc_id").first()["text"].split(" ")
+    more = spark.createDataFrame([(None, " ".join(words[5:30])), (10**9, None), (None, "...")], "item_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/d")
+    items.unionByName(more).coalesce(1).write.parquet(f"{tmp_path}/b")
+    for name, folder in (("documents", "d"), ("benchmark", "b")):
+        (tmp_path / f"{name}.parquet").write_bytes(next((tmp_path / folder).glob("part-*.parquet")).read_bytes())
+    same_rows(queries.op10_decontamination(spark, str(tmp_path)), sql.CONTAMINATION, str(tmp_path))
+
+
+def test_several_blocks_of_a_benchmark_take_one_pass(spark, tmp_path):
+    items = spark.createDataFrame([(k, f"i{k} j{k} k{k} l{k}") for k in range(12)], "item_id long, text string")
+    rows = [(k, f"x i{k} j{k} k{k} l{k} y i{k + 1} j{k + 1} k{k + 1} l{k + 1}", str(k)) for k in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, n string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    read = spark.read.parquet(f"{tmp_path}/docs")
+    many = wu_manber.contamination(read, items, width=3, block_bytes=10)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+    want = {r["doc_id"]: r for r in wu_manber.contamination(read, items, width=3).collect()}
+    got = {r["doc_id"]: r for r in many.collect()}
+    assert got == want and got[3]["n_hit"] == 8 and got[11]["n_items"] == 1
+
+
+def test_fits_gather_a_bounded_number_of_rows(spark):
+    rows = spark.range(60_000).selectExpr("cast(1 as bigint) AS doc_id", "concat('word', id % 7, ' again') AS text")
+    docs = rows.unionByName(spark.createDataFrame([(2, "bad words"), (3, None), (4, "good words")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(1, 5)], "doc_id long, quality int, toxic int")
+    for module, column in ((quality_fm, "quality"), (toxicity, "toxic")):
+        chosen = features.texts_of(docs, features.labelled_sample(labels, column, None, 10, by_class=False))
+        assert chosen.count() == 4
+        got, marks = module.training_rows(chosen)
+        assert len(got) == len(marks) == 4
+    slots = spark.createDataFrame([(k, 0, bytearray(40)) for k in range(9)], "doc_id long, label int, slots binary")
+    assert features.bounded(slots, "slots", 100).count() == 2 and features.bounded(slots, "slots", 1000).count() == 9
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = quality_fm.quality_scores(docs, labels).join(labels, "doc_id").filter("held_out").collect()
@@ -414,9 +476,8 @@ def test_stages_tell_rows_of_one_id_apart(spark, sf, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = [tuple(r) for r in pipeline.decontaminate(spark, docs, str(tmp_path)).collect()]
     assert sorted(left, key=str) == sorted([r for r in rows if r[1] != bad], key=str)
-    assert wu_manber.uncontaminated(docs, items.union(items), block_bytes=10) is None  # several blocks
-    joined = pipeline._without(docs, wu_manber.contamination(docs, items.union(items), block_bytes=10).filter("contaminated"))
-    assert sorted(map(tuple, joined.collect()), key=str) == sorted(left, key=str)
+    several = wu_manber.uncontaminated(docs, items.union(items), block_bytes=10)
+    assert sorted(map(tuple, several.collect()), key=str) == sorted(left, key=str)
     # documents without labels but for two
     words = [(k, f"vile zzbad filth {k}") for k in range(20, 60)] + [(k, f"kind zzgood words {k}") for k in range(60, 100)]
     spark.createDataFrame([(k, int(k < 60), int(k < 60)) for k, _ in words], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

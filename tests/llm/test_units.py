@@ -1,5 +1,6 @@
 """Operators of the text-preparation subpackage on small inputs, against plain versions."""
 
+import base64
 import gzip
 import os
 import random
@@ -169,6 +170,24 @@ def test_shingles():
     assert (sets[0] == sets[1]).all()
 
 
+def test_caches_are_bounded_in_bytes():
+
+    rng = random.Random(1)
+    texts = pa.array([" ".join(base64.b64encode(rng.randbytes(3_000)).decode() for _ in range(40)) for _ in range(3)], pa.large_string())
+    words = token_ids.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids, counts = words.ids(texts)
+    assert ids.tolist() == [i for t in texts.to_pylist() for i in lib.encode(t, add_special_tokens=False).ids] and len(counts) == 3
+    assert all(len(k) < 100 for c in (words.words, words.runs) for k in (*c.young, *c.old))
+    table = token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    byte = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n, _ = token_counts.counted(table, texts, 1024)
+    assert n.tolist() == [len(byte.encode(t, add_special_tokens=False).ids) for t in texts.to_pylist()]
+    assert not table.long and all(len(k) < 100 for c in (table.words, table.old_words, table.pieces) for k in c)
+
+
 def test_wu_manber_against_a_plain_search():
     rng = random.Random(4)
     word = lambda: rng.choice(["a", "bb", "abc", "é", "the"])

@@ -29,7 +29,7 @@ from docweave.llm.queries import tokenizer_path
 from docweave.llm.set_sketch import near_duplicates
 from docweave.llm.token_ids import token_ids
 from docweave.llm.toxicity import fitted, kept_texts
-from docweave.llm.wu_manber import contamination, uncontaminated
+from docweave.llm.wu_manber import uncontaminated
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -64,9 +64,7 @@ def _once(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    benchmark = table(spark, sf_dir, "benchmark")
-    left = uncontaminated(docs, benchmark)
-    return _without(docs, contamination(docs, benchmark).filter("contaminated")) if left is None else left
+    return uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

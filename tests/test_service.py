@@ -63,7 +63,7 @@ class Server:
         if parts[-1] == "html":
             return 200, b"<html>"
         if parts[-1] == "pulls" and method == "GET":
-            rows = sorted((r for r in self.requests.values() if r["base"]["ref"] == query.get("base", "main")), key=lambda r: -r["number"])
+            rows = sorted((r for r in self.requests.values() if r["base"]["ref"] == query.get("base", "main")), key=lambda r: str(r["number"]), reverse=True)
             at = (int(query["page"]) - 1) * int(query["per_page"])
             return 200, rows[at : at + int(query["per_page"])]
         if parts[-1] == "check-runs":

@@ -13,7 +13,11 @@
 
 Groups of more members than a block are first compared with a few of their members (star()). Members that are
 linked to the best of these are connected, so only the others still have to be compared, with all: a group
-of n near copies of one text costs n comparisons, not n^2/2. Each block of a group is a task of its own.
+of n near copies of one text costs n comparisons, not n^2/2. Large buckets that have others (pages of one template,
+say) are dealt anew by rare shingles: of two sets of similarity s either one's rarest n - ceil(s n) + 1 shingles meet
+those of the other, whatever the order, so lists of members with a rare shingle in common hold every pair that may be
+linked, and members that only share what their template has in common meet in none. Each block of a group is a
+task of its own.
 
 A pair at the threshold misses all bands with a probability under 1e-6 (banding() takes the longest bands
 for which this holds), has too few equal registers with one under 1e-6 (least_equal()), and loses by
@@ -32,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.llm.common import arrow_map, filled_text, slices, small, stored
@@ -336,19 +340,85 @@ def _in_blocks(members: DataFrame, sizes: DataFrame, group: str, near: DataFrame
     return rows.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other")).withColumn("side", F.when(F.col("low") == F.col("high"), 0).otherwise((F.col("mine") == F.col("high")).cast("int"))).drop("mine", "other", "others", "stars", "near")
 
 
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b that sketches and sizes allow, so that chains of chance pairs make no large groups."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def make():
+        def f(batch):
+            regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("r_a", "r_b")]
+            n = [batch.column(c).to_numpy() for c in ("n_a", "n_b")]
+            larger, smaller = (regs[0] > regs[1]).sum(1), (regs[0] < regs[1]).sum(1)
+            ok, _ = may_be_linked(percent / 100, larger, smaller, *n)
+            ok &= (100 * np.minimum(*n) >= percent * np.maximum(*n)) & (REGISTERS - larger - smaller >= least_equal(percent / 100))
+            keep = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+        return f
+
+    return arrow_map(rows, make, EDGE)
+
+
 def group_sizes(members: DataFrame, group: str) -> DataFrame:
     return members.groupBy(group).agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
 
 
+def _trees(rows: DataFrame, group: str, percent: int) -> DataFrame:
+    # each block is a task of its own: a join by group alone would leave all blocks of a group in one task
+    return rows.repartition(group, "low", "high").groupBy(group, "low", "high").applyInArrow(_forest(percent), EDGE)
+
+
+def _of_stars(near: DataFrame) -> DataFrame:
+    return near.select(F.col("centre").alias("a"), F.col("node").alias("b"))
+
+
 def forests(members: DataFrame, group: str, percent: int, payload=lambda rows: rows) -> DataFrame:
     """Edges a, b that connect all links inside each group. members: group, node, n, registers; payload adds
     full sets to rows, if links are to be verified."""
     sizes = group_sizes(members, group)
     near = star(members, sizes, group, percent, payload)
-    rows = payload(_in_blocks(members, sizes, group, near))
-    # each block is a task of its own: a join by group alone would leave all blocks of a group in one task
-    edges = rows.repartition(group, "low", "high").groupBy(group, "low", "high").applyInArrow(_forest(percent), EDGE)
-    return edges if near is None else edges.unionByName(near.select(F.col("centre").alias("a"), F.col("node").alias("b")))
+    edges = _trees(payload(_in_blocks(members, sizes, group, near)), group, percent)
+    return edges if near is None else edges.unionByName(_of_stars(near))
+
+
+def candidates(members: DataFrame, group: str, percent: int, shingles) -> DataFrame:
+    """Edges a, b that connect all likely links inside each group, by sketches. Large groups whose members are not all
+    linked with one of them are dealt anew by rare shingles. shingles: nodes -> node, shingles."""
+    sizes = group_sizes(members, group)
+    near = star(members, sizes, group, percent, lambda rows: rows)
+    if near is None:
+        return _trees(_in_blocks(members, sizes, group, None), group, percent)
+    large = small(stored(sizes.filter((F.col("members") > BLOCK_ROWS) | (F.col("shingles") > BLOCK_SHINGLES)).select(group), "large"))
+    ordinary = members.join(large, group, "left_anti")
+    edges = _trees(_in_blocks(ordinary, group_sizes(ordinary, group), group, None), group, percent).unionByName(_of_stars(near))
+    flags = near.select(F.col("grp").alias(group), "node")
+    others = stored(members.join(large, group).join(small(flags), [group, "node"], "left_anti").select(group, "node"), "others")
+    if others.isEmpty():
+        return edges
+    groups = small(stored(others.select(group).distinct(), "groups-with-others"))
+    nodes = stored(members.join(groups, group).select("node", "n", "registers").dropDuplicates(["node"]), "dealt-anew")
+    lists = stored(rare_lists(nodes, others.select("node").distinct(), percent, shingles), "rare-lists")
+    return edges.unionByName(forests(lists, "list", percent))
+
+
+#: Nodes with a shingle from which it counts as frequent.
+FREQUENT = 50
+
+
+def rare_lists(nodes: DataFrame, others: DataFrame, percent: int, shingles) -> DataFrame:
+    """list, node, n, registers: the nodes that have one of their rarest shingles in common, for lists in which one of
+    `others` is. Frequent shingles come last in the order, by their number of nodes; all others come before, by hash."""
+    sets = stored(shingles(nodes.select("node")), "shingles").select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("list"))
+    often = stored(sets.groupBy("list").agg(F.count("*").alias("often")).filter(F.col("often") >= FREQUENT), "frequent-shingles")
+    order = Window.partitionBy("node").orderBy(F.coalesce("often", F.lit(0)), "list")
+    reach = F.col("size") - F.ceil(F.col("size") * F.lit(percent) / 100) + 1
+    rare = sets.join(small(often), "list", "left").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= reach).select("list", "node")
+    rare = stored(rare.join(small(stored(others.withColumn("other", F.lit(True)), "other-nodes")), "node", "left"), "rare-shingles")
+    found = rare.groupBy("list").agg(F.count("*").alias("members"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(F.xxhash64("node")).alias("which"), F.bool_or(F.coalesce("other", F.lit(False))).alias("any"))
+    # lists of the same members are one
+    found = found.filter("members > 1 AND any").groupBy("members", "a", "b", "which").agg(F.min("list").alias("list")).select("list")
+    return rare.join(small(stored(found, "lists")), "list").join(nodes, "node").select("list", "node", "n", "registers")
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -405,10 +475,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     buckets = keyed.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(F.xxhash64("node")).alias("which")).filter("members > 1")
     # buckets of the same members are one
     buckets = stored(buckets.groupBy("members", "a", "b", "which").agg(F.min("bucket").alias("bucket")), "buckets")
-    pairs = buckets.filter("members = 2").select("a", "b")
+    pairs = likely(buckets.filter("members = 2").select("a", "b"), classes, percent)
     larger = keyed.join(small(buckets.filter("members > 2").select("bucket")), "bucket")
     larger = stored(larger.join(classes.select("node", "n", "registers"), "node"), "bucket-members")
-    groups = stored(components(pairs.unionByName(forests(larger, "bucket", percent))), "groups")
+
+    def make_lists():
+        def f(batch):
+            for part in slices(batch, 4 << 20):
+                sets = shingle_sets(filled_text(part), width)
+                cuts = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], ["rep", "set_key", "shingles"])
+
+        return f
+
+    def shingles(nodes):
+        """node, shingles of one text of each node."""
+        rows = stored(classes.join(small(nodes), "node").select("node", "rep", "set_key"), "nodes-of-lists")
+        wanted = small(stored(rows.select(F.col("rep").alias("doc_id")).distinct(), "wanted"))
+        made = arrow_map(texts.join(wanted, "doc_id"), make_lists, "rep long, set_key binary, shingles array<long>")
+        return made.join(rows, ["rep", "set_key"]).select("node", "shingles").dropDuplicates(["node"])
+
+    groups = stored(components(pairs.unionByName(candidates(larger, "bucket", percent, shingles))), "groups")
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
 
     # verification on full sets, made anew from the texts of the classes that have a possible partner

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import time
 import zlib
@@ -197,6 +198,46 @@ def test_least_equal_registers_by_exact_tail(share):
     assert sum(chance[:least]) < 1e-6 <= sum(chance[: least + 1])
 
 
+def template_pages(n, rng):
+    """Pages that share half of their shingles with each other, a few near copies of some, and many of one."""
+    head = " ".join(f"t{k}" for k in range(130))
+    own = lambda k: [f"p{k}x{j}" for j in range(66)]
+    rows = [(k, f"{head} {' '.join(own(k))}") for k in range(n)]
+    rows += [(n + k, f"{head} {' '.join(own(k)[:-1])} q{k}") for k in range(0, n, 40)]
+    rows += [(3 * n + k, f"{head} {' '.join(own(7))} r{k}") for k in range(n // 4)]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_large_buckets_of_unlike_texts_take_rows_in_proportion(spark, monkeypatch):
+    rng, made = random.Random(4), {}
+    kept = set_sketch.stored
+
+    def counted(df, label, *a):
+        out = kept(df, label, *a)
+        if label in ("beams", "rare-lists", "stars"):
+            made[label] = made.get(label, 0) + out.count()
+        return out
+
+    blocks = set_sketch._trees
+
+    def trees(rows, group, percent):
+        made["rows"] = made.get("rows", 0) + rows.count()
+        return blocks(rows, group, percent)
+
+    monkeypatch.setattr(set_sketch, "stored", counted)
+    monkeypatch.setattr(set_sketch, "_trees", trees)
+    monkeypatch.setattr(set_sketch, "BLOCK_ROWS", 20)
+    seen = {}
+    for n in (200, 800):
+        made.clear()
+        rows = template_pages(n, rng)
+        got = {r["doc_id"]: r["component_id"] for r in set_sketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()}
+        assert got == {i: c for i, _, c in brute_components(rows, 3, 85)}
+        seen[n] = sum(made.values())
+    assert seen[800] < 7 * seen[200]  # four times the texts; all pairs would be sixteen times
+
+
 def test_components_that_are_not_settled_raise(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
     with pytest.raises(RuntimeError):

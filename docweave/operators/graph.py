@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import paths, text
 from docweave.sources import commonmark
+from docweave.storage import small, stored
 
 #: Nodes from which on an explorer shows a search first.
 LARGE_SITE = 500
@@ -75,6 +76,40 @@ def backlinks(edge: DataFrame) -> DataFrame:
     return edge.groupBy(F.col("dst").alias("id")).agg(F.sort_array(F.collect_list("src")).alias("sources"))
 
 
+#: Entries of a list in one row.
+CHUNK = 1000
+
+
+def chunked(pairs: DataFrame, key: str, value: str, size: int = CHUNK) -> DataFrame:
+    """key, chunk (from 0), items: the ordered values of each key, cut into rows of `size`. Pairs are dealt by ranges of
+    both columns, so a key with very many values is in many tasks; where its values begin in each is one short row."""
+    dealt = pairs.select(key, value).repartitionByRange(key, value).sortWithinPartitions(key, value)
+    dealt = stored(dealt.withColumn("__part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    first = dealt.groupBy(key, "__part").agg(F.count("*").alias("__n")).select(key, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    late = small(stored(first.filter("__first > 0"), "range-starts"))
+    inside = F.row_number().over(Window.partitionBy("__part", key).orderBy(value))
+    placed = dealt.withColumn("__inside", inside).join(late, [key, "__part"], "left")
+    chunk = F.floor((F.coalesce("__first", F.lit(0)) + F.col("__inside") - 1) / size).cast("long")
+    return placed.groupBy(key, chunk.alias("chunk")).agg(F.sort_array(F.collect_list(value)).alias("items"))
+
+
+def backlink_chunks(edge: DataFrame, size: int = CHUNK) -> DataFrame:
+    """A13 in bounded rows: id, chunk, sources."""
+    return chunked(edge.select(F.col("dst").alias("id"), "src"), "id", "src", size).withColumnRenamed("items", "sources")
+
+
+def adjacency_chunks(node_ids: DataFrame, edge: DataFrame, size: int = CHUNK) -> DataFrame:
+    """A14 in bounded rows: id, direction (inbound, outbound), chunk, neighbours; a node without any has a row with
+    neither."""
+    way = lambda a, b, name: edge.select(F.struct(F.col(a).alias("id"), F.lit(name).alias("direction")).alias("end"), F.col(b).alias("other"))
+    both = way("dst", "src", "inbound").unionByName(way("src", "dst", "outbound")).filter("end.id IS NOT NULL AND other IS NOT NULL").distinct()
+    lists = chunked(both, "end", "other", size).select("end.id", "end.direction", "chunk", F.col("items").alias("neighbours"))
+    linked = edge.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    alone = node_ids.select("id").distinct().join(linked, "id", "left_anti")
+    return lists.unionByName(alone.select("id", F.lit(None).cast("string").alias("direction"), F.lit(0).cast("long").alias("chunk"), F.array().cast("array<string>").alias("neighbours")))
+
+
 def adjacency(node_ids: DataFrame, edge: DataFrame) -> DataFrame:
     """id, inbound, outbound as sorted sets, for all nodes and endpoints (A14, U2). One pass: each edge
     gives a row to either end."""

@@ -102,23 +102,61 @@ def rank_one(docs: DataFrame, query: str, k: int = DEFAULT_K) -> DataFrame:
     return counted.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k).filter("score > 0")
 
 
-def rank_batch(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> DataFrame:
-    """query_id, rank, id, score for many queries (query_id, query): each occurrence of a term in a query adds
-    its gain (A12, J8, W5). Documents are read and made tokens of once: what is stored are the postings of the
-    queries' terms, and a row without a term for each document, from which the sums come."""
-    asked = queries.select("query_id", F.explode(text.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    asked = stored(asked, "asked")
+def asked_postings(docs: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings (term, id, doc_len, tf, gain with weight 1) of the terms of asked (query_id, term, times), and asked with
+    the weight of each term. Documents are read and made tokens of once: what is stored are these postings, and a row
+    without a term for each document, from which the sums come."""
     wanted = small(asked.select("term").distinct().withColumn("asked", F.lit(True)))
     tokens = F.array_append(F.col("tokens"), F.lit(None).cast("string"))
     flat = docs.select("id", F.size("tokens").alias("doc_len"), F.explode(tokens).alias("term")).join(wanted, "term", "left").filter("asked OR term IS NULL")
     post = stored(flat.groupBy("id", "doc_len", "term").agg(F.count("*").alias("tf")), "postings")
-    stats = post.filter("term IS NULL").agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"))
+    stats = F.broadcast(post.filter("term IS NULL").agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len")))  # one row
     df = post.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
-    weights = df.join(asked, "term").join(F.broadcast(stats)).select("query_id", "term", "avg_len", (F.col("times") * idf(F.col("n"), F.col("df"))).alias("weight"))
-    hits = post.filter("term IS NOT NULL").join(small(stored(weights, "weights")), "term")
-    scored = hits.groupBy("query_id", "id").agg(F.sum(gain(F.col("tf"), F.col("doc_len"), F.col("avg_len"), F.col("weight"))).alias("score"))
+    weights = df.join(asked, "term").join(stats).select("query_id", "term", (F.col("times") * idf(F.col("n"), F.col("df"))).alias("weight"))
+    hits = post.filter("term IS NOT NULL").join(stats)
+    return hits.select("term", "id", gain(F.col("tf"), F.col("doc_len"), F.col("avg_len"), F.lit(1.0)).alias("gain")), weights
+
+
+#: A bound is loosened by this share, so that rounding never drops a document that ties with the k-th.
+SLACK = 1e-8
+
+
+def term_bounds(post: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """weights with what is needed to leave documents out: `least`, a score that k documents of the query reach for one
+    of its terms alone, `essential`, and `rest`, the most that all other terms add up to. Terms in the order of what they
+    can give are not essential as long as their sum stays below `least`: a document that has no other term is not
+    among the best k."""
+    order = Window.partitionBy("term").orderBy(F.desc("gain"))
+    best = post.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k)
+    best = best.groupBy("term").agg(F.max("gain").alias("most"), F.min(F.when(F.col("nth") == k, F.col("gain"))).alias("kth"))
+    own = Window.partitionBy("query_id")
+    up = own.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+    rows = weights.join(best, "term").withColumn("bound", F.col("weight") * F.col("most")).withColumn("least", F.coalesce(F.max(F.col("weight") * F.col("kth")).over(own), F.lit(0.0)))
+    rows = rows.withColumn("essential", F.sum("bound").over(up) >= F.col("least") * (1 - SLACK))
+    return rows.select("query_id", "term", "weight", "least", "essential", F.sum(F.when(~F.col("essential"), F.col("bound")).otherwise(0.0)).over(own).alias("rest"))
+
+
+def rank_batch(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> DataFrame:
+    """query_id, rank, id, score for many queries (query_id, query): each occurrence of a term in a query adds
+    its gain (A12, J8, W5). Only documents with an essential term of a query are paired with it; of these, those that
+    can still reach the k-th score are looked up for the other terms, so postings of common terms are not paired with
+    all queries that ask for them."""
+    k = k if k > 0 else DEFAULT_K
+    asked = queries.select("query_id", F.explode(text.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    post, weights = asked_postings(docs, stored(asked, "asked"))
+    terms = stored(term_bounds(post, weights, k), "term-bounds")
+    first = small(terms.filter("essential").select("query_id", "term", "weight", "least", "rest"))
+    part = post.join(first, "term").groupBy("query_id", "id").agg(F.sum(F.col("gain") * F.col("weight")).alias("part"), F.first("least").alias("least"), F.first("rest").alias("rest"))
+    part = stored(part, "partial-scores")
+    order = Window.partitionBy("query_id").orderBy(F.desc("part"), "id")
+    reached = part.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") == k).select("query_id", F.col("part").alias("kth"))
+    able = part.join(small(stored(reached, "reached")), "query_id", "left").filter(F.col("part") + F.col("rest") >= F.greatest("least", F.coalesce("kth", F.lit(0.0))) * (1 - SLACK))
+    able = stored(able.select("query_id", "id", "part"), "candidates")
+    others = small(terms.filter("NOT essential").select("query_id", "term", "weight"))
+    more = able.join(others, "query_id").join(post, ["id", "term"]).groupBy("query_id", "id").agg(F.sum(F.col("gain") * F.col("weight")).alias("more"))
+    scored = able.join(more, ["query_id", "id"], "left").select("query_id", "id", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= (k if k > 0 else DEFAULT_K))
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def enrich(chunk: DataFrame, meta: DataFrame, search: DataFrame | None = None) -> DataFrame:

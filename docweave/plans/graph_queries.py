@@ -133,6 +133,22 @@ def adjacency(spark, d):
     return out.select("id", F.size("inbound").cast("long").alias("n_in"), F.size("outbound").cast("long").alias("n_out"), F.md5(F.array_join("inbound", ",")).alias("inbound"), F.md5(F.array_join("outbound", ",")).alias("outbound"))
 
 
+@query(f"""WITH {_ORDERS}, n AS (SELECT dst AS id, src, (row_number() OVER (PARTITION BY dst ORDER BY src) - 1) // 8 AS chunk FROM edges)
+SELECT id, chunk::BIGINT AS chunk, count(*) AS n, string_agg(src, ',' ORDER BY src) AS sources FROM n GROUP BY id, chunk""")
+def backlink_chunks(spark, d):
+    out = graph.backlink_chunks(order_edges(spark, d), 8)
+    return out.select("id", "chunk", F.size("sources").cast("long").alias("n"), F.array_join("sources", ",").alias("sources"))
+
+
+@query(f"""WITH {_ORDERS}, e AS (SELECT dst AS id, 'inbound' AS direction, src AS other FROM edges UNION SELECT src, 'outbound', dst FROM edges),
+n AS (SELECT *, (row_number() OVER (PARTITION BY id, direction ORDER BY other) - 1) // 8 AS chunk FROM e)
+SELECT id, direction, chunk::BIGINT AS chunk, string_agg(other, ',' ORDER BY other) AS neighbours FROM n GROUP BY ALL
+UNION ALL SELECT 'p' || p_partkey, NULL, 0, '' FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)""")
+def adjacency_chunks(spark, d):
+    nodes = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
+    return graph.adjacency_chunks(nodes, order_edges(spark, d), 8).withColumn("neighbours", F.array_join("neighbours", ","))
+
+
 @query(f"WITH {_ORDERS} SELECT DISTINCT src, dst FROM edges")
 def unique_edges(spark, d):
     return graph.unique_edges(order_edges(spark, d))

@@ -284,6 +284,12 @@ def suggestions(spark, d):
     return site.suggestions(table(spark, d, "part").select(F.concat(F.lit("parts/p"), "p_partkey").alias("id"), F.col("p_name").alias("title")), " Gadget")
 
 
+@query("""SELECT id, title FROM (SELECT p_brand || '/p' || p_partkey AS id, p_name AS title FROM part) WHERE contains(lower(title), 'widget') OR contains(lower(id), 'widget') ORDER BY id LIMIT 20""")
+def suggestions_by_title(spark, d):
+    items = table(spark, d, "part").select(F.concat("p_brand", F.lit("/p"), "p_partkey").alias("id"), F.col("p_name").alias("title"))
+    return site.suggestions(items, " Widget ")
+
+
 @query("SELECT row_number() OVER (ORDER BY n DESC, tag)::INT AS nth, tag, n FROM (SELECT regexp_replace(lower(p_type), '[^a-z0-9-]', '', 'g') AS tag, count(*) AS n FROM part GROUP BY tag)")
 def tag_order(spark, d):
     from docweave.plans.text_queries import part_documents

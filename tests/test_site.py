@@ -1,6 +1,8 @@
 """Golden shapes: small sites read from files, and operators on them."""
 
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -311,3 +313,60 @@ def test_bundles_of_a_project(spark):
     both = bundles.config_bundle(files, {"assets": listing})
     assert list(bundles.parse_bundle("b", text_of(both))) == [("internal/config/c.go", "package c"), ("assets/", "assets/\nassets/x.png (size: 3 bytes)")]
     assert [bundles.bundle_folder(f, "content", "/p") for f in ("docs", "/p/docs", "../x", "")] == ["docs", "docs", "content", "content"]
+
+
+def plain_bm25(docs, query, k):
+    """(score rounded, id) of the best k by a plain sum."""
+    n, avg = len(docs), sum(map(len, docs.values())) / len(docs)
+    scores = {}
+    for term in query:
+        df = sum(term in d for d in docs.values())
+        for i, d in docs.items():
+            if term in d:
+                tf = d.count(term)
+                scores[i] = scores.get(i, 0) + math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(d) / avg))
+    return sorted(((-round(s, 9), i) for i, s in scores.items()))[:k]
+
+
+def test_pruned_batches_equal_a_plain_ranking(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(300)]
+    pick = lambda: words[min(299, int(rng.paretovariate(0.6)) - 1)]
+    docs = {i: [pick() for _ in range(rng.randrange(0, 60))] for i in range(600)}
+    docs |= {600 + i: docs[5] for i in range(20)}  # ties
+    asked = {q: [pick() for _ in range(rng.randrange(0, 9))] + [rng.choice(words)] for q in range(40)} | {40: ["absent"], 41: ["w0"], 42: docs[5][:4]}
+    made, kept = {}, retrieval.stored
+
+    def counted(df, label):
+        out = kept(df, label)
+        made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(retrieval, "stored", counted)
+    tokens = spark.createDataFrame(list(docs.items()), "id long, tokens array<string>").repartition(3)
+    questions = spark.createDataFrame([(q, " ".join(t)) for q, t in asked.items()], "query_id long, query string")
+    for k in (1, 5, 50):
+        got = {}
+        for r in retrieval.rank_batch(tokens, questions, k).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], -round(r["score"], 6), r["id"]))
+        for q, terms in asked.items():
+            want = [(n + 1, round(s, 6), i) for n, (s, i) in enumerate(plain_bm25(docs, terms, k))]
+            assert sorted(got.get(q, [])) == want, (k, q)
+        pairs = sum(sum(t in d for t in set(terms)) for terms in asked.values() for d in docs.values())
+        if k == 5:
+            assert made["partial-scores"] < pairs / 3 and made["candidates"] < pairs / 4
+
+
+def test_lists_of_hubs_are_cut(spark):
+    rows = [(f"s{k:05}", "hub") for k in range(5000)] + [(f"s{k:05}", "hub") for k in range(10)] + [("a", "b"), ("b", "a"), ("a", "a")]
+    edge = spark.createDataFrame(rows, "src string, dst string").repartition(6)
+    got = {(r["id"], r["chunk"]): r["sources"] for r in graph.backlink_chunks(edge, 100).collect()}
+    hub = [x for i in range(52) for x in got.get(("hub", i), [])]
+    assert hub == sorted(s for s, d in rows if d == "hub") and max(map(len, got.values())) == 100
+    assert got["b", 0] == ["a"] and got["a", 0] == ["a", "b"]
+    whole = {r["id"]: r for r in graph.adjacency(spark.createDataFrame([("alone",)], "id string"), edge).collect()}
+    lists = {}
+    for r in sorted(graph.adjacency_chunks(spark.createDataFrame([("alone",), ("a",)], "id string"), edge, 100).collect(), key=lambda r: r["chunk"]):
+        lists.setdefault((r["id"], r["direction"]), []).extend(r["neighbours"])
+    assert lists.pop(("alone", None)) == []
+    assert lists == {(i, way): r[way] for i, r in whole.items() for way in ("inbound", "outbound") if r[way]}

@@ -14,7 +14,7 @@ from docweave.plans.registry import query, table
 from docweave.plans.retrieval_queries import _POLICY, POLICY, requests
 from docweave.sources import listings, publish
 from docweave.storage import scratch_path
-from docweave.streaming import mutations, snapshots
+from docweave.streaming import mutations, retries, snapshots
 
 # --- listings -------------------------------------------------------------------------------------
 
@@ -130,6 +130,29 @@ def mutations_once(spark, d):
     return sent.join(last, ["number", "action"]).select("number", "action", "sent", "o.done", "o.result")
 
 
+@query("""WITH RECURSIVE a(k, n, due) AS (SELECT c_custkey, 1, 1704067200000 + c_custkey * 1000 + 2000 FROM customer
+UNION ALL SELECT k, n + 1, due + 2000 * (1 << n) FROM a WHERE n < 5 AND n <= k % 7)
+SELECT 'c' || k AS key, n AS attempt, due::BIGINT AS due_ms, CASE WHEN n > k % 7 THEN 'made' WHEN n = 5 THEN 'given up' ELSE 'failed' END AS outcome,
+CASE WHEN n > k % 7 THEN NULL WHEN n = 5 THEN 'failed after 5 attempts: status 505' ELSE 'status 50' || n END AS error FROM a""")
+def retry_schedule(spark, d):
+    """Customers as requests of a stream, each failing as often as its key says; the stream's clock goes on with rows of
+    later days, one batch each."""
+    source, out, checkpoint = (scratch_path(spark, x) for x in ("retry-requests", "retry-attempts", "retry-checkpoint"))
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").select(F.concat(F.lit("c"), k.cast("string")).alias("key"), F.timestamp_seconds(k + 1_704_067_200).alias("ts"), (k % 7).cast("string").alias("payload"))
+    rows.coalesce(1).write.mode("append").parquet(source)
+    for day in range(1, 8):
+        clock = spark.range(1).select(F.lit("clock").alias("key"), F.timestamp_seconds(F.lit(1_800_000_000 + day * 86_400)).alias("ts"), F.lit("0").alias("payload"))
+        clock.coalesce(1).write.mode("append").parquet(source)
+
+    def attempt(_key, failures, n):
+        return f"status 50{n}" if n <= int(failures) else None
+
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    retries.attempts(stream, attempt).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out, format="parquet").awaitTermination()
+    return spark.read.schema(retries.OUT).parquet(out).filter("key <> 'clock'")
+
+
 # --- publication ----------------------------------------------------------------------------------
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docweave.functions import bags, hosts, rules
 from docweave.operators import policy
 from docweave.sources import listings, publish
-from docweave.streaming import changes, mutations, snapshots
+from docweave.streaming import changes, mutations, retries, snapshots
 
 
 class Server:
@@ -296,6 +296,33 @@ def test_mutations_are_made_once(spark, server, tmp_path):
     assert [b for m, _, _, b in server.asked if m == "PATCH"] == [{"state": "closed"}]
 
 
+def test_attempts_double_their_pause(spark, tmp_path):
+    def put(*rows):
+        made = spark.createDataFrame(rows, "key string, second long, payload string").select("key", F.timestamp_seconds("second").alias("ts"), "payload")
+        made.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        return made.schema
+
+    def go(schema):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        out = retries.attempts(stream, lambda key, payload, n: None if n > int(payload) else f"{key} {n}")
+        out.writeStream.option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start(f"{tmp_path}/out", format="parquet").awaitTermination()
+        rows = spark.read.schema(retries.OUT).parquet(f"{tmp_path}/out").filter("key <> 'clock'")
+        return sorted((r["key"], r["attempt"], r["due_ms"] // 1000, r["outcome"], r["error"]) for r in rows.collect())
+
+    schema = put(("a", 105, "0"), ("a", 100, "2"), ("b", 101, "9"), (None, 100, "0"), ("c", None, "0"))
+    put(("clock", 104, "0"))
+    first = go(schema)
+    assert first == [("a", 1, 102, "failed", "a 1"), ("b", 1, 103, "failed", "b 1")]
+    put(("clock", 131, "0"), ("a", 131, "0"))  # a is still being tried
+    put(("clock", 132, "0"))
+    put(("clock", 500, "0"))
+    put(("clock", 501, "0"), ("a", 501, "0"))  # a has ended
+    put(("clock", 502, "0"))
+    a = [("a", 1, 102, "failed", "a 1"), ("a", 2, 106, "failed", "a 2"), ("a", 3, 114, "made", None)]
+    b = [("b", n, 101 + 2 ** (n + 1) - 2, "failed", f"b {n}") for n in range(1, 5)] + [("b", 5, 163, "given up", "failed after 5 attempts: b 5")]
+    assert go(schema) == a + b
+
+
 # --- publication ----------------------------------------------------------------------------------
 
 

@@ -82,6 +82,28 @@ def front_matter(spark, d):
     return docs.select("rel_path", some("title"), some("date"), *lists, some("slug"), "render", "body", F.col("parse_error").isNotNull().alias("broken"), F.size("warnings").alias("n_warnings"))
 
 
+@query("""WITH p AS (SELECT p_partkey AS k, p_name AS name, p_brand AS brand, p_type AS type, p_partkey % 3 AS t, p_partkey // 3 % 6 AS g, p_partkey // 18 % 4 AS d, p_partkey // 72 % 4 AS r, p_partkey // 288 % 3 AS c FROM part)
+SELECT 'v/' || k || '.md' AS rel_path, CASE t WHEN 0 THEN name || ' ' || k WHEN 1 THEN name ELSE '' END AS title,
+ CASE g WHEN 1 THEN replace(lower(brand), '#', '') WHEN 2 THEN lower(type) || ',x-' || k WHEN 3 THEN 'ab,' || k WHEN 4 THEN k::VARCHAR ELSE '' END AS tags,
+ CASE d WHEN 1 THEN '2024-0' || (k % 9 + 1) || '-1' || k % 9 ELSE '' END AS date, CASE r WHEN 1 THEN true WHEN 2 THEN false END AS render,
+ CASE c WHEN 1 THEN lower(type) WHEN 2 THEN 'one,' || lower(type) || ',two' ELSE '' END AS categories,
+ (t = 1)::INT + (g = 5)::INT + (r = 3)::INT AS n_warnings FROM p""")
+def front_matter_variety(spark, d):
+    """Blocks put together from independent forms of each field, keys in either order."""
+    k, text = F.col("p_partkey"), lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
+    pick = lambda n, *forms: F.element_at(F.array(*[f if not isinstance(f, str) else F.lit(f) for f in forms]), (F.floor(k / n) % len(forms) + 1).cast("int"))
+    title = pick(1, text("title: ", F.col("p_name"), " ", k, "\n"), text("Title: Upper\ntitle: ", F.col("p_name"), "\n"), "")
+    tags = pick(3, "", text("tags: ", F.col("p_brand"), "\n"), text("tags: [", F.col("p_type"), ", x-", k, "]\n"), text("tags:\n  - A B\n  - ", k, "\n"), text("tags: ", k, "\n"), "tags: {a: 1}\n")
+    date = pick(18, "", text("date: 2024-0", k % 9 + 1, "-1", k % 9, "\n"), text("date: 2024-02-3", k % 2, "\n"), 'date: "1/2/2024"\n')
+    render = pick(72, "", "render: true\n", "render: false\n", "render: maybe\n")
+    category = pick(288, "", text("category: ", F.col("p_type"), "\n"), text("categories: [One, ", F.col("p_type"), "]\ncategory: Two\n"))
+    fields = F.when(k % 2 == 0, F.concat(title, tags, date, render, category)).otherwise(F.concat(category, render, date, tags, title))
+    pages = table(spark, d, "part").select(text("v/", k, ".md").alias("rel_path"), F.concat(F.lit("---\n"), fields, F.lit("---\nbody\n")).alias("content"))
+    docs = markdown.documents(pages)
+    some = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    return docs.select("rel_path", some("title"), F.array_join("tags", ",").alias("tags"), some("date"), "render", F.array_join("categories", ",").alias("categories"), F.size("warnings").alias("n_warnings"))
+
+
 @query("""WITH k AS (SELECT 'f/' || page_id || '.md' AS file, page_id AS n, page_id % 8 AS k FROM pages)
 SELECT file, 1 AS line, 'ERROR' AS level, 'missing_metadata' AS category, 'invalid frontmatter' AS message FROM k WHERE k = 1
 UNION ALL SELECT file, 4, 'ERROR', 'missing_metadata', 'invalid date format "2024-13-01": must be YYYY-MM-DD' FROM k WHERE k = 2

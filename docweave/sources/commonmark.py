@@ -12,6 +12,7 @@ import html
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -234,8 +235,37 @@ def references(body: str | None) -> list[dict]:
 
 REFERENCES = "array<struct<dest: string, image: boolean>>"
 
+#: Inline links and images on one line whose texts hold no brackets, and code spans on one line.
+SIMPLE = r"""!?\[[^\[\]\n]*\]\([^\s()<>\[\]"'`]*(?: +"[^"\[\]\n]*")?\)"""
+SPAN = r"`[^`\n]+`"
+#: What gives brackets another meaning: HTML, escapes, entities, longer code, indented code, ticks in destinations.
+ODD = r"(?m)[<\\&\r]|``|~~~|^[ \t>*+0-9.)-]*(?: {4}|\t)|\]\([^)\n]*`"
+
+
+def _without_code(body: Column) -> Column:
+    return F.regexp_replace(body, SPAN, "")
+
+
+def _simple(body: Column) -> Column:
+    """Whether all brackets of a text belong to simple links, images and code spans."""
+    rest = F.regexp_replace(_without_code(body), SIMPLE, "")
+    return ~body.rlike(ODD) & ~rest.rlike(r"[\[\]`]")
+
+
+def _simple_references(body: Column) -> Column:
+    found = F.regexp_extract_all(_without_code(body), F.lit(SIMPLE), F.lit(0))
+    return F.transform(found, lambda m: F.struct(F.regexp_extract(m, r"""\]\(([^\s()"]*)""", 1).alias("dest"), m.startswith("!").alias("image")))
+
 
 def parsed_references(body: Column) -> Column:
-    """references() of a column; texts without brackets never leave the JVM."""
-    read = F.udf(references, REFERENCES, useArrow=True)
-    return F.when(body.contains("["), read(F.when(body.contains("["), body))).otherwise(F.array().cast(REFERENCES))
+    """references() of a column. Texts without brackets and those with simple ones never leave the JVM; the others are
+    parsed in Arrow batches."""
+
+    @F.arrow_udf(REFERENCES)
+    def read(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("dest", pa.string()), ("image", pa.bool_())]))
+        return pa.array([references(t) for t in texts.to_pylist()], kind)
+
+    linked = F.coalesce(body.contains("["), F.lit(False))
+    odd = linked & ~_simple(body)
+    return F.when(odd, read(F.when(odd, body))).when(linked, _simple_references(body)).otherwise(F.array().cast(REFERENCES))

@@ -11,6 +11,8 @@ import pyarrow.fs
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from docweave.functions import text
 
@@ -146,8 +148,14 @@ def parse_one(block: str | None) -> dict:
 
 
 def parse_frontmatter(block: Column) -> Column:
-    """The fields of front-matter blocks as a struct; blocks travel in Arrow batches."""
-    return F.udf(parse_one, PARSED, useArrow=True)(block)
+    """The fields of front-matter blocks as a struct; blocks are parsed in Arrow batches."""
+    kind = to_arrow_type(StructType.fromDDL(PARSED))
+
+    @F.arrow_udf(PARSED)
+    def read(blocks: pa.Array) -> pa.Array:
+        return pa.array([parse_one(b) for b in blocks.to_pylist()], kind)
+
+    return read(block)
 
 
 def documents(files: DataFrame) -> DataFrame:

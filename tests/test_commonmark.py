@@ -1,7 +1,11 @@
 """Links of Markdown texts: the cases in which CommonMark differs from a plain pattern."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
+from docweave.sources import commonmark
 from docweave.sources.commonmark import references
 
 CASES = [
@@ -38,3 +42,14 @@ def test_long_texts_take_linear_time():
     assert references("[" * 50_000 + "a](b.md)") == [{"dest": "b.md", "image": False}]
     assert references("[a](" * 20_000) == [] and references("x `" * 20_001 + "[a](b.md)") == [{"dest": "b.md", "image": False}]
     assert references("x " + "<" * 20_000 + "[a](b.md)") == references("*" * 20_000 + "[a](b.md)") == [{"dest": "b.md", "image": False}]
+
+
+def test_simple_texts_are_read_in_the_jvm_as_the_parser_reads_them(spark):
+    rng = random.Random(11)
+    bits = ["[a](b.md)", "![i](c.png)", "[x](d.md \"t\")", "`code`", "`[no](n.md)`", "text", " ", "\n", "\n\n", "    ", "- ", "> ", "1. ", "# ", "[", "]", "(", ")", "`", "``", "\\", "<b>", "&amp;", "[a](`b`)", "[`t`](e.md)", "[a]()", "[a] (b)", "[r]: u.md\n", "[r]", "\t", "!", "[x](f.md)(g)", "*[e](h.md)*", "| [t](i.md) |", "~~~", "[a\nb](j.md)", "-     [x](k.md)", "é[ü](l.md)", "[a](m%20n.md?q=1#f)", "[ ](o.md)", "[a](p.md \"t)", "====", "---\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 9))) for _ in range(6000)] + ["", None, "[a](b)[c](d)![e](f)"]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").repartition(4)
+    rows = frame.select("k", "t", commonmark.parsed_references(F.col("t")).alias("r"), F.coalesce(F.col("t").contains("[") & commonmark._simple(F.col("t")), F.lit(False)).alias("simple")).collect()
+    for r in rows:
+        assert [(x["dest"], x["image"]) for x in r["r"]] == [(x["dest"], x["image"]) for x in commonmark.references(r["t"])], r["t"]
+    assert sum(r["simple"] for r in rows) > 600

@@ -132,12 +132,11 @@ def write_site(spark: SparkSession, config: Config, docs: DataFrame, made: dict[
         title = config.site_name if config.site_name.strip() else "Site feed"
         sinks.write_text(sinks.rss_items(made["feed"]), f"{out}/feed.xml", *sinks.rss_frame(title, f"{config.siteurl.rstrip('/')}/"))
     # raw pages as they are, stubs of missing targets that no other writer stands against, assets
-    for row in docs.filter(~F.coalesce("render", F.lit(True))).select("rel_path", "content").toLocalIterator():
-        sinks.write_plain(f"{out}/{row['rel_path']}", row["content"])
+    sinks.write_files(docs.filter(~F.coalesce("render", F.lit(True))).select(F.col("rel_path").alias("path"), "content"), out)
     free = made["missing"].select("target", "referenced_by").join(taken.filter(F.col("phase") == outputs.STUB).select(F.col("path").alias("taken")), graph.stub_path(F.col("target")) == F.col("taken"), "left_anti")
-    sinks.write_listings(graph.stub_parents(docs, free).select("path", F.lit("Missing page").alias("title"), F.col("parent").alias("name"), "link"), out)
-    for row in assets.select("path").toLocalIterator() if assets is not None else ():
-        sinks.copy_file(os.path.join(config.asset_dir, row["path"]), f"{out}/assets/{row['path']}")
+    sinks.write_files(sinks.listing_pages(graph.stub_parents(docs, free).select("path", F.lit("Missing page").alias("title"), "target", F.col("parent").alias("name"), "link")), out)
+    if assets is not None:
+        sinks.copy_files(assets, os.path.abspath(config.asset_dir), f"{os.path.abspath(out)}/assets")
 
 
 def health_report(made: dict[str, DataFrame]) -> dict:

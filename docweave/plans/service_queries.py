@@ -12,7 +12,7 @@ from docweave.functions import bags, hosts, rules
 from docweave.operators import policy
 from docweave.plans.registry import query, table
 from docweave.plans.retrieval_queries import _POLICY, POLICY, requests
-from docweave.sources import listings, publish
+from docweave.sources import listings, publish, sinks
 from docweave.storage import scratch_path
 from docweave.streaming import mutations, retries, snapshots
 
@@ -168,6 +168,18 @@ def published_files(spark, d):
     return publish.published(spark, root).select("path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
+@query("""WITH l AS (SELECT 'c/' || l_suppkey % 50 || '/index.html' AS path, 'o&' || l_orderkey AS name, l_linenumber AS k FROM lineitem),
+p AS (SELECT path, string_agg('<li><a href="../' || k || '">' || replace(name, '&', '&amp;') || '</a></li>' || chr(10), '' ORDER BY name, k) AS body FROM l GROUP BY path)
+SELECT path, sha256('<!DOCTYPE html>' || chr(10) || '<title>A &lt;b&gt;</title>' || chr(10) || '<h1>A &lt;b&gt;</h1>' || chr(10) || '<ul>' || chr(10) || body || '</ul>' || chr(10)) AS sha256 FROM p""")
+def listing_pages(spark, d):
+    """Line items as links of fifty pages, written as files by the tasks that hold them and read back."""
+    root = scratch_path(spark, "pages")
+    rows = table(spark, d, "lineitem").select(F.format_string("c/%d/index.html", F.col("l_suppkey") % 50).alias("path"), F.lit("A <b>").alias("title"), F.lit("").alias("target"), F.concat(F.lit("o&"), F.col("l_orderkey").cast("string")).alias("name"), F.concat(F.lit("../"), F.col("l_linenumber").cast("string")).alias("link"))
+    sinks.write_files(sinks.listing_pages(rows), root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return files.select(F.regexp_extract("path", "/(c/[0-9]+/index.html)$", 1).alias("path"), F.sha2("content", 256).alias("sha256"))
+
+
 # --- hosts and addresses --------------------------------------------------------------------------
 
 _K = "(k % 256)"

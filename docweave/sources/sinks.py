@@ -8,10 +8,10 @@ import shutil
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
 # Signs that JSON documents of a site write as escapes, so that they may stand in HTML.
 _ESCAPES = (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029"))
 
@@ -118,11 +118,39 @@ def write_text(lines: DataFrame, path: str, head: str = "", tail: str = "") -> N
         f.write(tail)
 
 
-def write_plain(path: str, text: str) -> None:
-    """K11."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8", newline="") as f:
-        f.write(text)
+def write_files(files: DataFrame, folder: str) -> int:
+    """Files (path, content) below a folder that all executors see, each written by the task that holds it; how many
+    there are. A task that runs again writes the same bytes, and no file is seen half written."""
+    from pyarrow import fs
+
+    root = folder if "://" in folder else os.path.abspath(folder)
+
+    def run(batches):
+        system, where = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                target = f"{where}/{path}"
+                system.create_dir(target.rpartition("/")[0], recursive=True)
+                fresh = f"{target}.{uuid.uuid4().hex}"
+                with system.open_output_stream(fresh) as f:
+                    f.write(content.as_buffer() if content.is_valid else b"")
+                system.move(fresh, target)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    written = files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "n long")
+    return written.agg(F.sum("n")).first()[0] or 0
+
+
+def copy_files(files: DataFrame, source: str, target: str) -> int:
+    """The files (path) of a folder copied below another by the tasks that hold their names; how many were not
+    there already."""
+
+    def run(batches):
+        for batch in batches:
+            n = sum(copy_file(f"{source}/{p}", f"{target}/{p}") for p in batch.column("path").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return files.select("path").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def copy_file(source: str, target: str) -> bool:
@@ -144,26 +172,20 @@ def replace_file(path: str, text: str) -> None:
     os.replace(fresh, path)
 
 
-def write_listings(rows: DataFrame, folder: str) -> None:
-    """A page for each path with a list of links; rows (path, title, name, link) in the order of paths."""
-    path, f = None, None
-    try:
-        for row in rows.toLocalIterator():
-            if row["path"] != path:
-                if f:
-                    f.write("</ul>\n")
-                    f.close()
-                path = row["path"]
-                os.makedirs(os.path.dirname(f"{folder}/{path}"), exist_ok=True)
-                f = open(f"{folder}/{path}", "w", encoding="utf-8")  # noqa: SIM115
-                title = plain_escaped(row["title"])
-                f.write(f"<!DOCTYPE html>\n<title>{title}</title>\n<h1>{title}</h1>\n<ul>\n")
-            f.write(f'<li><a href="{plain_escaped(row["link"])}">{plain_escaped(row["name"])}</a></li>\n')
-        if f:
-            f.write("</ul>\n")
-    finally:
-        if f:
-            f.close()
+def escaped(c: Column) -> Column:
+    """plain_escaped() of a column."""
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#39;")):
+        c = F.replace(c, F.lit(sign), F.lit(entity))
+    return c
+
+
+def listing_pages(rows: DataFrame) -> DataFrame:
+    """Path, content of a page for each path with a list of links; rows: path, title, target, name, link."""
+    one = F.struct("target", "name", F.concat(F.lit('<li><a href="'), escaped(F.col("link")), F.lit('">'), escaped(F.col("name")), F.lit("</a></li>\n")).alias("line"))
+    pages = rows.groupBy("path").agg(F.min("title").alias("title"), F.array_sort(F.collect_list(one)).alias("links"))
+    title = escaped(F.col("title"))
+    head = F.concat(F.lit("<!DOCTYPE html>\n<title>"), title, F.lit("</title>\n<h1>"), title, F.lit("</h1>\n<ul>\n"))
+    return pages.select("path", F.concat(head, F.array_join(F.transform("links", lambda x: x["line"]), ""), F.lit("</ul>\n")).alias("content"))
 
 
 XML = '<?xml version="1.0" encoding="UTF-8"?>\n'

@@ -24,8 +24,20 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder of all tables that this application stores."""
+    return f"{scratch_root(spark)}/docweave/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/docweave/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all that this application has stored. Results that have not been written yet read from it, so this is for
+    the end of a job."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, label: str, path: str | None = None, rows_per_file: int = 0) -> DataFrame:

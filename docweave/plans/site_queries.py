@@ -89,7 +89,13 @@ SELECT 'v/' || k || '.md' AS rel_path, CASE t WHEN 0 THEN name || ' ' || k WHEN
  CASE c WHEN 1 THEN lower(type) WHEN 2 THEN 'one,' || lower(type) || ',two' ELSE '' END AS categories,
  (t = 1)::INT + (g = 5)::INT + (r = 3)::INT AS n_warnings FROM p""")
 def front_matter_variety(spark, d):
-    """Blocks put together from independent forms of each field, keys in either order."""
+    docs = markdown.documents(varied_pages(spark, d))
+    some = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    return docs.select("rel_path", some("title"), F.array_join("tags", ",").alias("tags"), some("date"), "render", F.array_join("categories", ",").alias("categories"), F.size("warnings").alias("n_warnings"))
+
+
+def varied_pages(spark, d):
+    """Parts as pages, their blocks put together from independent forms of each field, keys in either order."""
     k, text = F.col("p_partkey"), lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
     pick = lambda n, *forms: F.element_at(F.array(*[f if not isinstance(f, str) else F.lit(f) for f in forms]), (F.floor(k / n) % len(forms) + 1).cast("int"))
     title = pick(1, text("title: ", F.col("p_name"), " ", k, "\n"), text("Title: Upper\ntitle: ", F.col("p_name"), "\n"), "")
@@ -98,10 +104,20 @@ def front_matter_variety(spark, d):
     render = pick(72, "", "render: true\n", "render: false\n", "render: maybe\n")
     category = pick(288, "", text("category: ", F.col("p_type"), "\n"), text("categories: [One, ", F.col("p_type"), "]\ncategory: Two\n"))
     fields = F.when(k % 2 == 0, F.concat(title, tags, date, render, category)).otherwise(F.concat(category, render, date, tags, title))
-    pages = table(spark, d, "part").select(text("v/", k, ".md").alias("rel_path"), F.concat(F.lit("---\n"), fields, F.lit("---\nbody\n")).alias("content"))
-    docs = markdown.documents(pages)
-    some = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    return docs.select("rel_path", some("title"), F.array_join("tags", ",").alias("tags"), some("date"), "render", F.array_join("categories", ",").alias("categories"), F.size("warnings").alias("n_warnings"))
+    return table(spark, d, "part").select(text("v/", k, ".md").alias("rel_path"), F.concat(F.lit("---\n"), fields, F.lit("---\nbody\n")).alias("content"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_brand AS brand, p_type AS type, p_partkey % 3 AS t, p_partkey // 3 % 6 AS g, p_partkey // 18 % 4 AS d, p_partkey // 72 % 4 AS r, p_partkey // 288 % 3 AS c FROM part),
+n AS (SELECT *, 'v/' || k || '.md' AS file, ([1, 2, 0])[t + 1] AS nt, ([0, 1, 1, 3, 1, 1])[g + 1] AS ng, (d > 0)::INT AS nd, (r > 0)::INT AS nr, c AS nc, k % 2 = 0 AS even, r <> 2 AS shown FROM p),
+l AS (SELECT *, 2 + CASE WHEN even THEN nt + ng ELSE nc + nr END AS at_date, 2 + CASE WHEN even THEN nt ELSE nc + nr + nd END AS at_tags, 2 + CASE WHEN even THEN nt + ng + nd + nr ELSE 0 END + (c = 2)::INT AS at_category FROM n),
+m AS (SELECT file, at_tags AS line, 'tag' AS what, CASE g WHEN 1 THEN brand WHEN 2 THEN type ELSE 'A B' END AS raw FROM l WHERE g IN (1, 2, 3)
+ UNION ALL SELECT file, at_category, 'category', unnest(CASE c WHEN 1 THEN [type] ELSE ['One', type, 'Two'] END) FROM l WHERE c > 0)
+SELECT file, at_date AS line, 'ERROR' AS level, 'invalid date format "' || CASE d WHEN 2 THEN '2024-02-3' || k % 2 ELSE '1/2/2024' END || '": must be YYYY-MM-DD' AS message FROM l WHERE d > 1
+UNION ALL SELECT file, 0, 'WARN', 'missing title: <meta property="og:title"> will fallback to filename' FROM l WHERE shown AND t = 2
+UNION ALL SELECT file, 0, 'WARN', 'missing description: page will use default_description if configured' FROM l WHERE shown
+UNION ALL SELECT file, line, 'WARN', 'malformed ' || what || ' "' || raw || '" (normalized to "' || regexp_replace(lower(raw), '[^a-z0-9-]', '', 'g') || '")' FROM m""")
+def frontmatter_rules_variety(spark, d):
+    return checks.frontmatter(markdown.documents(varied_pages(spark, d))).select("file", "line", "level", "message")
 
 
 @query("""WITH k AS (SELECT 'f/' || page_id || '.md' AS file, page_id AS n, page_id % 8 AS k FROM pages)

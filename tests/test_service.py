@@ -11,6 +11,7 @@ from urllib.parse import parse_qs, urlsplit
 import pytest
 from pyspark.sql import functions as F
 
+from docweave import storage
 from docweave.functions import bags, hosts, rules
 from docweave.operators import policy
 from docweave.sources import listings, publish
@@ -448,3 +449,13 @@ def test_stored_responses(spark, tmp_path):
     listings.store_responses(spark.createDataFrame(rows, "path string, status int, reason string, body string"), root)
     got = listings.open_requests(spark, f"{root}/responses", ["o/r", "o/s"], [], "main", transport="docweave.sources.listings:stored", errors="rows").orderBy("listing").collect()
     assert got[0]["number"] == 4 and got[1]["error"].endswith("API error status=429: 429 Slow down")
+
+
+def test_stored_tables_can_be_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "scratch_folder", lambda _: f"file://{tmp_path}/mine")
+    kept = storage.stored(spark.range(5).toDF("n"), "five")
+    assert kept.count() == 5 and os.listdir(tmp_path / "mine")
+    storage.clear(spark)
+    assert not (tmp_path / "mine").exists()
+    storage.clear(spark)
+    assert storage.scratch_path(spark, "x").startswith(f"file://{tmp_path}/mine/x-")

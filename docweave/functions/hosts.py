@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docweave.functions.binding import let
+
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 V4 = rf"{OCTET}(?:\.{OCTET}){{3}}"
 #: ::ffff:0:0/96, the place of IPv4 addresses among those of IPv6.
@@ -16,11 +17,6 @@ MAPPED = 0xFFFF << 32
 LOOPBACK = ("127.0.0.0/8", "::1/128")
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value made once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def split_port(address: Column) -> Column:
     """The host of host:port or [host]:port; null if the address has no such form."""
     bracketed, plain = r"^\[([^\[\]]*)\]:[^\[\]:]*$", r"^([^:\[\]]*):[^:\[\]]*$"

@@ -370,3 +370,13 @@ def test_lists_of_hubs_are_cut(spark):
         lists.setdefault((r["id"], r["direction"]), []).extend(r["neighbours"])
     assert lists.pop(("alone", None)) == []
     assert lists == {(i, way): r[way] for i, r in whole.items() for way in ("inbound", "outbound") if r[way]}
+
+
+def test_postings_of_rows_and_of_repeated_ids(spark):
+    rows = [(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["c"] * 300 + ["a"]), (None, ["x"])]
+    docs = spark.createDataFrame(rows, "id long, tokens array<string>")
+    once = {("b", 1, 2), ("a", 1, 1), ("c", 4, 300), ("a", 4, 1), ("x", None, 1)}
+    plain = retrieval.postings(docs)
+    assert {tuple(r) for r in plain.collect()} == once and "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
+    twice = {tuple(r) for r in retrieval.postings(docs.unionByName(docs.filter("id = 1"))).collect()}
+    assert twice == once - {("b", 1, 2), ("a", 1, 1)} | {("b", 1, 4), ("a", 1, 2)}

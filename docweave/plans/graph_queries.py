@@ -53,6 +53,31 @@ def linked_documents(spark, d):
     )
 
 
+#: Pieces of Markdown with a number in them, and the destinations of their links.
+_PIECES = [
+    ("[a](/x/{k}.md)", ["/x/{k}.md"]),
+    ('![i](/i/{k}.png) and [b](c{k}.md "t")', ["c{k}.md"]),
+    ("`[no](n{k}.md)`", []),
+    ("\\[no](n{k}.md) [y](y{k}.md)", ["y{k}.md"]),
+    ("[o [i](in{k}.md)](out.md)", ["in{k}.md"]),
+    ("    [code](d{k}.md)", []),
+    ("> [q](q{k}.md)\n- [l](l{k}.md)", ["q{k}.md", "l{k}.md"]),
+    ("[r{k}]\n\n[r{k}]: <ref {k}.md> 'T'", ["ref {k}.md"]),
+]
+_DESTS = " ".join(f"WHEN {n} THEN [{', '.join(repr(d).replace('{k}', chr(39) + ' || k || ' + chr(39)) for d in dests)}]::VARCHAR[]" for n, (_, dests) in enumerate(_PIECES))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS k, unnest([0, 1, 2, 3]) AS j FROM orders), f AS (SELECT k, j, k // (8 ** j)::BIGINT % 8 AS f FROM o),
+d AS (SELECT k, j, unnest(CASE f {_DESTS} END) AS dest, unnest(range(len(CASE f {_DESTS} END))) AS n FROM f)
+SELECT k AS number, (row_number() OVER (PARTITION BY k ORDER BY j, n) - 1)::INT AS seq, dest FROM d""")
+def markdown_variety(spark, d):
+    """Orders as texts of four pieces in all mixtures that their keys spell in base eight."""
+    k, forms = F.col("o_orderkey"), F.array(*[F.lit(p) for p, _ in _PIECES])
+    pieces = [F.element_at(forms, (F.floor(k / 8**j) % 8 + 1).cast("int")) for j in range(4)]
+    body = F.replace(F.concat_ws("\n\ntext\n\n", *pieces), F.lit("{k}"), k.cast("string"))
+    return table(spark, d, "orders").select(k.alias("number"), F.posexplode(graph.markdown_links(body)).alias("seq", "dest"))
+
+
 _DOCS = """docs AS (SELECT page_id AS n, 'p/' || page_id || '.md' AS rel_path, page_id % 9 <> 0 AS render,
   CASE WHEN page_id % 9 = 0 THEN 'p/' || page_id || '.md' ELSE 'p/' || page_id END AS id FROM pages),
 links AS (SELECT n, rel_path, id AS src, unnest([n * 7 % 200, (n * 7 + 1) % 200, (n * 7 + 1) % 200, n * 11 % 400]) AS t, unnest([0, 1, 2, 3]) AS seq FROM docs),

@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import scratch_path, small, stored, table
+from docweave.llm.common import scratch_path, small, stored, table, trim
 from docweave.llm.mixing import mixed
 from docweave.llm.queries import tokenizer_path
 from docweave.llm.set_sketch import near_duplicates
@@ -40,7 +40,9 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept_texts(docs, fitted(docs, table(spark, sf_dir, "labels")))
+    model = fitted(docs, table(spark, sf_dir, "labels"))
+    trim()  # what the fit took is not held while the other stages run
+    return kept_texts(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -203,7 +203,9 @@ class PageReader(DataSourceReader):
     def partitions(self) -> list[Page]:
         return [Page(path, n + 1, self.query) for path in self.listings for n in range(self.pages)]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def read(self, partition: Page | None) -> Iterator[tuple]:
+        if partition is None:  # there is no listing
+            return
         marks = {LISTING: partition.listing, PAGE: partition.number}
         try:
             rows, total = self.service.page(partition.listing, partition.number, self.size, partition.query, self.items)

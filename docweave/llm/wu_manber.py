@@ -138,13 +138,14 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
         yield held
 
 
-#: Blocks whose matchers a task keeps; bytes of texts that are searched for one block after the other.
-HELD_BLOCKS, BATCH_BYTES = 4, 64 << 20
+#: Blocks whose matchers a task keeps; bytes of texts that are searched for one block after the other, if all matchers
+#: are kept and if some are made again for each batch.
+HELD_BLOCKS, PART_BYTES, BATCH_BYTES = 4, 8 << 20, 64 << 20
 
 
 def searcher(benchmark: DataFrame, width: int, block_bytes: int):
-    """A function to be called in a task, which gives one from texts to the hits of each: words, spans, items.
-    The first HELD_BLOCKS matchers are kept in the task, others are made again for each batch of texts."""
+    """A function to be called in a task, which gives one from texts to the hits of each (words, spans, items), and the
+    bytes of a batch of texts. The first HELD_BLOCKS matchers are kept in the task, others are made again for each batch."""
     sent = [benchmark.sparkSession.sparkContext.broadcast(b) for b in item_blocks(benchmark, block_bytes)]
 
     def begin():
@@ -163,18 +164,18 @@ def searcher(benchmark: DataFrame, width: int, block_bytes: int):
 
         return search
 
-    return begin
+    return begin, PART_BYTES if len(sent) <= HELD_BLOCKS else BATCH_BYTES
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs, with all their columns, without the rows that contamination() calls contaminated; one pass, no join."""
-    begin = searcher(benchmark, width, block_bytes)
+    begin, most = searcher(benchmark, width, block_bytes)
 
     def make():
         search = begin()
 
         def f(batch):
-            for part in slices(batch, BATCH_BYTES):
+            for part in slices(batch, most):
                 hit = [(n, sum(b - a for a, b in spans)) for n, spans, _ in search(filled_text(part).to_pylist())]
                 yield part.filter(pa.array([not h or share * h < n for n, h in hit], pa.bool_()))
 
@@ -186,13 +187,13 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, share
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated (share * n_hit >= n_words) for every
     row; text_key tells rows with one id apart."""
-    begin = searcher(benchmark, width, block_bytes)
+    begin, most = searcher(benchmark, width, block_bytes)
 
     def make():
         search = begin()
 
         def f(batch):
-            for part in slices(batch, BATCH_BYTES):
+            for part in slices(batch, most):
                 found = search(filled_text(part).to_pylist())
                 rows = [_summary(d, k, *x, share) for d, k, x in zip(part.column("doc_id").to_pylist(), part.column("text_key").to_pylist(), found)]
                 yield pa.RecordBatch.from_arrays(*_table(rows))

@@ -124,7 +124,7 @@ def asked_postings(docs: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFr
     post = stored(flat.groupBy("id", "doc_len", "term").agg(F.count("*").alias("tf")), "postings")
     stats = F.broadcast(post.filter("term IS NULL").agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len")))  # one row
     df = post.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
-    weights = df.join(asked, "term").join(stats).select("query_id", "term", (F.col("times") * idf(F.col("n"), F.col("df"))).alias("weight"))
+    weights = df.join(asked, "term").join(stats).select("query_id", "term", "df", (F.col("times") * idf(F.col("n"), F.col("df"))).alias("weight"))
     hits = post.filter("term IS NOT NULL").join(stats)
     return hits.select("term", "id", gain(F.col("tf"), F.col("doc_len"), F.col("avg_len"), F.lit(1.0)).alias("gain")), weights
 
@@ -148,14 +148,23 @@ def term_bounds(post: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     return rows.select("query_id", "term", "weight", "least", "essential", F.sum(F.when(~F.col("essential"), F.col("bound")).otherwise(0.0)).over(own).alias("rest"))
 
 
-def rank_batch(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> DataFrame:
+#: Pairs of a posting and a query up to which all are formed, as that takes fewer jobs than leaving some out.
+PLAIN_PAIRS = 20_000_000
+
+
+def rank_batch(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, plain_pairs: int = PLAIN_PAIRS) -> DataFrame:
     """query_id, rank, id, score for many queries (query_id, query): each occurrence of a term in a query adds
     its gain (A12, J8, W5). Only documents with an essential term of a query are paired with it; of these, those that
     can still reach the k-th score are looked up for the other terms, so postings of common terms are not paired with
-    all queries that ask for them."""
+    all queries that ask for them. Up to plain_pairs pairs all are formed; the rows are the same."""
     k = k if k > 0 else DEFAULT_K
     asked = queries.select("query_id", F.explode(text.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     post, weights = asked_postings(docs, stored(asked, "asked"))
+    weights = stored(weights, "weights")
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+    if (weights.agg(F.sum("df")).first()[0] or 0) <= plain_pairs:
+        scored = post.join(small(weights), "term").groupBy("query_id", "id").agg(F.sum(F.col("gain") * F.col("weight")).alias("score"))
+        return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     terms = stored(term_bounds(post, weights, k), "term-bounds")
     first = small(terms.filter("essential").select("query_id", "term", "weight", "least", "rest"))
     part = post.join(first, "term").groupBy("query_id", "id").agg(F.sum(F.col("gain") * F.col("weight")).alias("part"), F.first("least").alias("least"), F.first("rest").alias("rest"))
@@ -167,7 +176,6 @@ def rank_batch(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> DataF
     others = small(terms.filter("NOT essential").select("query_id", "term", "weight"))
     more = able.join(others, "query_id").join(post, ["id", "term"]).groupBy("query_id", "id").agg(F.sum(F.col("gain") * F.col("weight")).alias("more"))
     scored = able.join(more, ["query_id", "id"], "left").select("query_id", "id", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 

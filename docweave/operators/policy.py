@@ -67,11 +67,14 @@ def display_action(action: Column) -> Column:
     return F.when(action == "merge", "MERGED").when(action == "close", "CLOSED").otherwise(F.upper(action))
 
 
+def _rolled(there: Column) -> Column:
+    done, good = F.col("status") == "completed", F.col("conclusion").isin("success", "skipped", "neutral")
+    return F.when(F.bool_or(there & ~done), "pending").when(F.bool_or(there & ~F.coalesce(good, F.lit(False))), "failed").otherwise("passing")
+
+
 def roll_up(runs: DataFrame, key: str) -> DataFrame:
     """State of a commit's check runs (status, conclusion): pending before failed before passing."""
-    done, good = F.col("status") == "completed", F.col("conclusion").isin("success", "skipped", "neutral")
-    state = F.when(F.bool_or(~done), "pending").when(F.bool_or(~F.coalesce(good, F.lit(False))), "failed").otherwise("passing")
-    return runs.groupBy(key).agg(state.alias("state"), F.count("*").alias("total"))
+    return runs.groupBy(key).agg(_rolled(F.lit(True)).alias("state"), F.count("*").alias("total"))
 
 
 def with_state(commits: DataFrame, rolled: DataFrame, key: str) -> DataFrame:
@@ -81,10 +84,12 @@ def with_state(commits: DataFrame, rolled: DataFrame, key: str) -> DataFrame:
 
 def summaries(runs: DataFrame) -> DataFrame:
     """sha, state, total, error of commits from their check runs (sha, status, conclusion, error): without runs the
-    state is none, and a commit whose runs could not be read has only its error."""
-    commits = runs.groupBy("sha").agg(F.max("error").alias("error"))
-    out = with_state(commits, roll_up(runs.filter("status IS NOT NULL"), "sha"), "sha")
-    return out.select("sha", F.when(F.col("error").isNull(), F.col("state")).alias("state"), F.col("total").cast("long").alias("total"), "error")
+    state is none, and a commit whose runs could not be read has only its error. The runs are read once, as a second
+    reading would make all requests again."""
+    there = F.col("status").isNotNull()
+    out = runs.groupBy("sha").agg(F.max("error").alias("error"), F.count_if(there).alias("total"), _rolled(there).alias("rolled"))
+    state = F.when(F.col("total") == 0, "none").otherwise(F.col("rolled"))
+    return out.select("sha", F.when(F.col("error").isNull(), state).alias("state"), F.col("total").cast("long").alias("total"), "error")
 
 
 def tally(decided: DataFrame) -> DataFrame:

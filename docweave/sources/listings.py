@@ -18,7 +18,8 @@ so that every executor can import it; `web` is the default, `stored` reads respo
 
 from __future__ import annotations
 
-import hashlib
+import bisect
+import functools
 import importlib
 import io
 import json
@@ -33,10 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 from pyspark.sql.types import StructType
 
+from docweave.storage import in_ranges
 from docweave.storage import stored as table
 
 # Limits and headers of the service.
 PAGE_SIZE, PAGES, ERROR_BYTES, SECONDS = 100, 20, 4096, 10
+# Rows of check runs that a task holds at once.
+BATCH_ROWS = 10_000
 HEADERS = {"Accept": "application/vnd.github+json", "X-GitHub-Api-Version": "2022-11-28", "User-Agent": "docweave"}
 
 LISTING, PAGE, ERROR = "listing", "page", "error"
@@ -67,21 +71,52 @@ def web(method: str, url: str, headers: dict, body: bytes | None, seconds: float
     return r.status, r.reason, r
 
 
+@functools.lru_cache(maxsize=4)
+def _row_groups(root: str, _written: int | None) -> tuple[list, list[str]]:
+    """(least path, greatest path, file, row group) of a folder's responses in their order, and the least paths alone. A
+    process reads the footers of a folder once for each time it was written."""
+    from pyarrow import fs, parquet
+
+    system, folder = fs.FileSystem.from_uri(root)
+    groups = []
+    for file in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+        if "/part-" in file.path:
+            with parquet.ParquetFile(file.path, filesystem=system) as f:
+                for g in range(f.num_row_groups):
+                    edge = f.metadata.row_group(g).column(0).statistics
+                    if edge is None or not edge.has_min_max:  # paths too long for statistics
+                        names = f.read_row_group(g, ["path"])["path"].to_pylist()
+                        groups.append((names[0], names[-1], file.path, g))
+                    else:
+                        groups.append((edge.min, edge.max, file.path, g))
+    groups.sort()
+    return groups, [g[0] for g in groups]
+
+
+@functools.lru_cache(maxsize=2)
+def _responses(root: str, _written: int | None, path: str, group: int) -> dict[str, tuple]:
+    from pyarrow import fs, parquet
+
+    with parquet.ParquetFile(path, filesystem=fs.FileSystem.from_uri(root)[0]) as f:
+        columns = f.read_row_group(group, ["path", "status", "reason", "body"]).to_pydict()
+    return {name: rest for name, *rest in zip(*columns.values())}
+
+
 def stored(method: str, url: str, headers: dict, body: bytes | None, seconds: float):
-    """Responses that stand in a folder, any file system that Arrow opens: in name=(MD5 of the path and query), the first
-    line the status and reason. What does not stand there is an empty list."""
+    """Responses that stand in a folder as store_responses() writes them, any file system that Arrow opens. One row group,
+    found by its least and greatest path, is read for a request, and kept for the next. What does not stand there is an
+    empty list."""
     from pyarrow import fs
 
     root, _, name = url.partition("/responses/")
     system, folder = fs.FileSystem.from_uri(root)
-    path = f"{folder}/name={hashlib.md5(name.encode()).hexdigest()}"
-    found = [f for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.size and "/part-" in f.path]
-    if not found:
+    written = system.get_file_info(f"{folder}/_SUCCESS").mtime_ns
+    groups, least = _row_groups(root, written)
+    at = bisect.bisect_right(least, name) - 1
+    if at < 0 or groups[at][1] < name:
         return 200, "OK", io.BytesIO(b"[]")
-    whole = b"".join(system.open_input_stream(f.path).read() for f in sorted(found, key=lambda f: f.path))
-    head, _, rest = whole.partition(b"\n")
-    status, _, reason = head.decode().partition(" ")
-    return int(status), reason, io.BytesIO(rest)
+    status, reason, said = _responses(root, written, *groups[at][2:]).get(name, (200, "OK", "[]"))
+    return status, reason or "", io.BytesIO(said.encode())
 
 
 def stored_object(method: str, url: str, headers: dict, body: bytes | None, seconds: float):
@@ -299,21 +334,29 @@ def _whole_or_failed(rows: DataFrame) -> DataFrame:
 
 
 def check_runs(commits: DataFrame, service: Service, repository: str, sha: str = "sha") -> DataFrame:
-    """sha, status, conclusion, error of all check runs of the commits (a column of DataFrame rows, so requests are
-    made where the rows are). A commit without runs has a row of nulls, one that cannot be read its error."""
+    """sha, status, conclusion, error of all check runs of the commits (a column of DataFrame rows). Requests are made in
+    tasks that the commits are dealt to in ranges, however few files they come from. A commit without runs has a row of
+    nulls, one that cannot be read its error."""
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 4, ["sha", "status", "conclusion", "error"])
 
     def run(batches):
         for batch in batches:
             rows: list[tuple] = []
             for commit in batch.column("sha").to_pylist():
+                if len(rows) >= BATCH_ROWS:
+                    yield made(rows)
+                    rows = []
                 try:
                     found = every_page(service, f"/repos/{repository}/commits/{quote(commit or '', safe='')}/check-runs", {}, "check_runs")
                     rows += [(commit, str(r.get("status") or ""), str(r.get("conclusion") or ""), None) for r in found] or [(commit, None, None, None)]
                 except ServiceError as e:
                     rows.append((commit, None, None, str(e)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 4, ["sha", "status", "conclusion", "error"])
+            yield made(rows)
 
-    return commits.select(F.col(sha).alias("sha")).mapInArrow(run, "sha string, status string, conclusion string, error string")
+    asked = in_ranges(commits.select(F.col(sha).alias("sha")), "sha")
+    return asked.mapInArrow(run, "sha string, status string, conclusion string, error string")
 
 
 def details(requests: DataFrame, service: Service) -> DataFrame:
@@ -344,10 +387,13 @@ def default_branch(service: Service, repository: str) -> str:
 
 # --- responses kept in a folder -------------------------------------------------------------------
 
+# Files of a folder of responses, and bytes of a row group.
+FILES, GROUP_BYTES = 64, 1 << 20
+
 
 def store_responses(responses: DataFrame, folder: str) -> None:
-    """responses (path: with its query, status, reason, body) for the transport `stored`; one file each, written by
-    Spark's committed text writer in the tasks that hold the rows."""
-    text = F.concat_ws("\n", F.concat_ws(" ", F.col("status").cast("string"), "reason"), F.coalesce("body", F.lit("")))
-    named = responses.select(F.md5("path").alias("name"), text.alias("value")).repartition(64, "name")  # a file is slow to begin
-    named.write.partitionBy("name").option("lineSep", "\n").text(folder)
+    """responses (path: with its query, status, reason, body) for the transport `stored`: files of ranges of paths, sorted,
+    in row groups of a MB, so that there are as many files as tasks and one response costs the reading of one group."""
+    rows = responses.select("path", F.col("status").cast("int").alias("status"), F.col("reason").cast("string").alias("reason"), F.coalesce("body", F.lit("")).alias("body"))
+    ranges = rows.repartitionByRange(FILES, "path").sortWithinPartitions("path")
+    ranges.write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(folder)

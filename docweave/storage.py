@@ -52,3 +52,18 @@ def stored(df: DataFrame, label: str, path: str | None = None, rows_per_file: in
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows, else df as it is (shuffled join). df should be stored()."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Tasks for each core where rows cost much more than their bytes.
+WAVES = 4
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by a hash of its keys to a few tasks for each core. For rows that cost much more than their bytes: those of
+    a small file would otherwise all be in one task."""
+    return df.repartition(WAVES * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
+def in_ranges(df: DataFrame, key: str) -> DataFrame:
+    """As dealt(), in sorted ranges of a key, so that a task's rows lie near each other."""
+    return df.repartitionByRange(WAVES * df.sparkSession.sparkContext.defaultParallelism, key).sortWithinPartitions(key)

@@ -187,6 +187,15 @@ def test_check_runs_of_commits(spark, server):
     assert tuple(one) == ("o/r", 1, True, "s1", None)
 
 
+def test_runs_are_asked_for_once_and_in_many_tasks(spark, server):
+    commits = spark.createDataFrame([(f"c{n}",) for n in (0, 5, 250, 30, 40, 50, 60)], "sha string").coalesce(1)
+    found = listings.check_runs(commits, listings.Service(server.base), "o/r")
+    assert found.select(F.spark_partition_id()).distinct().count() > 3
+    server.asked.clear()
+    assert policy.summaries(found).filter("error IS NULL").count() == 7
+    assert len(server.asked) == len({path for _, path, _, _ in server.asked}) == 9
+
+
 # --- change streams -------------------------------------------------------------------------------
 
 
@@ -451,6 +460,18 @@ def test_stored_responses(spark, tmp_path):
     assert got[0]["number"] == 4 and got[1]["error"].endswith("API error status=429: 429 Slow down")
 
 
+def test_stored_responses_share_files(spark, tmp_path):
+    root, n = f"file://{tmp_path}/many", 3000
+    path = F.format_string("repos/o/r/commits/c%d/check-runs?page=1&per_page=100", "id")
+    said = F.format_string('{"total_count": 1, "check_runs": [{"status": "é\n%d", "conclusion": "%s"}]}'.replace("\n", "\\n"), "id", F.repeat(F.lit("x"), 3000))
+    listings.store_responses(spark.range(n).select(path.alias("path"), F.lit(200).alias("status"), F.lit("OK").alias("reason"), said.alias("body")), root)
+    assert sum(f.name.startswith("part-") for f in tmp_path.rglob("*")) <= listings.FILES
+    commits = spark.range(n + 10).select(F.concat(F.lit("c"), "id").alias("sha"))
+    service = listings.Service(f"{root}/responses", transport="docweave.sources.listings:stored_object")
+    got = {r["sha"]: r["status"] for r in listings.check_runs(commits, service, "o/r").collect()}
+    assert got == {f"c{k}": f"é\n{k}" if k < n else None for k in range(n + 10)}
+
+
 def test_stored_tables_can_be_cleared(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(storage, "scratch_folder", lambda _: f"file://{tmp_path}/mine")
     kept = storage.stored(spark.range(5).toDF("n"), "five")

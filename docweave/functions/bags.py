@@ -63,13 +63,11 @@ def front_matter(files: DataFrame, content: str = "content") -> DataFrame:
 
     from docweave.sources import markdown
 
-    loader = markdown._loader()
-
     def plain(block: str | None) -> str | None:
         if block is None:
             return None
         try:
-            found = yaml.load(block, Loader=loader)
+            found = markdown.load_yaml(block)
             return json.dumps(found, default=str) if isinstance(found, dict) else None
         except (yaml.YAMLError, ValueError, TypeError):
             return None

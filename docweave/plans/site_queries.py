@@ -9,6 +9,7 @@ from docweave.operators import build, checks, graph, outputs, site
 from docweave.plans.graph_queries import linked_documents
 from docweave.plans.registry import query, table
 from docweave.sources import bundles, commonmark, markdown, sinks
+from docweave.storage import dealt
 
 # --- Markdown links -------------------------------------------------------------------------------
 
@@ -62,7 +63,7 @@ def _front_files(spark, d):
     forms = F.array(*map(F.lit, _FRONT))
     n = F.col("page_id")
     content = F.replace(F.element_at(forms, (n % 8 + 1).cast("int")), F.lit("{n}"), n.cast("string"))
-    return table(spark, d, "pages").select(F.format_string("f/%d.md", n).alias("rel_path"), content.alias("content"))
+    return dealt(table(spark, d, "pages").select("page_id"), "page_id").select(F.format_string("f/%d.md", n).alias("rel_path"), content.alias("content"))
 
 
 @query("""WITH k AS (SELECT page_id AS n, page_id % 8 AS k FROM pages)
@@ -104,7 +105,8 @@ def varied_pages(spark, d):
     render = pick(72, "", "render: true\n", "render: false\n", "render: maybe\n")
     category = pick(288, "", text("category: ", F.col("p_type"), "\n"), text("categories: [One, ", F.col("p_type"), "]\ncategory: Two\n"))
     fields = F.when(k % 2 == 0, F.concat(title, tags, date, render, category)).otherwise(F.concat(category, render, date, tags, title))
-    return table(spark, d, "part").select(text("v/", k, ".md").alias("rel_path"), F.concat(F.lit("---\n"), fields, F.lit("---\nbody\n")).alias("content"))
+    parts = dealt(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey")
+    return parts.select(text("v/", k, ".md").alias("rel_path"), F.concat(F.lit("---\n"), fields, F.lit("---\nbody\n")).alias("content"))
 
 
 @query("""WITH p AS (SELECT p_partkey AS k, p_brand AS brand, p_type AS type, p_partkey % 3 AS t, p_partkey // 3 % 6 AS g, p_partkey // 18 % 4 AS d, p_partkey // 72 % 4 AS r, p_partkey // 288 % 3 AS c FROM part),

@@ -5,10 +5,12 @@ import math
 import random
 
 import pytest
+import yaml
 from pyspark.sql import functions as F
 
 from docweave.functions import text
 from docweave.operators import answers, build, checks, graph, manifest, policy, retrieval, site
+from docweave.plans import site_queries
 from docweave.sources import bundles, markdown, sinks
 from docweave.streaming import changes
 
@@ -381,3 +383,23 @@ def test_postings_of_rows_and_of_repeated_ids(spark):
     assert {tuple(r) for r in plain.collect()} == once and "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
     twice = {tuple(r) for r in retrieval.postings(docs.unionByName(docs.filter("id = 1"))).collect()}
     assert twice == once - {("b", 1, 2), ("a", 1, 1)} | {("b", 1, 4), ("a", 1, 2)}
+
+
+def test_both_yaml_loaders_give_the_same():
+    rng = random.Random(3)
+    pieces = ["title", "tags", "a b", "é: ü", ": ", ":", "\n", "\n  ", "\n- ", "- ", "[", "]", "{", "}", ", ", "1", "0x1f", "yes", "~", "'", '"', "#", " # c", "&a ", "*a", "!", "!t ", ">", "|", "?", "%", "@", "\\", "\t", "\x85", "\ufeff", "---\n", "<<: ", "=", "2024-01-02", "1:30", ".inf"]
+
+    def value(load, block):
+        try:
+            return repr(load(block))
+        except (yaml.YAMLError, ValueError) as e:
+            return str(e)
+
+    blocks = ["title: " * (k % 2) + "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 12))) for k in range(5000)]
+    assert [b for b in blocks if value(markdown.load_yaml, b) != value(lambda x: yaml.load(x, Loader=markdown._Loader), b)] == []
+    assert sum(bool(markdown._COMMON.match(b)) for b in blocks) > 500 and issubclass(markdown._FastLoader, yaml.CSafeLoader)
+
+
+def test_pages_of_a_small_file_are_parsed_in_many_tasks(spark, sf):
+    for pages in (site_queries.varied_pages(spark, sf), site_queries._front_files(spark, sf)):
+        assert markdown.documents(pages).select(F.spark_partition_id()).distinct().count() > 3

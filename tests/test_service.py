@@ -333,6 +333,17 @@ def test_attempts_double_their_pause(spark, tmp_path):
     assert go(schema) == a + b
 
 
+def test_attempts_that_the_clock_has_passed_are_made_together(spark, tmp_path):
+    for rows in ((("a", 100, "9"), ("b", 101, "2")), (("clock", 500, "0"),)):
+        made = spark.createDataFrame(rows, "key string, second long, payload string").select("key", F.timestamp_seconds("second").alias("ts"), "payload")
+        made.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = retries.attempts(stream, lambda key, payload, n: None if n > int(payload) else f"{key} {n}")
+    out.writeStream.option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start(f"{tmp_path}/out", format="parquet").awaitTermination()
+    got = sorted((r["key"], r["attempt"], r["due_ms"] // 1000, r["outcome"]) for r in spark.read.schema(retries.OUT).parquet(f"{tmp_path}/out").filter("key <> 'clock'").collect())
+    assert got == [("a", n, 98 + 2 ** (n + 1), "failed" if n < 5 else "given up") for n in range(1, 6)] + [("b", 1, 103, "failed"), ("b", 2, 107, "failed"), ("b", 3, 115, "made")]
+
+
 # --- publication ----------------------------------------------------------------------------------
 
 

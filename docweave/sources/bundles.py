@@ -63,22 +63,33 @@ def parse_bundle(name: str, content: str) -> Iterator[tuple[str, str]]:
 FILES = pa.schema([("bundle", pa.string()), ("path", pa.string()), ("nth", pa.int32()), ("text", pa.string()), ("error", pa.string())])
 
 
+#: Characters of bundles whose files a task holds at once.
+BATCH_CHARS = 1 << 22
+
+
+def parsed_batches(batches: Iterator[pa.RecordBatch], keep_errors: bool = False) -> Iterator[pa.RecordBatch]:
+    """The files of batches of bundles, handed on as soon as BATCH_CHARS of bundles are parsed, however many rows a batch has."""
+    for batch in batches:
+        rows, held = [], 0
+        for name, value in zip(batch.column("bundle"), batch.column("value")):
+            name, value = name.as_py(), value.as_py() or ""
+            try:
+                rows += [{"bundle": name, "path": p, "nth": k, "text": t, "error": None} for k, (p, t) in enumerate(parse_bundle(name, value))]
+            except MalformedBundle as e:
+                if not keep_errors:
+                    raise
+                rows.append({"bundle": name, "path": None, "nth": None, "text": None, "error": str(e)})
+            held += len(value)
+            if held >= BATCH_CHARS:
+                yield pa.RecordBatch.from_pylist(rows, FILES)
+                rows, held = [], 0
+        yield pa.RecordBatch.from_pylist(rows, FILES)
+
+
 def parsed_bundles(raw: DataFrame, keep_errors: bool = False) -> DataFrame:
     """bundle, path, nth, text of the files in bundles (bundle, value); a malformed bundle fails the query, or with
     keep_errors is one row with an error (S6)."""
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for b in batch.to_pylist():
-                try:
-                    rows += [{"bundle": b["bundle"], "path": p, "nth": k, "text": t, "error": None} for k, (p, t) in enumerate(parse_bundle(b["bundle"], b["value"] or ""))]
-                except MalformedBundle as e:
-                    if not keep_errors:
-                        raise
-                    rows.append({"bundle": b["bundle"], "path": None, "nth": None, "text": None, "error": str(e)})
-            yield pa.RecordBatch.from_pylist(rows, FILES)
-
+    run = lambda batches: parsed_batches(batches, keep_errors)
     out = raw.select("bundle", "value").mapInArrow(run, "bundle string, path string, nth int, text string, error string")
     return out if keep_errors else out.drop("error")
 

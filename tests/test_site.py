@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import pyarrow as pa
 import pytest
 import yaml
 from pyspark.sql import functions as F
@@ -403,3 +404,13 @@ def test_both_yaml_loaders_give_the_same():
 def test_pages_of_a_small_file_are_parsed_in_many_tasks(spark, sf):
     for pages in (site_queries.varied_pages(spark, sf), site_queries._front_files(spark, sf)):
         assert markdown.documents(pages).select(F.spark_partition_id()).distinct().count() > 3
+
+
+def test_files_of_bundles_leave_in_bounded_batches():
+    values = [f'<file path="{k}">\n<content>\n{"x" * 1_000_000}\n</content>\n</file>\n' for k in range(13)] + ["<file >\n"]
+    batch = pa.RecordBatch.from_pydict({"bundle": [f"b{k}" for k in range(14)], "value": values})
+    got = list(bundles.parsed_batches(iter([batch]), keep_errors=True))
+    assert len(got) > 2 and max(b.nbytes for b in got) < 2 * bundles.BATCH_CHARS
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [(r["bundle"], r["path"], len(r["text"] or "")) for r in rows[:13]] == [(f"b{k}", str(k), 1_000_000) for k in range(13)]
+    assert rows[13]["path"] is None and rows[13]["error"]
